@@ -1,0 +1,81 @@
+"""Queries of the general training-data problems (1, 2, 5) and their SQL."""
+
+from __future__ import annotations
+
+from sparkscape.operators import dirty_rows, nested, schema_drift
+from sparkscape.session import table
+
+
+def _dump(spark, d):
+    return table(spark, d, "dump_line"), table(spark, d, "dump_column")
+
+
+def _nested(spark, d):
+    return table(spark, d, "monitor_trajectory"), table(spark, d, "reg_sweep_stop_perdida_v1")
+
+
+QUERIES = {
+    "p1_found": lambda s, d: dirty_rows.malformed(*_dump(s, d)),
+    "p1_valid_post": lambda s, d: dirty_rows.typed(*_dump(s, d), "post"),
+    "p1_valid_qr_entry": lambda s, d: dirty_rows.typed(*_dump(s, d), "mturk_2010_qr_entry"),
+    "p1_reasons": lambda s, d: dirty_rows.load_records(*_dump(s, d)).groupBy("table_name", "fmt", "kind", "reason").count().withColumnRenamed("count", "n"),
+    "p2_found": lambda s, d: schema_drift.changes(table(s, d, "trajectory_line")),
+    "p2_unified": lambda s, d: schema_drift.read_unified(table(s, d, "trajectory_line")),
+    "p5_found": lambda s, d: nested.found(*_nested(s, d)),
+    "p5_thermostat": lambda s, d: nested.subtype(*_nested(s, d), "thermostat"),
+    "p5_alpha_trajectory": lambda s, d: nested.subtype(*_nested(s, d), "alpha_trajectory"),
+    "p5_top_coactivations": lambda s, d: nested.subtype(*_nested(s, d), "top_coactivations"),
+    "p5_a_post_per_alpha": lambda s, d: nested.subtype(*_nested(s, d), "a_post_per_alpha"),
+    "p5_variants": lambda s, d: nested.variants(*_nested(s, d)),
+}
+
+# One pattern per rule, independent of the engine's scanner. F is a field, closed or unquoted.
+_SQL_F = r"""(?:[ \t\r\n]*''(?:[^''\\]|\\(?:.|\n)|'''')*''[ \t\r\n]*|[^'',)]*)"""
+_CSV_F = r"""(?:[ \t\r\n]*"(?:[^"]|"")*"[ \t\r\n]*|[^",]*)"""
+_P1_BASE = rf"""
+l as (select *, trim(line, e' \t\r\n') as s from dump_line),
+r as (select * from l where s <> '' and not (fmt = 'sql' and (starts_with(s, '--') or starts_with(s, 'INSERT INTO')))
+  and not (fmt = 'csv' and (starts_with(s, '#') or s in ('discussion_id,post_id,author_id,posted_at,parent_post_id,title', 'page,tab,discussion_id,post_id,quote_index,presented')))),
+k as (select *,
+  case fmt when 'sql' then regexp_matches(s, '\A\(?{_SQL_F}(?:,{_SQL_F})*(?:\z|\))') else regexp_matches(s, '\A{_CSV_F}(?:,{_CSV_F})*\z') end as quoted,
+  case fmt when 'sql' then regexp_matches(s, '\A\({_SQL_F}(?:,{_SQL_F}){{5}}\)[,; \t\r\n]*\z') else regexp_matches(s, '\A{_CSV_F}(?:,{_CSV_F}){{5}}\z') end as counted
+  from r),
+g as (select *, case fmt when 'sql' then regexp_extract(s, '\A\(({_SQL_F}),({_SQL_F}),({_SQL_F}),({_SQL_F}),({_SQL_F}),({_SQL_F})\)[,; \t\r\n]*\z', ['1','2','3','4','5','6'])
+  else regexp_extract(s, '\A({_CSV_F}),({_CSV_F}),({_CSV_F}),({_CSV_F}),({_CSV_F}),({_CSV_F})\z', ['1','2','3','4','5','6']) end as f
+  from k),
+c as (select line_id, table_name, fmt, quoted, counted, unnest(['1','2','3','4','5','6']) as i, unnest([f['1'], f['2'], f['3'], f['4'], f['5'], f['6']]) as v from g),
+t as (select *, trim(v, e' \t\r\n') as w from c),
+u as (select *, case when (fmt = 'sql' and upper(w) = 'NULL') or (fmt = 'csv' and w = '') then null
+   when fmt = 'sql' and starts_with(w, '''') then w[2:-2] when fmt = 'csv' and starts_with(w, '"') then w[2:-2] else w end as x from t),
+b as (select line_id, fmt, table_name, any_value(quoted) as quoted, any_value(counted) as counted,
+  bool_and(coalesce(case when x is null then q.is_nullable = 1
+    when q.data_type = 'int' then regexp_full_match(x, '[0-9]+') and try_cast(x as hugeint) between q.min_value and q.max_value
+    when q.data_type = 'timestamp' then regexp_full_match(x, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') and try_cast(x as timestamp) is not null
+    else true end, false)) as fits
+  from u join dump_column q using (table_name) where q.ordinal = i::int group by all)
+"""
+
+_P5 = """
+with p as (select distinct rec_id, panel::json as j from monitor_trajectory where panel is not null),
+h as (select rec_id, json_extract(j, '$.thermostat') as th, json_extract(j, '$.G_state.top_coactivations') as tops from p),
+t as (select rec_id, 0::bigint as item, th as e from h where json_type(th) = 'OBJECT'
+  union all select rec_id, i, json_extract(th, '$[' || i || ']') from (select rec_id, th, unnest(range(json_array_length(th)::bigint)) as i from h where json_type(th) = 'ARRAY')),
+o as (select * from t where json_type(e) = 'OBJECT'),
+w as (select rec_id, item, json_extract(e, '$.alpha_trajectory') as a from o),
+v as (select rec_id, item, i, json_extract(a, '$[' || i || ']') as e from (select rec_id, item, a, unnest(range(json_array_length(a)::bigint)) as i from w where json_type(a) = 'ARRAY')),
+s as (select sweep_id, record_json::json as j from reg_sweep_stop_perdida_v1 where record_json is not null),
+r as (select sweep_id, 0::bigint as place, j as e from s where json_type(j) = 'OBJECT'
+  union all select sweep_id, i, json_extract(j, '$[' || i || ']') from (select sweep_id, j, unnest(range(json_array_length(j)::bigint)) as i from s where json_type(j) = 'ARRAY')),
+m as (select sweep_id, place, json_extract(e, '$.A_post_per_alpha') as a from r),
+k as (select sweep_id, place, key as alpha, json_extract(a, '$."' || key || '"') as x from (select sweep_id, place, a, unnest(json_keys(a)) as key from m where json_type(a) = 'OBJECT')
+  union all select sweep_id, place, json_extract_string(a, '$[' || i || '].alpha'), json_extract(a, '$[' || i || '].A_post') from (select sweep_id, place, a, unnest(range(json_array_length(a)::bigint)) as i from m where json_type(a) = 'ARRAY'))
+"""
+
+SQL = {
+    "p1_found": f"with {_P1_BASE} select line_id, case when not quoted then 'quoting' when not counted then 'column_count' else 'invalid_value' end as reason from b where not quoted or not counted or not fits",
+    "p5_found": _P5
+    + """select 'monitor_trajectory' as src, rec_id, 'thermostat' as child, '' as parent_item, item::varchar as item from o
+union select 'monitor_trajectory', rec_id, 'alpha_trajectory', item::varchar, i::varchar from v where json_type(e) <> 'NULL'
+union select 'monitor_trajectory', rec_id, 'top_coactivations', '', i::varchar from (select rec_id, unnest(range(json_array_length(tops)::bigint)) as i from h where json_type(tops) = 'ARRAY')
+union select 'reg_sweep_stop_perdida_v1', sweep_id, 'a_post_per_alpha', place::varchar, printf('%.1f', alpha::double) from k where json_type(x) <> 'NULL'""",
+}
