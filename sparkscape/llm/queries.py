@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkscape.llm import terms
+from sparkscape.llm import pairs, terms
 from sparkscape.session import table
 
 
@@ -13,6 +13,8 @@ def _texts(spark, d):
 QUERIES = {
     "p3_found": lambda s, d: terms.marked(_texts(s, d)),
     "p3_frequencies": lambda s, d: terms.frequencies(_texts(s, d)),
+    "p4_found": lambda s, d: pairs.together(_texts(s, d)).select("src", "term_a", "term_b"),
+    "p4_scores": lambda s, d: pairs.in_two_steps(_texts(s, d)),
 }
 
 _RECORDS = r"""
@@ -24,7 +26,19 @@ n as (select src, count(distinct rec_id) as n from d group by src),
 f as (select src, term, count(*) as records from d group by src, term)
 """
 
+_PAIRS = (
+    _RECORDS
+    + """, g as (select src, term, records as n_x, n from f join n using (src) where records >= 5 and records * 500 >= n and records * 20 <= n),
+e as (select d.src, d.rec_id, d.term from d join g using (src, term)),
+q as (select x.src, x.term as term_a, y.term as term_b, count(*) as n_ab from e x join e y on x.src = y.src and x.rec_id = y.rec_id and x.term < y.term group by all),
+z as (select q.*, a.n_x as n_a, b.n_x as n_b, a.n as total from q join g a on a.src = q.src and a.term = term_a join g b on b.src = q.src and b.term = term_b
+  where n_ab >= 5 and n_ab * 500 >= a.n and n_ab * a.n >= 20 * a.n_x * b.n_x)
+"""
+)
+
 SQL = {
+    "p4_found": _PAIRS + "select src, term_a, term_b from z",
+    "p4_scores": _PAIRS + "select src, term_a, term_b, n_a, n_b, n_ab, total, n_ab * total / (n_a::double * n_b) as lift from z",
     "p3_found": _RECORDS + "select src, term, 'rare' as mark from f where records <= 2 union all select src, term, 'common' from f join n using (src) where records * 10 > n",
     "p3_frequencies": _RECORDS
     + """, c as (select src, term, count(*) as occurrences from o group by src, term)
