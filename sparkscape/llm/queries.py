@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkscape.llm import pairs, terms
+from sparkscape.llm import bpe, packing, pairs, terms
 from sparkscape.session import table
 
 
@@ -15,6 +15,10 @@ QUERIES = {
     "p3_frequencies": lambda s, d: terms.frequencies(_texts(s, d)),
     "p4_found": lambda s, d: pairs.together(_texts(s, d)).select("src", "term_a", "term_b"),
     "p4_scores": lambda s, d: pairs.in_two_steps(_texts(s, d)),
+    "p6_ids": lambda s, d: bpe.ids(table(s, d, "documents")),
+    "p6_decoded": lambda s, d: bpe.decoded(bpe.ids(table(s, d, "documents"))),
+    "p7_containers": lambda s, d: packing.containers(table(s, d, "documents")),
+    "p7_summary": lambda s, d: packing.summary(table(s, d, "documents")),
 }
 
 _RECORDS = r"""
@@ -43,4 +47,5 @@ SQL = {
     "p3_frequencies": _RECORDS
     + """, c as (select src, term, count(*) as occurrences from o group by src, term)
 select src, term, occurrences, records, records <= 2 as is_rare, records * 10 > n as is_common from c join f using (src, term) join n using (src)""",
+    "p6_decoded": "select doc_id, coalesce(text, '') as decoded from documents",
 }
