@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from sparkscape.llm import bpe, packing, pairs, terms
+from sparkscape.llm import bpe, packing, pairs, pii, terms
 from sparkscape.session import table
 
+# A key for tests and demonstrations; a real run passes its own secret.
+SURROGATE_KEY = "demonstration"
+
 
 def _texts(spark, d):
     return terms.records(table(spark, d, "documents"), table(spark, d, "monitor_trajectory"))
@@ -19,6 +22,9 @@ QUERIES = {
     "p6_decoded": lambda s, d: bpe.decoded(bpe.ids(table(s, d, "documents"))),
     "p7_containers": lambda s, d: packing.containers(table(s, d, "documents")),
     "p7_summary": lambda s, d: packing.summary(table(s, d, "documents")),
+    "p8_found": lambda s, d: pii.found(table(s, d, "documents"), table(s, d, "name_parts")),
+    "p8_redacted": lambda s, d: pii.redacted(table(s, d, "documents"), table(s, d, "name_parts")),
+    "p8_surrogates": lambda s, d: pii.with_surrogates(table(s, d, "documents"), table(s, d, "name_parts"), SURROGATE_KEY),
 }
 
 _RECORDS = r"""
