@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import math
 import unicodedata
 from bisect import bisect_right
 from collections import Counter
@@ -316,9 +317,7 @@ def permuted(key: bytes, label: str, n: int, value: int) -> int:
     """A keyed permutation of range(n): four Feistel rounds on a square around it, walked until inside."""
     if n <= 1:
         return value
-    half = 1
-    while half * half < n:
-        half += 1
+    half = math.isqrt(n - 1) + 1
     while True:
         a, b = divmod(value, half)
         for r in range(4):
