@@ -1,5 +1,5 @@
 """The plan modules whose queries the repository offers."""
 
-from sparkscape.plans import training
+from sparkscape.plans import corpus, training
 
-MODULES = [training]
+MODULES = [training, corpus]
