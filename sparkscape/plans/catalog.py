@@ -1,5 +1,5 @@
 """The plan modules whose queries the repository offers."""
 
-from sparkscape.plans import corpus, training
+from sparkscape.plans import corpus, relations, training
 
-MODULES = [training, corpus]
+MODULES = [training, corpus, relations]
