@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkscape.session import cut
+
 KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
 HEAD = "file_id bigint, series string, file_seq bigint, path string, kind string"
 FLUSH = 100_000
@@ -165,8 +167,9 @@ def changes(lines: DataFrame) -> DataFrame:
     removed field. A field that matches several others is reported with each of them.
     Empty input gives no rows.
     """
-    d = neighbours(headers(lines))
-    r = renames(lines, d)
+    # The headers are read once; both they and the differences are as small as the schemas.
+    d = cut(neighbours(cut(headers(lines))))
+    r = cut(renames(lines, d))
     new = r.select("file_id", "path").distinct()
     old = r.select("file_id", F.col("old_path").alias("path")).distinct()
     added = d.where("kinds_old is null").join(new, ["file_id", "path"], "left_anti")
@@ -227,8 +230,8 @@ def rename_groups(links: list[tuple[str, str]], weight: dict[str, int]) -> dict[
 
 def read_unified(lines: DataFrame) -> DataFrame:
     """All files as one table with renamed fields under one name: ``unified`` after both passes over the headers."""
-    heads = headers(lines)
-    links = [tuple(r) for r in renames(lines, neighbours(heads)).select("old_path", "path").distinct().collect()]
+    heads = cut(headers(lines))
+    links = [tuple(r) for r in renames(lines, cut(neighbours(heads))).select("old_path", "path").distinct().collect()]
     weight = {r[0]: r[1] for r in heads.where("path <> ''").groupBy("path").agg(F.count_distinct("file_id")).collect()}
     return unified(lines, union_schema(heads), rename_groups(links, weight))
 
