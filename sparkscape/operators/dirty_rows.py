@@ -203,35 +203,32 @@ def record_pattern(fmt: str, columns: list[Column]) -> str:
 
 
 class Block:
-    """Columnar parse of records of one table and format."""
+    """Columnar parse of records of one table and format.
+
+    ``extract`` runs the record pattern over all records at hand in one kernel call; blocks are
+    slices of its result, so bisecting copies and matches nothing again.
+    """
 
     def __init__(self, fmt: str, columns: list[Column]):
         self.fmt, self.columns = fmt, columns
         self.pattern = record_pattern(fmt, columns)
 
-    def parse(self, lines: pa.Array) -> list[pa.Array]:
-        """The columns' texts; raises Refused unless every record is valid for certain."""
+    def extract(self, lines: pa.Array) -> tuple[pa.Array, list[pa.Array]]:
+        """(which records match, the columns' texts with null for null)."""
         got = pc.extract_regex(lines, self.pattern)
-        if got.null_count:
-            raise Refused
-        names = {f.name for f in got.type}
+        fields = {f.name: got.field(i) for i, f in enumerate(got.type)}
         out = []
         for k, c in enumerate(self.columns):
             # A group that took no part in the match comes back as ''; texts are
             # captured with their quotes, so '' always means null.
-            v = got.field(f"v{k}")
-            quoted = got.field(f"q{k}") if f"q{k}" in names else None
+            v, quoted = fields[f"v{k}"], fields.get(f"q{k}")
             if c.kind == "text":
-                v = self.text(v, quoted)
-            elif quoted is not None:
+                out.append(self.text(v, quoted))
+                continue
+            if quoted is not None:
                 v = pc.if_else(pc.not_equal(quoted, ""), quoted, v)
-            if c.kind != "text":
-                v = pc.if_else(pc.equal(v, ""), pa.scalar(None, pa.string()), v)
-            if v.null_count and not c.nullable:
-                raise Refused
-            self.check(c, v)
-            out.append(v)
-        return out
+            out.append(pc.if_else(pc.equal(v, ""), pa.scalar(None, pa.string()), v))
+        return got.is_valid(), out
 
     def text(self, v: pa.Array, quoted: pa.Array | None) -> pa.Array:
         null = pa.scalar(None, pa.string())
@@ -241,36 +238,48 @@ class Block:
         inner = pc.replace_substring(pc.utf8_slice_codeunits(quoted, 1, -1), '""', '"')
         return pc.if_else(pc.not_equal(quoted, ""), inner, pc.if_else(pc.equal(v, ""), null, v))
 
-    @staticmethod
-    def check(c: Column, v: pa.Array) -> None:
-        if c.kind == "int":
-            n = pc.min_max(pc.cast(v, pa.int64()))
-            low, high = n["min"].as_py(), n["max"].as_py()
-            if low is not None and (low < (c.low if c.low is not None else low) or high > (c.high if c.high is not None else high)):
-                raise Refused
-        elif c.kind == "timestamp":
-            t = pc.strptime(v, format="%Y-%m-%d %H:%M:%S", unit="s", error_is_null=True)
-            if t.null_count != v.null_count:
-                raise Refused
-            if pc.any(pc.not_equal(pc.strftime(t, format="%Y-%m-%d %H:%M:%S"), v)).as_py():
+    def vouch(self, matches: pa.Array, columns: list[pa.Array]) -> None:
+        """Raises Refused unless every record of the block is valid for certain."""
+        if matches.true_count < len(matches):
+            raise Refused
+        for c, v in zip(self.columns, columns):
+            if v.null_count and not c.nullable:
                 raise Refused
-
-    def load(self, lines: pa.Array, at: int, found: list) -> None:
+            if c.kind == "int":
+                n = pc.min_max(pc.cast(v, pa.int64()))
+                low, high = n["min"].as_py(), n["max"].as_py()
+                if low is not None and (low < (c.low if c.low is not None else low) or high > (c.high if c.high is not None else high)):
+                    raise Refused
+            elif c.kind == "timestamp":
+                t = pc.strptime(v, format="%Y-%m-%d %H:%M:%S", unit="s", error_is_null=True)
+                if t.null_count != v.null_count:
+                    raise Refused
+                if pc.any(pc.not_equal(pc.strftime(t, format="%Y-%m-%d %H:%M:%S"), v)).as_py():
+                    raise Refused
+
+    def load(self, lines: pa.Array, matches: pa.Array, columns: list[pa.Array], at: int, found: list) -> None:
         """Fills found[at:] with (reason, values), bisecting what the columnar path refuses."""
         try:
-            columns = [c.to_pylist() for c in self.parse(lines)]
+            self.vouch(matches, columns)
         except (Refused, pa.ArrowInvalid):
             n = len(lines)
             if n == 1:
                 found[at] = diagnose(lines[0].as_py(), self.fmt, self.columns)
                 return
             half = n // 2
-            self.load(lines.slice(0, half), at, found)
-            self.load(lines.slice(half), at + half, found)
+            self.load(lines.slice(0, half), matches.slice(0, half), [c.slice(0, half) for c in columns], at, found)
+            self.load(lines.slice(half), matches.slice(half), [c.slice(half) for c in columns], at + half, found)
             return
-        for k, row in enumerate(zip(*columns)):
+        for k, row in enumerate(zip(*(c.to_pylist() for c in columns))):
             found[at + k] = (None, list(row))
 
+    def load_all(self, lines: pa.Array, block: int) -> list:
+        found: list = [None] * len(lines)
+        matches, columns = self.extract(lines)
+        for at in range(0, len(lines), block):
+            self.load(lines.slice(at, block), matches.slice(at, block), [c.slice(at, block) for c in columns], at, found)
+        return found
+
 
 def declared(dump_column: DataFrame) -> dict[str, list[Column]]:
     """Columns by table, from the (fixed, small) table of declared columns."""
@@ -312,11 +321,7 @@ def load_records(dump_line: DataFrame, dump_column: DataFrame, block: int = BLOC
                 groups.setdefault((t, f), []).append(i)
             for (t, f), ids in groups.items():
                 b = blocks.setdefault((t, f), Block(f, columns[t]))
-                own = lines.take(pa.array(ids))
-                found: list = [None] * len(ids)
-                for at in range(0, len(ids), block):
-                    b.load(own.slice(at, block), at, found)
-                for i, (reason, v) in zip(ids, found):
+                for i, (reason, v) in zip(ids, b.load_all(lines.take(pa.array(ids)), block)):
                     kinds[i], reasons[i], vals[i] = ("malformed", reason, None) if reason else ("valid", None, v)
             yield pa.RecordBatch.from_arrays(
                 [
