@@ -1,5 +1,5 @@
 """The plan modules whose queries the repository offers."""
 
-from sparkscape.plans import corpus, landscape, monitor, relations, training
+from sparkscape.plans import analytics, corpus, landscape, monitor, relations, training
 
-MODULES = [training, corpus, relations, landscape, monitor]
+MODULES = [training, corpus, relations, landscape, monitor, analytics]
