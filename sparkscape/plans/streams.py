@@ -1,0 +1,34 @@
+"""Stream queries: the trajectory read as a stream and drained."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sparkscape.streaming import channel as X
+
+
+def source(s, d):
+    return X.messages(s, f"{d}/monitor_trajectory.parquet")
+
+
+def plain(df, *cols):
+    for c in cols:
+        df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
+    return df
+
+
+QUERIES = {
+    "stream_published": lambda s, d: X.drained(X.published(source(s, d)).select("rec_id", "series")),
+    "stream_rejected": lambda s, d: X.drained(X.rejected(source(s, d))),
+    "stream_dedupe": lambda s, d: X.drained(X.once(source(s, d).where("rec_id is not null")).select("rec_id")),
+    "stream_ticks": lambda s, d: plain(X.drained(X.ticks(source(s, d)), "complete"), "tick"),
+    "stream_sessions": lambda s, d: plain(X.drained(X.session_counts(source(s, d)), "complete"), "since", "until"),
+    "stream_panel": lambda s, d: X.drained(X.panel(source(s, d))),
+}
+
+SQL = {
+    "stream_published": "select rec_id, series from monitor_trajectory where regexp_matches(text, '[^ \\t\\r\\n]')",
+    "stream_rejected": "select rec_id, series, case when text is null then 'null' else 'blank' end as reason from monitor_trajectory where not coalesce(regexp_matches(text, '[^ \\t\\r\\n]'), false)",
+    "stream_dedupe": "select distinct rec_id from monitor_trajectory where rec_id is not null",
+    "stream_ticks": "select date_trunc('hour', ts)::timestamp as tick, count(*) as n from monitor_trajectory where ts is not null group by 1",
+}
