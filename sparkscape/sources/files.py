@@ -127,7 +127,7 @@ def chat_turns(texts: DataFrame) -> DataFrame:
     blocks = texts.select("unit_id", F.posexplode(F.split("text", r"(?m)^---\s*$")).alias("pos", "block"))
     head = r"^\s*\**(\w+)\**\s*\(([^)]*)\)\s*:?\s*"
     t = blocks.where(F.col("block").rlike(head))
-    return t.select("unit_id", "pos", F.lower(F.regexp_extract("block", head, 1)).alias("role"), F.regexp_extract("block", head, 2).alias("said"), F.trim(F.regexp_replace("block", head, "")).alias("body"))
+    return t.select("unit_id", "pos", F.lower(F.regexp_extract("block", head, 1)).alias("role"), F.regexp_extract("block", head, 2).alias("said"), F.regexp_replace(F.regexp_replace("block", head, ""), r"\s+$", "").alias("body"))
 
 
 def loose_json(column):

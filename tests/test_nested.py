@@ -1,0 +1,36 @@
+import json
+
+from sparkscape.operators import nested as N
+
+TR = "rec_id bigint, series string, panel string, item string, child int"
+SW = "sweep_id bigint, record_json string, src string"
+
+
+def test_rows_links_and_forms(spark):
+    panel = {"thermostat": [None, {}, {"zone": "z", "alpha_trajectory": [{"alpha": 0.5}, None, {"alpha": 0.1}]}, 7], "G_state": {"top_coactivations": [{"a": "x", "b": "y", "weight": 1}, None]}}
+    t = spark.createDataFrame(
+        [(1, "s", json.dumps(panel), "c", 1), (1, "s", json.dumps(panel), "c", 1), (2, "s", json.dumps({"thermostat": {"zone": 1, "alpha_trajectory": "no"}}), "c", 1), (3, "s", None, "c", 1), (4, "s", "{broken", "c", 1), (5, "s", "[1]", "c", 1), (6, "s", "{}", "c", 1), (None, None, json.dumps({"thermostat": {}}), None, None)], TR
+    )
+    w = spark.createDataFrame(
+        [(1, json.dumps({"A_post_per_alpha": {"0.00": 1, "0.50": None, "1.0": 2, "x": 3}}), "c"), (2, json.dumps([None, {"A_post_per_alpha": [{"alpha": 0.1, "A_post": 4}, {"alpha": 0.2, "A_post": None}, [0.3, 5]]}, {}]), "c"), (3, None, "c"), (4, json.dumps({"A_post_per_alpha": "[[0.4, 1]]"}), "c")], SW
+    )
+    got = {tuple(r) for r in N.found(t, w).collect()}
+    m, r = "monitor_trajectory", "reg_sweep_stop_perdida_v1"
+    assert got == {
+        (m, 1, "thermostat", "", "1"), (m, 1, "thermostat", "", "2"), (m, 1, "alpha_trajectory", "2", "0"), (m, 1, "alpha_trajectory", "2", "2"),
+        (m, 1, "top_coactivations", "", "0"), (m, 1, "top_coactivations", "", "1"), (m, 2, "thermostat", "", "0"), (m, None, "thermostat", "", "0"),
+        (r, 1, "a_post_per_alpha", "0", "0.0"), (r, 1, "a_post_per_alpha", "0", "1.0"), (r, 2, "a_post_per_alpha", "1", "0.1"), (r, 2, "a_post_per_alpha", "1", "0.3"), (r, 4, "a_post_per_alpha", "0", "0.4"),
+    }
+    assert N.subtype(t, w, "thermostat").where("rec_id = 1").count() == 2
+    assert N.subtype(t, w, "top_coactivations").where("rest is not null").count() == 1
+
+
+def test_empty(spark):
+    assert N.found(spark.createDataFrame([], TR), spark.createDataFrame([], SW)).count() == 0
+
+
+def test_states_name_shapes():
+    a, b = N.ShapeAutomaton(), N.ShapeAutomaton()
+    b.state({"other": [1, "x"]})
+    assert a.state({"x": 1, "y": [1, 2.5]}) == b.state({"y": [9], "x": 2})
+    assert a.state({"x": 1}) != a.state({"x": "1"}) and a.state([1, None]) != a.state([1])
