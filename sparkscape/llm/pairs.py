@@ -63,7 +63,7 @@ class Bucketed:
         rows.write.partitionBy("bucket").parquet(version)
         for b in touched:
             self.place[b] = f"{version}/bucket={b}"
-        kept = {r[0] for r in self.spark.read.parquet(version).select("bucket").distinct().collect()} if touched else set()
+        kept = {r[0] for r in self.spark.read.schema(f"{self.schema}, bucket int").parquet(version).select("bucket").distinct().collect()} if touched else set()
         for b in touched:
             if b not in kept:
                 del self.place[b]
@@ -197,13 +197,9 @@ class PairTable:
             source = rows.select("src", "items", "old")
             new_ids = lambda arr: fresh.value[arr]
         else:
-            # Codes by one sort of the band; records get them by joins on the item.
-            numbered = cut(coded.withColumn("code", F.monotonically_increasing_id()))
-            top = numbered.agg(F.max("code")).first()[0] + 1
-            if top * top >= 1 << 62:
-                numbered = cut(self.spark.createDataFrame(numbered.rdd.zipWithIndex().map(lambda x: (x[0].src, x[0].item, x[0].entered, x[1])), "src string, item string, entered boolean, code bigint"))
-                top = n
-            width, names = top, numbered.select("code", "src", "item")
+            # Codes without gaps; records get them by joins on the item.
+            numbered = cut(self.spark.createDataFrame(coded.rdd.zipWithIndex().map(lambda x: (x[0].src, x[0].item, x[0].entered, x[1])), "src string, item string, entered boolean, code bigint"))
+            width, names = n, numbered.select("code", "src", "item")
 
             def coded_side(side):
                 e = rows.select("src", "rec_id", F.explode(side).alias("item")).join(numbered, ["src", "item"])

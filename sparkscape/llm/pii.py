@@ -42,9 +42,9 @@ _AT = rf"(?:{SP}?@{SP}?|{SP}?[(\[{{]{SP}?(?:at|@|arroba|arobase){SP}?[)\]}}]{SP}
 _DOT = rf"(?:\.|{SP}?[(\[{{]{SP}?(?:dot|punto|punkt|point|\.){SP}?[)\]}}]{SP}?|{SP}(?:dot|punto|punkt|point){SP})"
 _SPELT_DOT = rf"(?:{SP}?[(\[{{]{SP}?(?:dot|punto|punkt|point|\.){SP}?[)\]}}]{SP}?|{SP}(?:dot|punto|punkt|point){SP})"
 _LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?"
-_TLD = r"\p{L}{2,}(?![\p{L}\p{N}])"
+_TLD = r"\p{L}{2,}(?![\p{L}\p{N}\-])"
 EMAIL = regex.compile(
-    rf"(?<![\p{{L}}\p{{N}}._%+\-]){_ATOM}(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})*?{_DOT}{_TLD}|{SP}(?:at|arroba|arobase){SP}{_LABEL}(?:{_DOT}{_LABEL})*?{_SPELT_DOT}{_TLD})(?:{_DOT}{_TLD})*", I
+    rf"(?<![\p{{L}}\p{{N}}._%+\-]){_ATOM}(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}{_TLD}|{SP}(?:at|arroba|arobase){SP}{_LABEL}(?:{_DOT}{_LABEL})*{_SPELT_DOT}{_TLD})", I
 )
 
 # --- street addresses
