@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkscape.functions import text as T
+from sparkscape.session import cut
 
 TIE = 1e-12
 DIGITS = 9
@@ -29,13 +30,20 @@ def term_counts(units: DataFrame, stop=T.STOP_WORDS, most: int = 1) -> DataFrame
 
 def frequencies(units: DataFrame, stop=T.STOP_WORDS, most: int = 1, min_df: int = 2) -> DataFrame:
     """term, df (units), tf (occurrences) of the terms in at least min_df units."""
-    f = term_counts(units, stop, most).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
-    return f.where(F.col("df") >= min_df)
+    return frequencies_of(term_counts(units, stop, most), min_df)
+
+
+def frequencies_of(counts: DataFrame, min_df: int = 2) -> DataFrame:
+    return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf")).where(F.col("df") >= min_df)
 
 
 def pool(units: DataFrame, top_k: int, stop=T.STOP_WORDS, most: int = 1, min_df: int = 2) -> DataFrame:
     """The 3 * top_k most frequent terms; ties by term."""
-    return frequencies(units, stop, most, min_df).orderBy(F.desc("tf"), "term").limit(3 * top_k)
+    return pool_of(term_counts(units, stop, most), top_k, min_df)
+
+
+def pool_of(counts: DataFrame, top_k: int, min_df: int = 2) -> DataFrame:
+    return frequencies_of(counts, min_df).orderBy(F.desc("tf"), "term").limit(3 * top_k)
 
 
 def scores(units: DataFrame, top_k: int, stop=T.STOP_WORDS, most: int = 1, min_df: int = 2) -> DataFrame:
@@ -44,8 +52,11 @@ def scores(units: DataFrame, top_k: int, stop=T.STOP_WORDS, most: int = 1, min_d
     idf = ln((1 + n) / (1 + df)) + 1; rows are L2-normalized over pool terms only. Scores
     are rounded to 9 digits, so that their order doesn't depend on the order of summation.
     """
-    counts = term_counts(units, stop, most)
-    p = pool(units, top_k, stop, most, min_df)
+    return scores_of(term_counts(units, stop, most), units, top_k, min_df)
+
+
+def scores_of(counts: DataFrame, units: DataFrame, top_k: int, min_df: int = 2) -> DataFrame:
+    p = pool_of(counts, top_k, min_df)
     n = units.where(T.not_blank(F.col("text"))).agg(F.count("*").alias("n_units"))
     w = counts.join(F.broadcast(p), "term").crossJoin(F.broadcast(n))  # n: one row
     w = w.withColumn("x", F.col("n") * (F.log((1 + F.col("n_units")) / (1 + F.col("df"))) + 1))
@@ -75,7 +86,11 @@ def register(scored: DataFrame, top_k: int, previous: list[str] | None = None) -
 
 def nodes(units: DataFrame, top_k: int = 20, stop=T.STOP_WORDS, most: int = 1, previous=None) -> DataFrame:
     """node_id (0-based, by score, then term), term, score."""
-    chosen = register(scores(units, top_k, stop, most), top_k, previous).where("selected")
+    return nodes_of(scores(units, top_k, stop, most), top_k, previous)
+
+
+def nodes_of(scored: DataFrame, top_k: int, previous=None) -> DataFrame:
+    chosen = register(scored, top_k, previous).where("selected")
     return chosen.select((F.row_number().over(Window.orderBy("rank")) - 1).alias("node_id"), "term", "score")
 
 
@@ -110,9 +125,11 @@ def edges(pair_counts: DataFrame, force_positive: bool = False) -> DataFrame:
 
 def signed_w(units: DataFrame, top_k: int = 20, sign: Column | None = None, stop=T.STOP_WORDS) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a corpus; a unit is negative if it declares opposition, or by ``sign``."""
-    n = nodes(units, top_k, stop)
+    counts = cut(term_counts(units, stop))  # the texts are cut into terms once, for the pool, the scores and the presence
+    n = cut(nodes_of(scores_of(counts, units, top_k), top_k))
     flag = units.select("unit_id", (T.opposes(F.col("text")) if sign is None else sign).alias("negative"))
-    return n, edges(pairs(presence(units, n, stop), flag))
+    present = counts.join(F.broadcast(n.select("term", "node_id")), "term").select("unit_id", "node_id")
+    return n, cut(edges(pairs(present, flag)))
 
 
 def status(node_list: DataFrame, edge_list: DataFrame) -> DataFrame:

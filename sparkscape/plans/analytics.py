@@ -75,7 +75,11 @@ def density(s, d, samples=20):
 
 def direction(s, d):
     """Share of each document's active nodes' dependencies (the node before) that are active; 1 without any."""
-    p = PL.occupied(s, d).select(F.col("run").alias("unit_id"), "state")
+    return directions(PL.occupied(s, d))
+
+
+def directions(occupied):
+    p = occupied.select(F.col("run").alias("unit_id"), "state")
     needs = F.col("state").bitwiseAND((1 << N) - 2)
     met = F.bit_count(needs.bitwiseAND(F.shiftleft("state", 1)))
     n = F.bit_count(needs)
@@ -90,9 +94,10 @@ def gate(s, d):
 
 def gatekeeper(s, d):
     """Four criteria on each document's state: cohesion, direction, density, not alone; with the reason."""
-    o = cut(PL.occupied(s, d))
-    cs = L.cohesion(o.select("run", "state"), PL.weights(s, d), "state")
-    x = o.join(cs, "run").join(direction(s, d).withColumnRenamed("unit_id", "run"), "run").withColumn("rho", F.bit_count("state") / N)
+    w = PL.weights(s, d)
+    o = cut(PL.occupied(s, d, w))
+    cs = L.cohesion(o.select("run", "state"), w, "state")
+    x = o.join(cs, "run").join(directions(o).withColumnRenamed("unit_id", "run"), "run").withColumn("rho", F.bit_count("state") / N)
     ok = {"cohesion": F.col("cs") >= 0, "direction": F.col("direction") >= 0.5, "density": F.col("rho") <= 0.95, "alone": F.col("rho") > 1 / N}
     admitted = None
     for c in ok.values():

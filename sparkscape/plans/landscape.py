@@ -91,12 +91,12 @@ def calibrate(s, d):
     return out.withColumn("d_ckm", F.round(L.distance(F.col("n_eff"), first), 9))
 
 
-def occupied(s, d):
+def occupied(s, d, w=None):
     """Orbits the documents' own states fall into."""
     u = units(s, d)
     nodes = cut(C.nodes(u, N))
     state = C.evaluate(u, nodes).groupBy("unit_id").agg(F.sum(F.when(F.col("sigma") > 0, F.pow(F.lit(2.0), "node_id")).otherwise(0)).cast("bigint").alias("state"))
-    return L.relaxed(state.select(F.col("unit_id").alias("run"), "state"), weights(s, d))
+    return L.relaxed(state.select(F.col("unit_id").alias("run"), "state"), weights(s, d) if w is None else w)
 
 
 def phases(s, d):
