@@ -1,5 +1,5 @@
 """The plan modules whose queries the repository offers."""
 
-from sparkscape.plans import analytics, corpus, landscape, monitor, relations, streams, training
+from sparkscape.plans import analytics, corpus, extra, landscape, monitor, relations, streams, training
 
-MODULES = [training, corpus, relations, landscape, monitor, analytics, streams]
+MODULES = [training, corpus, relations, landscape, monitor, analytics, extra, streams]

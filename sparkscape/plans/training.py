@@ -55,6 +55,17 @@ b as (select line_id, fmt, table_name, any_value(quoted) as quoted, any_value(co
   from u join dump_column q using (table_name) where q.ordinal = i::int group by all)
 """
 
+
+
+def _p1_valid(name: str, columns: list[tuple[str, str]]) -> str:
+    cells = ", ".join(f"max(y) filter (i = '{k + 1}')::{t} as {c}" for k, (c, t) in enumerate(columns))
+    text = r"""case when fmt = 'sql' and starts_with(w, '''') then regexp_replace(x, '(?s)\\(.)|''('')', '\1\2', 'g') when fmt = 'csv' and starts_with(w, '"') then replace(x, '""', '"') else x end"""
+    return f"with {_P1_BASE}, ok as (select line_id from b where quoted and counted and fits), z as (select u.line_id, u.i, {text} as y from u join ok using (line_id) where u.table_name = '{name}') select line_id, {cells} from z group by 1"
+
+
+_POST = [("discussion_id", "bigint"), ("post_id", "bigint"), ("author_id", "bigint"), ("posted_at", "timestamp"), ("parent_post_id", "bigint"), ("title", "varchar")]
+_QR = [("page", "bigint"), ("tab", "bigint"), ("discussion_id", "bigint"), ("post_id", "bigint"), ("quote_index", "bigint"), ("presented", "varchar")]
+
 _P5 = """
 with p as (select distinct rec_id, panel::json as j from monitor_trajectory where panel is not null),
 h as (select rec_id, json_extract(j, '$.thermostat') as th, json_extract(j, '$.G_state.top_coactivations') as tops from p),
@@ -73,6 +84,8 @@ k as (select sweep_id, place, key as alpha, json_extract(a, '$."' || key || '"')
 
 SQL = {
     "p1_found": f"with {_P1_BASE} select line_id, case when not quoted then 'quoting' when not counted then 'column_count' else 'invalid_value' end as reason from b where not quoted or not counted or not fits",
+    "p1_valid_post": _p1_valid("post", _POST),
+    "p1_valid_qr_entry": _p1_valid("mturk_2010_qr_entry", _QR),
     "p5_found": _P5
     + """select 'monitor_trajectory' as src, rec_id, 'thermostat' as child, '' as parent_item, item::varchar as item from o
 union select 'monitor_trajectory', rec_id, 'alpha_trajectory', item::varchar, i::varchar from v where json_type(e) <> 'NULL'
