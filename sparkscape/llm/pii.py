@@ -70,7 +70,7 @@ ADDRESS = [
 
 # A street noun at the end of the word: found by that end, then extended to the left.
 ADDRESS_END = regex.compile(rf"(?:straße|strasse|str\.|gasse|weg|allee|platz|ring|damm|ufer|steig|pfad|chaussee){SP}+\d{{1,4}}(?:{SP}?[a-z](?![\p{{L}}\d.]))?(?![\p{{L}}\d])", I)
-ADDRESS_START = regex.compile(rf"(?<![\p{{L}}\p{{N}}'’-])(?:(?-i:Am|Im|Beim|Zum|Zur|An{SP}+der|Auf{SP}+der|In{SP}+der|Hinter{SP}+der|Unter{SP}+den|AM|IM){SP}+)?(?:(?:Alter?|Neuer?|Große|Kleine|Obere|Untere){SP}+)?(?:{_W}-?)?$", I)
+ADDRESS_START = regex.compile(rf"(?<![\p{{L}}\p{{N}}'’-])(?:(?-i:Am|Im|Beim|Zum|Zur|An{SP}+der|Auf{SP}+der|In{SP}+der|Hinter{SP}+der|Unter{SP}+den|AM|IM){SP}+)?(?:(?:Alter?|Neuer?|Große|Kleine|Obere|Untere){SP}+)?{_W}-?\Z", I)
 
 # --- identity numbers, most telling first
 
@@ -98,13 +98,13 @@ _S = r"[    .\-/]"
 _PB, _PE = r"(?<![\p{L}\p{N}_+=#@…]|\d[.,\-/:])", r"(?![\p{L}\p{N}_…]|[.,\-/:]\d)"
 PHONE = [
     # international: +34 ..., (+34) ..., 0034 ...
-    regex.compile(rf"(?<![\p{{L}}\p{{N}}_])(?:\(\+\d{{1,3}}\)|\+\d{{1,3}}|{_PB}00(?:1|3[0-469]|4[0-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58]|351|353|352)){_S}?(?:\(0\){_S}?)?(?:\(\d{{1,4}}\){_S}?)?\d{{1,5}}(?:{_S}?\d{{2,8}}){{1,4}}{_PE}"),
+    regex.compile(rf"(?<![\p{{L}}\p{{N}}_])(?:\(\+\d{{1,3}}\)|\+\d{{1,3}}|{_PB}(?<!\d[    ])00(?:1|3[0-469]|4[0-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58]|351|353|352)){_S}?(?:\(0\){_S}?)?(?:\(\d{{1,4}}\){_S}?)?\d{{1,5}}(?:{_S}?\d{{2,8}}){{1,4}}{_PE}"),
+    regex.compile(rf"{_PB}[5-9]\d{{2}}(?:{_S}\d{{3}}{_S}\d{{3}}|(?:{_S}\d{{2}}){{3}}){_PE}"),
+    regex.compile(rf"{_PB}[5-9]\d{{8}}{_PE}"),
     regex.compile(rf"{_PB}0\d(?:{_S}\d{{2}}){{4}}{_PE}"),
     regex.compile(rf"{_PB}0[1-9]\d{{8}}{_PE}"),
     regex.compile(rf"{_PB}(?:\(0\d{{2,4}}\){_S}?|0\d{{2,4}}{_S})\d{{3,6}}(?:{_S}\d{{2,5}})?{_PE}"),
     regex.compile(rf"{_PB}(?:1{_S})?(?:\([2-9]\d{{2}}\){_S}?|[2-9]\d{{2}}{_S})[2-9]\d{{2}}{_S}\d{{4}}{_PE}"),
-    regex.compile(rf"{_PB}[5-9]\d{{2}}(?:{_S}\d{{3}}{_S}\d{{3}}|(?:{_S}\d{{2}}){{3}}){_PE}"),
-    regex.compile(rf"{_PB}[5-9]\d{{8}}{_PE}"),
     regex.compile(rf"{_PB}555-\d{{4}}{_PE}"),
 ]
 
@@ -207,8 +207,9 @@ class Detector:
                 if kind == "address":
                     for x in ADDRESS_END.finditer(free):
                         low = max(0, x.start() - 80)
-                        start = ADDRESS_START.search(free[low : x.start()]).start() + low
-                        close(start, x.end(), kind)
+                        start = ADDRESS_START.search(free[low : x.start()])
+                        if start:  # the noun alone (a verb, for all one knows) is no street
+                            close(start.start() + low, x.end(), kind)
         for a, b in self.names(free):
             taken.append((a, b, "name"))
         taken.sort()
@@ -282,11 +283,6 @@ class Detector:
                     yield x.start(), end
                     done = end
                     continue
-                end = self.after_given(s, x.end()) if g else -1
-                if end > 0:
-                    yield x.start(), end
-                    done = end
-                    continue
             # family first: "Family, Given" or "Family, G."
             b = self.before.search(s, max(done, x.start() - 90), x.start())
             if b:

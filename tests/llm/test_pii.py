@@ -20,7 +20,8 @@ CASES = [
     ("Call 0034529221848 or +49 (0)30 23125-832 or 030/23125-333.", "phone", ["0034529221848", "+49 (0)30 23125-832", "030/23125-333"]),
     ("(030) 23125 646; 01632 960 519; 07700 900883; 555-0180 (mañana)", "phone", ["(030) 23125 646", "01632 960 519", "07700 900883", "555-0180"]),
     ("+1.825.555.0107 (699) 555-0143, 06-39-98-89-04 01.99.00.91.54", "phone", ["+1.825.555.0107", "(699) 555-0143", "06-39-98-89-04", "01.99.00.91.54"]),
-    ("Llamad al 587597363 antes. 524-676-998", "phone", ["587597363", "524-676-998"]),
+    ("Llamad al 587597363 antes. 524-676-998 tel:589 024 517", "phone", ["587597363", "524-676-998", "589 024 517"]),
+    ("tel. 589 001 621. Ring 0033 1 99 00 81 41 before, Ring 555-0180", "phone", ["589 001 621", "0033 1 99 00 81 41", "555-0180"]),
     ("ts=1772141016.138 seed 20251011 2025-10-18 09:00 n_runs 200-1108-5000-20000 tick=18136 0.74 " + "1234567890" * 6, "phone", []),
     ("DNI 99010622-Y (99.843.432-K) NIE Z-9980261-B con DNI 99715514 Z.", "id_number", ["99010622-Y", "99.843.432-K", "Z-9980261-B", "99715514 Z"]),
     ("SSN 951-51-1038, id=968 08 0240; NI number QQ 16 66 19 C", "id_number", ["951-51-1038", "968 08 0240", "QQ 16 66 19 C"]),
@@ -34,6 +35,7 @@ CASES = [
     ("Me llamo Marta Brenhurst y RUTH OSTZOLTZ KORMENDI, hazel van casñarra", "name", ["Marta Brenhurst", "RUTH OSTZOLTZ KORMENDI", "hazel van casñarra"]),
     ("Ostwické-Korlova, Ruth; J. Favstrøm; Götz I. Nollova; Iñaki de Gerrrán", "name", ["Ostwické-Korlova, Ruth", "J. Favstrøm", "Götz I. Nollova", "Iñaki de Gerrrán"]),
     ("Dr. Korhurst, Herr Götz Luddauer, Sra. Nolvessa", "name", ["Korhurst", "Nolvessa"]),
+    ("17 bis, 3º B. Marta Korlova pidió", "name", ["Marta Korlova"]),
     ("Hazel Casñarra and Ruth Kasñarra", "name", ["Hazel Casñarra"]),
     ("escala Korhurst, rama 66; Marta came; Ruth-2 Korlova; índice Ostlova = 0.4", "name", []),
 ]
