@@ -292,3 +292,81 @@ def smallest_landscapes(n: int, first: int, last: int) -> list[tuple[int, float]
         _, c = np.unique(L.relax(states, w)[0], return_counts=True)
         out.append((code, round(float(c.sum() ** 2 / (c.astype(float) ** 2).sum()), 9)))
     return out
+
+
+def swapped(w: np.ndarray, swaps: int, seed: int) -> np.ndarray:
+    """W with its edges rewired by pairs, every node keeping its number of edges; weights travel with the edges."""
+    g, out = np.random.default_rng(seed), w.copy()
+    for _ in range(swaps):
+        e = np.argwhere(np.triu(out != 0, 1))
+        if len(e) < 2:
+            break
+        (a, b), (c, d) = e[g.choice(len(e), 2, replace=False)]
+        if g.random() < 0.5:
+            c, d = d, c
+        if len({a, b, c, d}) == 4 and not out[a, d] and not out[c, b]:
+            x, y = out[a, b], out[c, d]
+            out[a, b] = out[b, a] = out[c, d] = out[d, c] = 0
+            out[a, d] = out[d, a] = x
+            out[c, b] = out[b, c] = y
+    return out
+
+
+def porosity(w: np.ndarray, groups: list[int]) -> float | None:
+    """Least ratio of the mean weight across to the smaller mean inside, over pairs of groups with enough pairs of nodes."""
+    m, g, found = np.abs(scaled(w)), np.array(groups), []
+    inside = {c: m[np.ix_(g == c, g == c)][np.triu_indices(int((g == c).sum()), 1)] for c in set(groups)}
+    for a in inside:
+        for b in inside:
+            across = m[np.ix_(g == a, g == b)]
+            if a < b and across.size >= 4 and len(inside[a]) and len(inside[b]):
+                low = min(inside[a].mean(), inside[b].mean())
+                if low > 0:
+                    found.append(float(across.mean() / low))
+    return min(found) if found else None
+
+
+def screen(w: np.ndarray, k: int, shuffles: int, seed: int, tests: int = 7) -> dict:
+    """Least porosity of k groups against the least of each weight-shuffled W, with the verdict at 0.05 over ``tests``.
+
+    NOT MEASURABLE where no pair of groups has enough pairs; p is at least 1 / (1 + measurable shuffles),
+    so over 20 * tests of them are needed for any verdict but NOTHING.
+    """
+    seen = porosity(w, spectral_kmeans(w, k, seed))
+    if seen is None:
+        return {"porosity": None, "p": None, "verdict": "NOT MEASURABLE"}
+    iu, null = np.triu_indices(len(w), 1), []
+    for r in range(shuffles):
+        x = np.zeros_like(w)
+        x[iu] = np.random.default_rng([seed, r]).permutation(w[iu])
+        x += x.T
+        p = porosity(x, spectral_kmeans(x, k, seed))
+        if p is not None:
+            null.append(p)
+    p = (1 + sum(x <= seen for x in null)) / (1 + len(null))
+    return {"porosity": seen, "p": p, "verdict": "FRONTIER" if p < 0.05 / tests else "NOTHING"}
+
+
+def first_melting(w: np.ndarray, betas: list[float], seed: int, floor: float = 0.1) -> list[tuple[int, int, float | None]]:
+    """(i, j, first beta from cold to hot whose correlation is below the floor) for pairs across the spectral cut."""
+    side, _ = fiedler(w)
+    grids = [(b, np.abs(thermal(w, b, seed, 2000))) for b in sorted(betas, reverse=True)]
+    return [(i, j, next((b for b, c in grids if c[i, j] < floor), None)) for i in range(len(w)) for j in range(i + 1, len(w)) if side[i] != side[j]]
+
+
+def collapse_distribution(n: int, samples: int) -> list[tuple[float, float]]:
+    """(n_eff, probability) when ``samples`` states of the collapsed W fall up, down or stay, n odd (none stay) or even.
+
+    States are drawn uniformly; for even n each balanced state is an orbit of its own and counts as one.
+    """
+    stay = 0.0 if n % 2 else float(np.exp(lgamma(n + 1) - 2 * lgamma(n / 2 + 1) - n * log(2)))
+    side, out = (1 - stay) / 2, {}
+    for up in range(samples + 1):
+        for down in range(samples + 1 - up):
+            zero = samples - up - down
+            if zero and not stay:
+                continue
+            lp = lgamma(samples + 1) - lgamma(up + 1) - lgamma(down + 1) - lgamma(zero + 1) + (up + down) * log(side) + (zero * log(stay) if zero else 0)
+            value = round(samples**2 / (up**2 + down**2 + zero), 9)
+            out[value] = out.get(value, 0.0) + float(np.exp(lp))
+    return sorted(out.items())

@@ -194,3 +194,30 @@ def test_stream_panel_equals_batch_fold(spark):
     for r in got.values():
         last[r.series] = max(last.get(r.series, (0, 0)), (r.n, r.rejected))
     assert last == {s: (n[s], float(rej[s])) for s in n}
+
+
+def test_swaps_keep_degrees_and_weights():
+    g = np.random.default_rng(0)
+    w = np.triu(g.integers(-1, 2, (9, 9)), 1)
+    w = w + w.T
+    x = A.swapped(w, 100, 1)
+    assert (x == x.T).all() and sorted(x[x != 0]) == sorted(w[w != 0]) and ((x != 0).sum(axis=0) == (w != 0).sum(axis=0)).all() and (x != w).any()
+
+
+def test_collapse_distribution_is_one():
+    for n in (5, 6, 9):
+        d = A.collapse_distribution(n, 12)
+        assert sum(p for _, p in d) == pytest.approx(1) and all(1 <= v <= 12 for v, _ in d)
+
+
+def test_screen_finds_planted_groups_only():
+    w = np.full((10, 10), 1)
+    w[:5, :5] = w[5:, 5:] = 20
+    np.fill_diagonal(w, 0)
+    assert A.screen(w, 2, 400, 0)["verdict"] == "FRONTIER"
+    assert A.screen(np.zeros((4, 4), int), 2, 5, 0)["verdict"] == "NOT MEASURABLE"
+
+
+def test_loose_json(spark):
+    u = units(spark, ['say {"a": 1} now', "none", None, "{broken"])
+    assert [r[0] for r in u.orderBy("unit_id").select(files.loose_json(F.col("text"))).collect()] == ['{"a": 1}', None, None, None]
