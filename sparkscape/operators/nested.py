@@ -186,6 +186,18 @@ def subtype(trajectory: DataFrame, sweep: DataFrame, child: str) -> DataFrame:
     return rows.withColumn("t_", typed).select("src", "rec_id", "parent_item", "item", "variant", "t_.*", F.when(~F.col("variant").startswith("o"), F.col("payload")).alias("rest"))
 
 
+MEASURE = {"thermostat": "D_ckm", "alpha_trajectory": "alpha", "top_coactivations": "weight", "a_post_per_alpha": "A_post"}
+
+
+def values(trajectory: DataFrame, sweep: DataFrame) -> DataFrame:
+    """Keys and the measured value of every child row (null where it isn't a number), all children in one table."""
+    rows = children(trajectory, sweep).select(*KEYS, "payload").distinct()
+    members = ", ".join(f"{m} double" for m in MEASURE.values())
+    v = rows.withColumn("v_", F.from_json("payload", members))
+    value = F.coalesce(*(F.when(F.col("child") == c, F.col(f"v_.{m}")) for c, m in MEASURE.items()))
+    return v.select(*KEYS, value.alias("value"))
+
+
 def variants(trajectory: DataFrame, sweep: DataFrame) -> DataFrame:
     """Catalogue of structural variants: child, variant, shape, number of rows and records."""
     rows = children(trajectory, sweep).select("src", "rec_id", "child", "parent_item", "item", "variant", "shape").distinct()

@@ -26,6 +26,7 @@ QUERIES = {
     "p5_alpha_trajectory": lambda s, d: nested.subtype(*_nested(s, d), "alpha_trajectory"),
     "p5_top_coactivations": lambda s, d: nested.subtype(*_nested(s, d), "top_coactivations"),
     "p5_a_post_per_alpha": lambda s, d: nested.subtype(*_nested(s, d), "a_post_per_alpha"),
+    "p5_values": lambda s, d: nested.values(*_nested(s, d)),
     "p5_variants": lambda s, d: nested.variants(*_nested(s, d)),
 }
 
@@ -82,7 +83,35 @@ k as (select sweep_id, place, key as alpha, json_extract(a, '$."' || key || '"')
   union all select sweep_id, place, json_extract_string(a, '$[' || i || '].alpha'), json_extract(a, '$[' || i || '].A_post') from (select sweep_id, place, a, unnest(range(json_array_length(a)::bigint)) as i from m where json_type(a) = 'ARRAY'))
 """
 
+_P2 = """
+with x as (select distinct file_id, series, file_seq, line_json::json as j from trajectory_line),
+w as (select file_id, x.j ->> '$.t' as t, replace(n.fullkey[3:], '"', '') as path, n.type as ty, n.value as v from x, json_tree(x.j) n where n.fullkey <> '$' and not contains(n.fullkey, '[')),
+c as (select file_id, t, path, case when ty in ('UBIGINT', 'BIGINT', 'HUGEINT', 'UHUGEINT', 'DOUBLE') then 'number' when ty = 'VARCHAR' then 'string' else lower(ty) end as kind, case when ty in ('UBIGINT', 'BIGINT', 'DOUBLE') then (v::double)::varchar else v::varchar end as v from w),
+f as (select file_id, path, coalesce(list_sort(list(distinct kind) filter (kind <> 'null')), []) as kinds from c group by all),
+fs as (select distinct file_id, series, file_seq from x),
+pr as (select n.file_id, o.file_id as old_id from fs n join fs o on n.series = o.series and n.file_seq = o.file_seq + 1),
+nw as (select pr.*, path, kinds from pr join f using (file_id)),
+ol as (select pr.*, path, kinds from pr join f on f.file_id = pr.old_id),
+ad as (select *, regexp_replace(path, '[.]?[^.]*$', '') as parent from nw anti join ol using (file_id, path)),
+rm as (select *, regexp_replace(path, '[.]?[^.]*$', '') as parent from ol anti join nw using (file_id, path)),
+ct as (select distinct pr.file_id, a.t from pr join c a on a.file_id = pr.file_id join c b on b.file_id = pr.old_id and b.t = a.t),
+sa as (select ad.file_id, ad.parent, ad.path, list_sort(list(distinct c.t || ' ' || kind || ' ' || v)) as sig from ad join c on c.file_id = ad.file_id and c.path = ad.path and kind <> 'null' join ct on ct.file_id = ad.file_id and ct.t = c.t group by all),
+sr as (select rm.file_id, rm.parent, rm.path, list_sort(list(distinct c.t || ' ' || kind || ' ' || v)) as sig from rm join c on c.file_id = rm.old_id and c.path = rm.path and kind <> 'null' join ct on ct.file_id = rm.file_id and ct.t = c.t group by all),
+rn as (select sa.file_id, sa.path as field, sr.path as old_field from sa join sr using (file_id, parent, sig))
+"""
+
 SQL = {
+    "p2_found": _P2
+    + """select file_id, 'added' as change, path as field, '' as old_field from ad where not exists (select 1 from rn where rn.file_id = ad.file_id and rn.field = ad.path)
+union all select file_id, 'removed', path, '' from rm where not exists (select 1 from rn where rn.file_id = rm.file_id and rn.old_field = rm.path)
+union all select nw.file_id, 'type', path, '' from nw join ol using (file_id, path) where len(nw.kinds) > 0 and len(ol.kinds) > 0 and nw.kinds <> ol.kinds
+union all select file_id, 'renamed', field, old_field from rn""",
+    "p5_values": _P5
+    + """, q as (select 'monitor_trajectory' as src, rec_id, 'thermostat' as child, '' as parent_item, item::varchar as item, json_extract(e, '$.D_ckm') as v from o
+union select 'monitor_trajectory', rec_id, 'alpha_trajectory', item::varchar, i::varchar, json_extract(e, '$.alpha') from v where json_type(e) <> 'NULL'
+union select 'monitor_trajectory', rec_id, 'top_coactivations', '', i::varchar, json_extract(tops, '$[' || i || '].weight') from (select rec_id, tops, unnest(range(json_array_length(tops)::bigint)) as i from h where json_type(tops) = 'ARRAY')
+union select 'reg_sweep_stop_perdida_v1', sweep_id, 'a_post_per_alpha', place::varchar, printf('%.1f', alpha::double), x from k where json_type(x) <> 'NULL')
+select src, rec_id, child, parent_item, item, case when json_type(v) in ('UBIGINT', 'BIGINT', 'DOUBLE') then v::double end as value from q""",
     "p1_found": f"with {_P1_BASE} select line_id, case when not quoted then 'quoting' when not counted then 'column_count' else 'invalid_value' end as reason from b where not quoted or not counted or not fits",
     "p1_valid_post": _p1_valid("post", _POST),
     "p1_valid_qr_entry": _p1_valid("mturk_2010_qr_entry", _QR),
