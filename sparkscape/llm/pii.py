@@ -77,17 +77,18 @@ ADDRESS_START = regex.compile(rf"(?<![\p{{L}}\p{{N}}'’-])(?:(?-i:Am|Im|Beim|Zu
 _B, _E = r"(?<![\p{L}\p{N}_.+\-#…])", r"(?![\p{L}\p{N}_…])"
 _DL = "[A-HJ-NP-TV-Za-hj-np-tv-z]"
 ID_LABEL = r"(?<![\p{L}\p{N}])(?:DNI|NIE|NIF|documento(?:\s+n[º°o.]+)?|SSN|social security (?:no\.|number)|NI number|ID number|n[°º] (?:de )?sécu(?:rité sociale)?|NIR|Personalausweis|Ausweis(?:-Nr\.|nummer)?|SV-Nummer|Versicherungsnummer|passport(?: no\.)?|id)\s*[:=]?\s*"
+ID_LABELLED = regex.compile(ID_LABEL, I)
 ID_NUMBER = [
     regex.compile(rf"{_B}[XYZxyz][- ]?\d{{7}}[- ]?{_DL}{_E}"),
     regex.compile(rf"{_B}\d{{2}}\.\d{{3}}\.\d{{3}}(?:[- ]?{_DL})?{_E}"),
     regex.compile(rf"{_B}(?<![=:])\d{{8}}-?{_DL}{_E}"),
     regex.compile(rf"(?:{ID_LABEL}|[=(/:]{SP}?|\b(?:dice|shows|steht|porte){SP})(\d{{8}}[- ]?{_DL}){_E}", I),
     regex.compile(rf"{_B}\d{{2}}{SP}?\d{{6}}{SP}?\p{{L}}{SP}?\d{{3}}{_E}"),
-    regex.compile(rf"{_B}[A-Za-z]{{2}}[- ]?\d{{2}}[- ]?\d{{2}}[- ]?\d{{2}}[- ]?[A-Da-d]{_E}"),
+    regex.compile(rf"(?=[A-Za-z]{{2}}[- ]?\d){_B}[A-Za-z]{{2}}[- ]?\d{{2}}[- ]?\d{{2}}[- ]?\d{{2}}[- ]?[A-Da-d]{_E}"),
     regex.compile(rf"{_B}[1-9]{SP}?\d{{2}}{SP}?\d{{2}}{SP}?(?:\d{{2}}|2[AB]){SP}?\d{{3}}{SP}?\d{{3}}{SP}?\d{{2}}{_E}"),
     regex.compile(rf"{_B}(?<![=/])\d{{3}}[-{SP[1:-1]}]\d{{2}}[-{SP[1:-1]}]\d{{4}}{_E}"),
     regex.compile(rf"{ID_LABEL}(\d{{3}}[-{SP[1:-1]}]\d{{2}}[-{SP[1:-1]}]\d{{4}}){_E}", I),
-    regex.compile(rf"{_B}(?=(?:\w*\d){{4}})[LMPR-TV-Z][0-9A-Z]{{8}}\d?{_E}"),
+    regex.compile(rf"(?=[LMPR-TV-Z][0-9A-Z]{{8}}){_B}(?=(?:\w*\d){{4}})[LMPR-TV-Z][0-9A-Z]{{8}}\d?{_E}"),
     regex.compile(rf"{ID_LABEL}((?=(?:\w*\d){{4}})[a-z][0-9a-z]{{8}}\d?){_E}", I),
     regex.compile(rf"\b(?:DNI|NIE|NIF|SSN|NIR)\s*[:=]?\s*(\d{{8,9}}){_E}", I),
 ]
@@ -104,7 +105,7 @@ PHONE = [
     regex.compile(rf"{_PB}0\d(?:{_S}\d{{2}}){{4}}{_PE}"),
     regex.compile(rf"{_PB}0[1-9]\d{{8}}{_PE}"),
     regex.compile(rf"{_PB}(?:\(0\d{{2,4}}\){_S}?|0\d{{2,4}}{_S})\d{{3,6}}(?:{_S}\d{{2,5}})?{_PE}"),
-    regex.compile(rf"{_PB}(?:1{_S})?(?:\([2-9]\d{{2}}\){_S}?|[2-9]\d{{2}}{_S})[2-9]\d{{2}}{_S}\d{{4}}{_PE}"),
+    regex.compile(rf"(?=\(?\d){_PB}(?:1{_S})?(?:\([2-9]\d{{2}}\){_S}?|[2-9]\d{{2}}{_S})[2-9]\d{{2}}{_S}\d{{4}}{_PE}"),
     regex.compile(rf"{_PB}555-\d{{4}}{_PE}"),
 ]
 
@@ -128,6 +129,10 @@ class FamilyShape:
         self.heads = tuple(h for h, c in heads.items() if c >= support)
         self.tails = tuple(t for t, c in tails.items() if c >= support)
         self.known: dict[str, bool] = {}
+        # A text without any of these pieces has no family name (None: too many pieces to look for).
+        rest = {n for n in self.listed if not (self.tails and n.endswith(self.tails))}
+        short = {t for t in self.tails if not any(t != u and t.endswith(u) for u in self.tails)}
+        self.hints = sorted(short | rest) if len(short | rest) <= 200 else None
 
     def __call__(self, word: str) -> bool:
         got = self.known.get(word)
@@ -190,6 +195,7 @@ class Detector:
         taken: list[tuple[int, int, str]] = []
         free = s
         has_digit = regex.search(r"\d", s) is not None
+        labelled = has_digit and ID_LABELLED.search(s) is not None
 
         def close(a: int, b: int, kind: str) -> None:
             nonlocal free
@@ -202,6 +208,8 @@ class Detector:
         if has_digit:
             for pats, kind in ((ADDRESS, "address"), (ID_NUMBER, "id_number"), (PHONE, "phone")):
                 for p in pats:
+                    if not labelled and p.pattern.startswith(ID_LABEL):
+                        continue
                     for x in p.finditer(free):
                         close(*x.span(p.groups), kind)
                 if kind == "address":
@@ -210,8 +218,10 @@ class Detector:
                         start = ADDRESS_START.search(free[low : x.start()])
                         if start:  # the noun alone (a verb, for all one knows) is no street
                             close(start.start() + low, x.end(), kind)
-        for a, b in self.names(free):
-            taken.append((a, b, "name"))
+        low = s.lower()
+        if self.family.hints is None or any(h in low for h in self.family.hints):
+            for a, b in self.names(free):
+                taken.append((a, b, "name"))
         taken.sort()
         return [(*m.span(a, b), k) for a, b, k in taken]
 
