@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,9 +14,31 @@ from pyspark.sql import DataFrame, SparkSession
 FIXED_TABLE_ROWS = 20_000
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package, wherever the driver was started.
+
+    Workers get the package's parent folder in their path; on a real cluster, where that
+    folder may not be there, also a zip of the package, written to the shared folder.
+    """
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    known = sc.environment.get("PYTHONPATH", "")
+    if str(root) in known.split(os.pathsep):
+        return spark
+    sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [str(root), known]))
+    if not sc.master.startswith("local"):
+        base = shared_dir(spark)
+        folder = Path(base.removeprefix("file://")) if base.startswith(("file:", "/")) else Path(tempfile.mkdtemp())
+        folder.mkdir(parents=True, exist_ok=True)
+        with zipfile.ZipFile(folder / "sparkscape.zip", "w") as z:
+            for f in (root / "sparkscape").rglob("*.py"):
+                z.write(f, f.relative_to(root))
+        sc.addPyFile(str(folder / "sparkscape.zip"))
+    return spark
+
+
 def local_session(cores: int = 8, app: str = "sparkscape") -> SparkSession:
     """A local session for tests and the bench."""
-    return (
+    return ship(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))

@@ -1,4 +1,7 @@
 import json
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -221,3 +224,18 @@ def test_screen_finds_planted_groups_only():
 def test_loose_json(spark):
     u = units(spark, ['say {"a": 1} now', "none", None, "{broken"])
     assert [r[0] for r in u.orderBy("unit_id").select(files.loose_json(F.col("text"))).collect()] == ['{"a": 1}', None, None, None]
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', '2').config('spark.ui.enabled', 'false').getOrCreate()
+import __spark_entry__ as e
+assert e.queries()['p1_found'](s, '/root/testdata/sf0.001').count() > 0
+assert e.queries()['smallest_landscapes'](s, '/root/testdata/sf0.001').count() == 729
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
