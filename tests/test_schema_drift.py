@@ -44,7 +44,7 @@ FILES = {
     ("a", 5): [{"t": 9}],
     ("b", 1): [{"t": 1, "x": 1, "y": 1}],
     ("b", 2): [{"t": 1, "z": 1, "w": 1.0}],
-    ("b", 3): [],
+    ("b", 3): [None],
     ("c", 1): ["{}"],
     ("c", 2): [{"a": "é" * 5000}],
 }
