@@ -335,10 +335,16 @@ def permuted(key: bytes, label: str, n: int, value: int) -> int:
 
 
 class Surrogates:
-    """Keyed replacements that keep type, format, script and case."""
+    """Keyed replacements that keep type, format, script and case.
 
-    def __init__(self, key: str, parts: list[tuple[str, str, str | None]]):
+    From attempt number ``attempts`` on, families come from letter permutations instead of the
+    list, which may be used up; every later attempt also adds its number, so surrogates grow
+    beyond any given set of taken values.
+    """
+
+    def __init__(self, key: str, parts: list[tuple[str, str, str | None]], attempts: int = 8):
         self.key = key.encode()
+        self.attempts = attempts
         self.given: dict[str, tuple[list[str], int]] = {}
         groups: dict[tuple, list[str]] = {}
         for n, k, lang in sorted(parts, key=lambda p: (p[0], p[1])):
@@ -389,13 +395,30 @@ class Surrogates:
                 return self.like(w, members[permuted(self.key, f"given|{attempt}|{members[0]}", len(members), i)])
             if len(w) <= 1 or f in PARTICLES.split():
                 return w
-            if f in self.family_at:
+            if f in self.family_at and attempt < self.attempts:
                 return self.like(w, self.families[permuted(self.key, f"family|{attempt}", len(self.families), self.family_at[f])])
             return self.letters_and_digits("family", w, attempt)
 
         return regex.sub(_WORD, word, value)
 
+    @staticmethod
+    def numbered(kind: str, new: str, n: int) -> str:
+        """With n in it: letters behind a name's last word or an email's first, else digits behind the last digits."""
+        runs = list(regex.finditer(r"\p{L}{2,}" if kind == "name" else r"\p{L}+" if kind == "email" else r"\d+", new))
+        end = runs[0 if kind == "email" else -1].end() if runs else len(new)
+        if kind not in ("name", "email"):
+            return f"{new[:end]}{n}{new[end:]}"
+        code = ""
+        while n:
+            n, d = divmod(n - 1, 26)
+            code = chr(97 + d) + code
+        return new[:end] + (code.upper() if new[:end][-2:].isupper() else code) + new[end:]
+
     def __call__(self, kind: str, value: str, attempt: int = 0) -> str:
+        new = self.replaced(kind, value, attempt)
+        return self.numbered(kind, new, attempt - self.attempts) if attempt > self.attempts else new
+
+    def replaced(self, kind: str, value: str, attempt: int) -> str:
         v = unicodedata.normalize("NFC", value)
         if kind == "name":
             return self.name(v, attempt)
@@ -488,12 +511,14 @@ def surrogate_map(values: DataFrame, parts_table: DataFrame, key: str, attempts:
 
     A surrogate that two different values share, or that is itself a value of the collection,
     is made anew with the next attempt number, for the later value only. Values left after
-    ``attempts`` rounds (none in practice: each round is a permutation) raise an error.
+    ``attempts`` rounds get surrogates outside the list of names, then numbered ones. This ends
+    however many values are real: the least value is barred by real values only, the next by
+    these and the least one's surrogate, and so on, and numbers outgrow them all.
     """
     parts = values.sparkSession.sparkContext.broadcast(name_parts(parts_table))
 
     def run(batches):
-        s = Surrogates(key, parts.value)
+        s = Surrogates(key, parts.value, attempts)
         for b in batches:
             kinds, vals, tries = (b.column(k).to_pylist() for k in range(3))
             new = [s(k, v, t) for k, v, t in zip(kinds, vals, tries)]
@@ -504,7 +529,7 @@ def surrogate_map(values: DataFrame, parts_table: DataFrame, key: str, attempts:
 
     made = "kind string, found string, attempt int, surrogate string, own string, other string"
     rows = cut(values.select("kind", "found", F.lit(0).alias("attempt")).mapInArrow(run, made))
-    for _ in range(attempts):
+    while True:
         first = F.min("own").over(Window.partitionBy("kind", "other"))
         real = rows.select("kind", F.col("own").alias("other"), F.lit(True).alias("real")).distinct()
         judged = rows.withColumn("first", first).join(real, ["kind", "other"], "left")
@@ -514,7 +539,6 @@ def surrogate_map(values: DataFrame, parts_table: DataFrame, key: str, attempts:
             return judged.select("kind", "found", "surrogate")
         again = clash.select("kind", "found", (F.col("attempt") + 1).alias("attempt")).mapInArrow(run, made)
         rows = cut(judged.where("not clash").select(*(c.split()[0] for c in made.split(", "))).unionByName(again))
-    raise RuntimeError("surrogates still clash; use another key")
 
 
 def with_surrogates(documents: DataFrame, parts_table: DataFrame, key: str) -> DataFrame:

@@ -83,6 +83,24 @@ def test_surrogates_are_one_to_one_and_coherent(spark):
     assert len(own) == len(new) and not own & new
 
 
+def test_surrogates_when_no_listed_or_same_length_name_is_free(spark):
+    _, parts = frames(spark, [])
+    short = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijklmnopqrstuvwxyz"]  # all of two letters
+    values = spark.createDataFrame([("name", n) for n in [*LISTED, *short]], "kind string, found string")
+    m = pii.surrogate_map(values, parts, "key", attempts=2).collect()
+    own, new = {pii.identity("name", r.found) for r in m}, {pii.identity("name", r.surrogate) for r in m}
+    assert len(m) == len(own) == len(new) == len(LISTED) + 676 and not own & new
+
+
+@pytest.mark.parametrize("kind,value", [("name", "M. BRENHURST"), ("email", "a.b@mail.test"), ("phone", "(030) 23125 646"), ("id_number", "99010622-Y"), ("address", "60B Tarmera Rd.")])
+def test_numbered_surrogates_keep_their_form(kind, value):
+    s = pii.Surrogates("key", PARTS)
+    made = {s(kind, value, k) for k in range(8, 60)}
+    assert len(made) == 52 and value not in made
+    form = {"name": r"M\. [A-Z]+", "email": r"[a-z]+\.[a-z]@[a-z]{4}\.test", "phone": r"\(\d{3}\) \d{5} \d{3,}", "id_number": r"\d{8,}-[A-Z]", "address": r"\d\d+[A-Z] [A-Z][a-z]{6} Rd\."}[kind]
+    assert all(pii.regex.fullmatch(form, v) for v in made)
+
+
 def test_empty_tables(spark):
     docs, parts = frames(spark, [])
     assert pii.found(docs, parts).count() == 0 and pii.redacted(docs, parts).count() == 0 and pii.with_surrogates(docs, parts, "k").count() == 0
