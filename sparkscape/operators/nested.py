@@ -3,22 +3,26 @@
 A bottom-up tree automaton gives every JSON node a state: scalars have one state
 per kind, an array the set of its elements' states, an object the map of its
 members' states. Equal shapes get equal states on every executor, as a state is
-named by a digest of its transition. The state of a child object is its
-structural variant; ``variants`` routes each variant to its own typed table.
-Every child row keeps the common keys (src, rec_id), its place and its parent's.
+named by a digest of its transition. The state of a panel's node decides which of
+its members hold children and of which table (EDGES); the state of a child, its
+structural variant, decides the subtype: the members whose kind isn't the declared
+one, such as "D_ckm:s". ``typed`` is the table of one subtype with that subtype's own
+types, ``subtype`` has all subtypes of a child under the declared types. The common
+keys (src, rec_id, child, places of parent and row) of all of them are ``found``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re as regex
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHILD = "src string, rec_id bigint, child string, parent_item string, item string, variant string, shape string, payload string"
+CHILD = "src string, rec_id bigint, child string, parent_item string, item string, variant string, shape string, payload string, subtype string, rest string"
 KEYS = ["src", "rec_id", "child", "parent_item", "item"]
 TYPED = {
     "thermostat": "zone string, D_ckm double, A0 double, A_current double, frac_rec double, stop_applied boolean",
@@ -26,16 +30,33 @@ TYPED = {
     "top_coactivations": "a string, b string, weight double",
     "a_post_per_alpha": "alpha double, A_post double",
 }
+ANY = "osnbaxz"
+# role: (member, kinds of the member, kinds of the elements taken, their role); a role in TYPED is a child table
+EDGES = {
+    "panel": (("thermostat", "oa", "o", "thermostat"), ("G_state", "o", "o", "graph")),
+    "thermostat": (("alpha_trajectory", "a", ANY.replace("z", ""), "alpha_trajectory"),),
+    "graph": (("top_coactivations", "a", ANY, "top_coactivations"),),
+}
+KIND = {"double": "n", "bigint": "n", "string": "s", "boolean": "b"}
+COLUMN = {"n": "double", "s": "string", "b": "boolean", "a": "string", "o": "string", "x": "string"}
+STRUCT = {"A_antes", "A_despues"}  # members of alpha_trajectory.landscape
+
+
+def declared(child: str) -> dict[str, str]:
+    """Member: type."""
+    return dict(m.split(" ", 1) for m in regex.split(r",\s*(?![^<]*>)", TYPED[child]))
 
 
 class ShapeAutomaton:
     """Deterministic bottom-up automaton over JSON trees, its transitions found as shapes come."""
 
     LEAF = {type(None): "z", bool: "b", int: "n", float: "n", str: "s"}
-    KEPT = 50_000  # transitions memoized; beyond that they are computed anew, with the same names
+    KEPT = 50_000  # transitions and routes memoized; beyond that they are computed anew, with the same names
+    DEEP = 100
 
     def __init__(self):
         self.names: dict[str, str] = {}
+        self.routes: dict[tuple, object] = {}
 
     def name(self, transition: str) -> str:
         got = self.names.get(transition)
@@ -45,22 +66,73 @@ class ShapeAutomaton:
                 self.names[transition] = got
         return got
 
-    def state(self, node) -> str:
+    def tree(self, node, depth: int = 0) -> tuple[str, list | dict | None, object]:
+        """(state, the same of elements or members, node); below DEEP levels the state is x, without more."""
         leaf = self.LEAF.get(type(node))
         if leaf:
-            return leaf
+            return leaf, None, node
+        if depth > self.DEEP:
+            return "x", None, node
         if type(node) is list:
-            return "a" + self.name("|".join(sorted({self.state(x) for x in node})))
-        return "o" + self.name(self.shape(node))
+            kids = [self.tree(x, depth + 1) for x in node]
+            return "a" + self.name("|".join(sorted({k[0] for k in kids}))), kids, node
+        kids = {k: self.tree(v, depth + 1) for k, v in node.items()}
+        return "o" + self.name(shape(kids)), kids, node
+
+    def state(self, node) -> str:
+        return self.tree(node)[0]
 
-    def shape(self, node: dict) -> str:
-        return ",".join(f"{k}:{self.state(v)}" for k, v in sorted(node.items()))
+    def known(self, key: tuple, found):
+        """found(), kept by key while there is room."""
+        got = self.routes.get(key)
+        if got is None:
+            got = found()
+            if len(self.routes) < self.KEPT:
+                self.routes[key] = got
+        return got
 
-    def variant(self, node) -> tuple[str, str]:
-        """(state, readable shape of the top level)."""
-        if type(node) is dict:
-            return self.state(node), self.shape(node)
-        return self.state(node), ""
+    def rows(self, role: str, tree, parent: str = "") -> Iterator[tuple]:
+        """(child, parent_item, item, tree) of the child rows below a node, as its state routes them."""
+        state, kids, _ = tree
+        if state[0] != "o":
+            return
+        for member, taken, to in self.known((role, state), lambda: [(m, t, to) for m, forms, t, to in EDGES.get(role, ()) if m in kids and kids[m][0][0] in forms]):
+            sub = kids[member]
+            for place, e in enumerate(sub[1] if sub[0][0] == "a" else [sub]):
+                if e[0][0] in taken:
+                    if to in TYPED:
+                        yield to, parent, str(place), e
+                    yield from self.rows(to, e, str(place) if to in TYPED else "")
+
+    def subtype(self, child: str, tree) -> tuple[str, str | None]:
+        """(subtype, rest): the members of another kind than declared; JSON of these and of members not declared."""
+        state, kids, node = tree
+        if state[0] != "o":
+            return "no object", json.dumps(node, ensure_ascii=False)
+
+        def found():
+            off, more = {}, []
+            types = self.known((child,), lambda: declared(child))
+            for k, (st, below, _) in kids.items():
+                if k not in types:
+                    if not (st == "z" or st[0] == "a" and any(k == e[0] for e in EDGES.get(child, ()))):
+                        more.append(k)
+                elif types[k].startswith("struct"):
+                    if st != "z" and not (st[0] == "o" and set(below) <= STRUCT and all(x[0] in "nz" for x in below.values())):
+                        off[k] = st[0]
+                elif st != "z" and st != KIND[types[k]]:
+                    off[k] = st[0]
+            return off, more, [k for k, t in types.items() if t == "bigint" and k in kids and kids[k][0] == "n"]
+
+        off, more, whole = self.known((child, state, "subtype"), found)
+        broken = {k: "n" for k in whole if type(node[k]) is not int or not -(2**63) <= node[k] < 2**63}
+        off = off | broken if broken else off
+        rest = {k: node[k] for k in (*off, *more)}
+        return ",".join(f"{k}:{v}" for k, v in sorted(off.items())), json.dumps(rest, ensure_ascii=False) if rest else None
+
+
+def shape(kids: dict) -> str:
+    return ",".join(f"{k}:{v[0]}" for k, v in sorted(kids.items(), key=lambda m: m[0]))
 
 
 def parsed(text):
@@ -114,30 +186,17 @@ def alphas(node) -> Iterator[tuple[str, object]]:
             yield key, v
 
 
-def panel_children(panel) -> Iterator[tuple[str, str, str, object]]:
-    """(child, parent_item, item, node) of a monitor panel."""
-    if type(panel) is not dict:
-        return
-    for place, th in items(panel.get("thermostat")):
-        if type(th) is not dict:
-            continue
-        yield "thermostat", "", str(place), th
-        way = th.get("alpha_trajectory")
-        for k, e in enumerate(way if type(way) is list else []):
-            if e is not None:
-                yield "alpha_trajectory", str(place), str(k), e
-    g = panel.get("G_state")
-    tops = g.get("top_coactivations") if type(g) is dict else None
-    for k, e in enumerate(tops if type(tops) is list else []):
-        yield "top_coactivations", "", str(k), e
-
-
-def sweep_children(node) -> Iterator[tuple[str, str, str, object]]:
-    """(child, parent_item, item, node) of a sweep record or an array of them."""
+def panel_children(automaton: ShapeAutomaton, panel) -> Iterator[tuple]:
+    """(child, parent_item, item, tree) of a monitor panel."""
+    return automaton.rows("panel", automaton.tree(panel))
+
+
+def sweep_children(automaton: ShapeAutomaton, node) -> Iterator[tuple]:
+    """(child, parent_item, item, tree) of a sweep record or an array of them; rows have one form, whatever the record's."""
     for place, rec in items(node):
         if type(rec) is dict:
             for a, v in alphas(rec.get("A_post_per_alpha")):
-                yield "a_post_per_alpha", str(place), a, {"alpha": float(a), "A_post": v}
+                yield "a_post_per_alpha", str(place), a, automaton.tree({"alpha": float(a), "A_post": v})
 
 
 def _children(df: DataFrame, src: str, key: str, text: str, walk) -> DataFrame:
@@ -146,11 +205,11 @@ def _children(df: DataFrame, src: str, key: str, text: str, walk) -> DataFrame:
         for batch in batches:
             out = []
             for rec, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for child, parent, item, node in walk(parsed(doc)):
-                    state, shape = automaton.variant(node)
-                    out.append((src, rec, child, parent, item, state, shape, json.dumps(node, ensure_ascii=False)))
-            cols = list(zip(*out)) or [()] * 8
-            types = [pa.string(), pa.int64(), *[pa.string()] * 6]
+                for child, parent, item, tree in walk(automaton, parsed(doc)):
+                    state, kids, node = tree
+                    out.append((src, rec, child, parent, item, state, shape(kids) if state[0] == "o" else "", json.dumps(node, ensure_ascii=False), *automaton.subtype(child, tree)))
+            cols = list(zip(*out)) or [()] * 10
+            types = [pa.string(), pa.int64(), *[pa.string()] * 8]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=CHILD.replace(" bigint", "").replace(" string", "").split(", "))
 
     return df.select(F.col(key).cast("bigint").alias("rec"), F.col(text).alias("doc")).where("doc is not null").mapInArrow(run, CHILD)
@@ -172,18 +231,31 @@ def found(trajectory: DataFrame, sweep: DataFrame) -> DataFrame:
     return children(trajectory, sweep).select(*KEYS).distinct()
 
 
+def _rows_of(trajectory: DataFrame, sweep: DataFrame, child: str) -> DataFrame:
+    only_sweep = child == "a_post_per_alpha"
+    rows = _children(sweep, "reg_sweep_stop_perdida_v1", "sweep_id", "record_json", sweep_children) if only_sweep else _children(trajectory, "monitor_trajectory", "rec_id", "panel", panel_children)
+    return rows.where(F.col("child") == child).distinct()
+
+
 def subtype(trajectory: DataFrame, sweep: DataFrame, child: str) -> DataFrame:
-    """The typed flat table of one child, with keys and variant.
+    """The flat table of one child with all its subtypes under the declared types, with keys and variant.
 
-    Members of another type than declared are null; a child element that is no object has
-    nulls in all typed columns and its JSON in ``rest``. Of a record delivered twice with
-    different content, one row per distinct content stays.
+    Members of another type than declared are null and stand, with members not declared, as
+    JSON in ``rest``; a child element that is no object has nulls in all typed columns and
+    its JSON in ``rest``. Of a record delivered twice with different content, one row per
+    distinct content stays.
     """
-    only_sweep = child == "a_post_per_alpha"
-    rows = _children(sweep, "reg_sweep_stop_perdida_v1", "sweep_id", "record_json", sweep_children) if only_sweep else _children(trajectory, "monitor_trajectory", "rec_id", "panel", panel_children)
-    rows = rows.where(F.col("child") == child).distinct()
-    typed = F.from_json("payload", TYPED[child])
-    return rows.withColumn("t_", typed).select("src", "rec_id", "parent_item", "item", "variant", "t_.*", F.when(~F.col("variant").startswith("o"), F.col("payload")).alias("rest"))
+    v = _rows_of(trajectory, sweep, child).withColumn("t_", F.from_json("payload", TYPED[child]))
+    columns = [F.when(~F.col("subtype").rlike(f"(^|,){m}:"), F.col(f"t_.{m}")).alias(m) for m in declared(child)]
+    return v.select("src", "rec_id", "parent_item", "item", "variant", "subtype", *columns, "rest")
+
+
+def typed(trajectory: DataFrame, sweep: DataFrame, child: str, name: str) -> DataFrame:
+    """The typed table of one subtype, such as thermostat's "D_ckm:s", where D_ckm is a string; "" is as declared."""
+    types = declared(child) | {k: COLUMN[v] for k, v in (m.rsplit(":", 1) for m in name.split(",") if m)}
+    rows = _rows_of(trajectory, sweep, child).where(F.col("subtype") == name)
+    v = rows.withColumn("t_", F.from_json("payload", ", ".join(f"{m} {t}" for m, t in types.items())))
+    return v.select("src", "rec_id", "parent_item", "item", "variant", "t_.*", "rest")
 
 
 MEASURE = {"thermostat": "D_ckm", "alpha_trajectory": "alpha", "top_coactivations": "weight", "a_post_per_alpha": "A_post"}

@@ -23,6 +23,7 @@ QUERIES = {
     "p2_unified": lambda s, d: schema_drift.read_unified(table(s, d, "trajectory_line")),
     "p5_found": lambda s, d: nested.found(*_nested(s, d)),
     "p5_thermostat": lambda s, d: nested.subtype(*_nested(s, d), "thermostat"),
+    "p5_thermostat_text": lambda s, d: nested.typed(*_nested(s, d), "thermostat", "D_ckm:s"),
     "p5_alpha_trajectory": lambda s, d: nested.subtype(*_nested(s, d), "alpha_trajectory"),
     "p5_top_coactivations": lambda s, d: nested.subtype(*_nested(s, d), "top_coactivations"),
     "p5_a_post_per_alpha": lambda s, d: nested.subtype(*_nested(s, d), "a_post_per_alpha"),

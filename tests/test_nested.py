@@ -25,6 +25,29 @@ def test_rows_links_and_forms(spark):
     assert N.subtype(t, w, "top_coactivations").where("rest is not null").count() == 1
 
 
+def test_each_variant_keeps_its_values(spark):
+    panel = {"thermostat": [{"zone": "z", "D_ckm": "0.4623", "note": [1]}, {"zone": 5, "D_ckm": 0.5, "alpha_trajectory": "no"}, {"D_ckm": 1, "A0": None, "alpha_trajectory": [{"t": 1.5, "landscape": {"A_antes": 1, "more": 2}}, {"t": 2, "landscape": {"A_antes": 1}}]}]}
+    t, w = spark.createDataFrame([(1, "s", json.dumps(panel), "c", 1)], TR), spark.createDataFrame([], SW)
+    got = {r["item"]: r for r in N.subtype(t, w, "thermostat").collect()}
+    assert [(r.subtype, r.D_ckm, r.zone, r.rest and json.loads(r.rest)) for _, r in sorted(got.items())] == [
+        ("D_ckm:s", None, "z", {"D_ckm": "0.4623", "note": [1]}), ("zone:n", 0.5, None, {"zone": 5, "alpha_trajectory": "no"}), ("", 1.0, None, None),
+    ]
+    text = N.typed(t, w, "thermostat", "D_ckm:s")
+    assert dict(text.dtypes)["D_ckm"] == "string" and [(r["item"], r.zone, r.D_ckm) for r in text.collect()] == [("0", "z", "0.4623")]
+    assert [r.zone for r in N.typed(t, w, "thermostat", "zone:n").collect()] == [5.0]
+    way = {r["item"]: r for r in N.subtype(t, w, "alpha_trajectory").collect()}
+    assert (way["0"].subtype, way["0"].t, json.loads(way["0"].rest)) == ("landscape:o,t:n", None, {"landscape": {"A_antes": 1, "more": 2}, "t": 1.5})
+    tops = json.dumps({"G_state": {"top_coactivations": [{"a": "x", "b": "y", "weight": [1]}]}})
+    top = N.subtype(spark.createDataFrame([(1, "s", tops, "c", 1)], TR), w, "top_coactivations").collect()
+    assert [(r.a, r.b, r.weight, r.rest) for r in top] == [("x", "y", None, '{"weight": [1]}')]
+    assert way["1"].t == 2 and way["1"].landscape.A_antes == 1 and way["1"].rest is None and way["1"].parent_item == "2"
+
+
+def test_deep_members_are_passed_over(spark):
+    deep = '{"other": ' + "[" * 900 + "]" * 900 + ', "thermostat": {"zone": "z"}}'
+    assert N.found(spark.createDataFrame([(1, "s", deep, "c", 1)], TR), spark.createDataFrame([], SW)).count() == 1
+
+
 def test_empty(spark):
     assert N.found(spark.createDataFrame([], TR), spark.createDataFrame([], SW)).count() == 0
 
