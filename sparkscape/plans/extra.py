@@ -173,14 +173,16 @@ def swap_row(w, seed):
     return int((np.triu(x, 1) != 0).sum()), len(n), round(float(n.sum() ** 2 / (n.astype(float) ** 2).sum()), 9)
 
 
-def prefixes(s, d):
-    """W of each historical prefix of the corpus: edges, their sum and the nodes, oldest first; nodes at a tie keep their place."""
+def prefixes_of(s, d, sizes):
+    """W of each prefix of the corpus: edges, their sum and the nodes, oldest first; nodes at a tie keep their place.
+    Terms and signs are taken once, for all prefixes."""
     out, before = None, None
-    for size in PREFIXES:
-        u = units(s, d).where(F.col("unit_id") <= size)
-        counts = cut(C.term_counts(u))
+    every = units(s, d).where(F.col("unit_id") <= sizes[-1])
+    terms = cut(C.term_counts(every))
+    flags = cut(every.select("unit_id", T.opposes(F.col("text")).alias("negative")))
+    for size in sizes:
+        u, counts, flag = (x.where(F.col("unit_id") <= size) for x in (every, terms, flags))
         n = cut(C.nodes_of(C.scores_of(counts, u, N), N, before))
-        flag = u.select("unit_id", T.opposes(F.col("text")).alias("negative"))
         e = C.edges(C.pairs(counts.join(F.broadcast(n.select("term", "node_id")), "term").select("unit_id", "node_id"), flag))
         row = e.agg(F.lit(size).cast("bigint").alias("size"), F.count("*").alias("n_edges"), F.sum("raw").alias("total"))
         before = [r[0] for r in n.select("term").collect()]  # at most top_k terms
@@ -188,10 +190,22 @@ def prefixes(s, d):
     return out
 
 
+def prefixes(s, d):
+    return prefixes_of(s, d, PREFIXES)
+
+
+def corpus_versions(s, d):
+    """prefixes_of thirds of the ids there are; the last is the whole corpus."""
+    lo, hi = units(s, d).agg(F.coalesce(F.min("unit_id"), F.lit(0)), F.coalesce(F.max("unit_id"), F.lit(0))).first()
+    return prefixes_of(s, d, [lo + (hi - lo) * k // THIRDS for k in range(1, THIRDS + 1)])
+
+
 PREFIXES = (200, 500, 900)  # versions of the corpus, by the last unit they hold
+THIRDS = 3
 
 QUERIES = {
     "w_prefixes": prefixes,
+    "w_prefixes_whole": corpus_versions,
     "degree_swaps": lambda s, d: grid(s, d, 20, lambda w, c: [(c, *swap_row(w, c))], "seed int, n_edges int, n_orbits int, n_eff double"),
     "frontier_screening": lambda s, d: grid(s, d, 7, lambda w, c: [(c + 2, *A.screen(w, c + 2, 300, 1).values())], "k int, porosity double, p double, verdict string"),
     "first_melting": lambda s, d: grid(s, d, 1, lambda w, c: A.first_melting(w, [0.05, 0.1, 0.2, 0.5, 1.0, 2.0], 3), "i int, j int, beta double"),
@@ -223,6 +237,7 @@ def _weights_sql():
 
 SQL = {
     "w_prefixes": " union all ".join(f"select * from (with {base(f'doc_id <= {size}', N)} select {size}::bigint as size, count(*) as n_edges, sum(raw)::bigint as total from e)" for size in PREFIXES),
+    "w_prefixes_whole": " union all ".join(f"select * from (with {base(f'doc_id <= (select min(doc_id) + ((max(doc_id) - min(doc_id)) * {k}) // {THIRDS} from documents)', N)} select (select (min(doc_id) + ((max(doc_id) - min(doc_id)) * {k}) // {THIRDS})::bigint from documents) as size, count(*) as n_edges, sum(raw)::bigint as total from e)" for k in range(1, THIRDS + 1)),
     "count_w": _E + r", pl as (select unit_id, pos, line from (select unit_id, unnest(string_split(text, e'\n')) as line, unnest(range(len(string_split(text, e'\n')))) as pos from u) where regexp_matches(line, '[^ \t\r\n]')), px as (select distinct unit_id, pos, node_id from (select unit_id, pos, unnest(regexp_extract_all(lower(nfc_normalize(line)), '[\p{L}\p{Nl}\p{No}_]{3,}')) as term from pl) join n using (term)), m as (select count(*) as m from pl) select a.node_id as i, b.node_id as j, count(*) as n, round(count(*) / any_value(m), 9) as w from px a join px b on a.unit_id = b.unit_id and a.pos = b.pos and a.node_id < b.node_id, m group by 1, 2",
     "first_traces": _R + "select series, sampling_mode, rec_id, t from rc where sampling_mode is not null qualify row_number() over (partition by series, sampling_mode order by t, rec_id) = 1",
     "threshold_provenance": _R + """, q as (select *, last_value(case when "D_ckm" is not null then {'m': sampling_mode, 'd': "D_ckm"} end ignore nulls) over (partition by series order by t, rec_id rows between unbounded preceding and 1 preceding) as l from rc)
