@@ -3,37 +3,34 @@
 Detection runs in Arrow batches on the text in NFC, with every place mapped back to the
 text as it stands. Kinds are looked for in a fixed order, and what one has taken is closed
 to the next: e-mail addresses, street addresses, identity numbers, telephone numbers, names.
+One automaton over the text tells which kinds can be in it at all and where family names end;
+the patterns of numbers begin at digits, what stands before them is judged only where one is found.
 
 Names need evidence: a known given name, an initial or a form of address beside a family
 name. Family names are the listed ones and words built like them: the beginnings and endings
 that many listed names share (learned from the list, see ``FamilyShape``).
 
-Surrogates are keyed: equal values (case, accents' form and separators aside) get equal
-replacements everywhere, different values different ones; digits stay digits, letters letters
-of the same case and script, names keep given/family roles, language and ending of the given
-name, and separators stay where they are.
+What is found is replaced in the same pass (``cells``), by surrogates (see ``surrogates``) or placeholders.
 """
 
 from __future__ import annotations
 
-import hashlib
-import hmac
-import math
+import re
 import unicodedata
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkscape.session import cut, fixed_rows
+from sparkscape.llm.surrogates import PARTICLES, SP, Surrogates, fold, form, identity, permuted  # noqa: F401 - names used from here
+from sparkscape.session import fixed_rows
 
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 I = regex.IGNORECASE
-SP = r"[ \t   ]"
 
 # --- e-mail
 
@@ -68,29 +65,32 @@ ADDRESS = [
     regex.compile(rf"(?<![\p{{L}}\p{{N}}.,/=])\d{{1,4}}[a-z]?{SP}+(?:(?:old|new){SP}+)?{_W}{SP}+(?:(?:street|road|lane|court|avenue)\b|(?:st|rd|ave)\.)"),
 ]
 
-# A street noun at the end of the word: found by that end, then extended to the left.
-ADDRESS_END = regex.compile(rf"(?:straße|strasse|str\.|gasse|weg|allee|platz|ring|damm|ufer|steig|pfad|chaussee){SP}+\d{{1,4}}(?:{SP}?[a-z](?![\p{{L}}\d.]))?(?![\p{{L}}\d])", I)
-ADDRESS_START = regex.compile(rf"(?<![\p{{L}}\p{{N}}'’-])(?:(?-i:Am|Im|Beim|Zum|Zur|An{SP}+der|Auf{SP}+der|In{SP}+der|Hinter{SP}+der|Unter{SP}+den|AM|IM){SP}+)?(?:(?:Alter?|Neuer?|Große|Kleine|Obere|Untere){SP}+)?{_W}-?\Z", I)
+# A street noun at the end of the word: found by the number, then extended to the left.
+ENDS = r"(?:straße|strasse|str\.|gasse|weg|allee|platz|ring|damm|ufer|steig|pfad|chaussee)"
+ADDRESS_NUMBER = regex.compile(rf"(?<={SP})\d{{1,4}}(?:{SP}?[a-z](?![\p{{L}}\d.]))?(?![\p{{L}}\d])", I)
+ADDRESS_NOUN = regex.compile(rf"(?r){ENDS}{SP}+", I)
+ADDRESS_START = regex.compile(rf"(?r)(?<![\p{{L}}\p{{N}}'’-])(?:(?-i:Am|Im|Beim|Zum|Zur|An{SP}+der|Auf{SP}+der|In{SP}+der|Hinter{SP}+der|Unter{SP}+den|AM|IM){SP}+)?(?:(?:Alter?|Neuer?|Große|Kleine|Obere|Untere){SP}+)?{_W}-?", I)
 
 # --- identity numbers, most telling first
 
 _B, _E = r"(?<![\p{L}\p{N}_.+\-#…])", r"(?![\p{L}\p{N}_…])"
 _DL = "[A-HJ-NP-TV-Za-hj-np-tv-z]"
 ID_LABEL = r"(?<![\p{L}\p{N}])(?:DNI|NIE|NIF|documento(?:\s+n[º°o.]+)?|SSN|social security (?:no\.|number)|NI number|ID number|n[°º] (?:de )?sécu(?:rité sociale)?|NIR|Personalausweis|Ausweis(?:-Nr\.|nummer)?|SV-Nummer|Versicherungsnummer|passport(?: no\.)?|id)\s*[:=]?\s*"
-ID_LABELLED = regex.compile(ID_LABEL, I)
+_LABELLED = regex.compile(rf"(?r){ID_LABEL}", I)
+# (pattern that begins at a digit or is rare, what must stand before it, whether that belongs to the number)
 ID_NUMBER = [
-    regex.compile(rf"{_B}[XYZxyz][- ]?\d{{7}}[- ]?{_DL}{_E}"),
-    regex.compile(rf"{_B}\d{{2}}\.\d{{3}}\.\d{{3}}(?:[- ]?{_DL})?{_E}"),
-    regex.compile(rf"{_B}(?<![=:])\d{{8}}-?{_DL}{_E}"),
-    regex.compile(rf"(?:{ID_LABEL}|[=(/:]{SP}?|\b(?:dice|shows|steht|porte){SP})(\d{{8}}[- ]?{_DL}){_E}", I),
-    regex.compile(rf"{_B}\d{{2}}{SP}?\d{{6}}{SP}?\p{{L}}{SP}?\d{{3}}{_E}"),
-    regex.compile(rf"(?=[A-Za-z]{{2}}[- ]?\d){_B}[A-Za-z]{{2}}[- ]?\d{{2}}[- ]?\d{{2}}[- ]?\d{{2}}[- ]?[A-Da-d]{_E}"),
-    regex.compile(rf"{_B}[1-9]{SP}?\d{{2}}{SP}?\d{{2}}{SP}?(?:\d{{2}}|2[AB]){SP}?\d{{3}}{SP}?\d{{3}}{SP}?\d{{2}}{_E}"),
-    regex.compile(rf"{_B}(?<![=/])\d{{3}}[-{SP[1:-1]}]\d{{2}}[-{SP[1:-1]}]\d{{4}}{_E}"),
-    regex.compile(rf"{ID_LABEL}(\d{{3}}[-{SP[1:-1]}]\d{{2}}[-{SP[1:-1]}]\d{{4}}){_E}", I),
-    regex.compile(rf"(?=[LMPR-TV-Z][0-9A-Z]{{8}}){_B}(?=(?:\w*\d){{4}})[LMPR-TV-Z][0-9A-Z]{{8}}\d?{_E}"),
-    regex.compile(rf"{ID_LABEL}((?=(?:\w*\d){{4}})[a-z][0-9a-z]{{8}}\d?){_E}", I),
-    regex.compile(rf"\b(?:DNI|NIE|NIF|SSN|NIR)\s*[:=]?\s*(\d{{8,9}}){_E}", I),
+    (regex.compile(rf"{_B}[XYZxyz][- ]?\d{{7}}[- ]?{_DL}{_E}"), None, False),
+    (regex.compile(rf"{_B}\d{{2}}\.\d{{3}}\.\d{{3}}(?:[- ]?{_DL})?{_E}"), None, False),
+    (regex.compile(rf"{_B}(?<![=:])\d{{8}}-?{_DL}{_E}"), None, False),
+    (regex.compile(rf"\d{{8}}[- ]?{_DL}{_E}", I), regex.compile(rf"(?r)(?:{ID_LABEL}|[=(/:]{SP}?|\b(?:dice|shows|steht|porte){SP})", I), False),
+    (regex.compile(rf"{_B}\d{{2}}{SP}?\d{{6}}{SP}?\p{{L}}{SP}?\d{{3}}{_E}"), None, False),
+    (regex.compile(rf"\d{{2}}[- ]?\d{{2}}[- ]?\d{{2}}[- ]?[A-Da-d]{_E}"), regex.compile(rf"(?r){_B}[A-Za-z]{{2}}[- ]?"), True),
+    (regex.compile(rf"{_B}[1-9]{SP}?\d{{2}}{SP}?\d{{2}}{SP}?(?:\d{{2}}|2[AB]){SP}?\d{{3}}{SP}?\d{{3}}{SP}?\d{{2}}{_E}"), None, False),
+    (regex.compile(rf"{_B}(?<![=/])\d{{3}}[-{SP[1:-1]}]\d{{2}}[-{SP[1:-1]}]\d{{4}}{_E}"), None, False),
+    (regex.compile(rf"\d{{3}}[-{SP[1:-1]}]\d{{2}}[-{SP[1:-1]}]\d{{4}}{_E}"), _LABELLED, False),
+    (regex.compile(rf"(?=[LMPR-TV-Z][0-9A-Z]{{8}}){_B}(?=(?:\w*\d){{4}})[LMPR-TV-Z][0-9A-Z]{{8}}\d?{_E}"), None, False),
+    (re.compile(r"(?<![^\W_])[A-Za-z](?=[A-Za-z]{0,5}[0-9])(?=(?:[0-9A-Za-z]*?[0-9]){4})[0-9A-Za-z]{8}[0-9]?(?![\w…])"), _LABELLED, False),
+    (regex.compile(rf"\d{{8,9}}{_E}"), regex.compile(r"(?r)\b(?:DNI|NIE|NIF|SSN|NIR)\s*[:=]?\s*", I), False),
 ]
 
 # --- telephone numbers
@@ -112,7 +112,6 @@ PHONE = [
 # --- names
 
 TITLES = "Dr Dra Prof Profa Pr Sr Sra Srta Mr Mrs Ms Miss Mme Mlle Herr Herrn Frau Don Doña Señor Señora Señorita Monsieur Madame Mademoiselle Sir Lady Lic Ing Maître"
-PARTICLES = "de del de la von van der den di da du le zu zum zur dos das y e"
 _WORD = r"\p{L}[\p{L}\p{M}'’]*"
 
 
@@ -129,24 +128,23 @@ class FamilyShape:
         self.heads = tuple(h for h, c in heads.items() if c >= support)
         self.tails = tuple(t for t, c in tails.items() if c >= support)
         self.known: dict[str, bool] = {}
-        # A text without any of these pieces has no family name (None: too many pieces to look for).
+        # Every family name ends in one of these.
         rest = {n for n in self.listed if not (self.tails and n.endswith(self.tails))}
-        short = {t for t in self.tails if not any(t != u and t.endswith(u) for u in self.tails)}
-        self.hints = sorted(short | rest) if len(short | rest) <= 200 else None
+        self.hints = sorted(rest | {t for t in self.tails if not any(t != u and t.endswith(u) for u in self.tails)})
 
     def __call__(self, word: str) -> bool:
         got = self.known.get(word)
         if got is None:
             w = fold(word)
-            got = w in self.listed or (5 <= len(w) <= 20 and bool(self.heads) and w.startswith(self.heads) and w.endswith(self.tails))
+            got = w in self.listed or (len(w) >= 5 and bool(self.heads) and w.startswith(self.heads) and w.endswith(self.tails))
             if len(self.known) > 100_000:
                 self.known.clear()
             self.known[word] = got
         return got
 
 
-def fold(text: str) -> str:
-    return unicodedata.normalize("NFC", text).lower()
+# All that normalizing can change: letters with marks after them, and single characters that have another NFC form.
+MARKED = regex.compile(r"\P{M}?\p{M}+|[\u0340-\u0387\u0958-\u0fff\u1100-\u11ff\u1f00-\u1fff\u2000\u2001\u2126\u212a\u212b\u2329\u232a\u2adc\uf900-\ufaff\ufb00-\ufb4f\U0001d15e-\U0001d1c0\U0002f800-\U0002fa1f]\p{M}*")
 
 
 class Mapped:
@@ -158,20 +156,43 @@ class Mapped:
             self.text, self.at = text, None
             return
         out: list[str] = []
-        self.at = []
-        for m in regex.finditer(r"\P{M}?\p{M}*", text):
-            if m.end() > m.start():
-                c = unicodedata.normalize("NFC", m.group())
-                out.append(c)
-                n = m.end() - m.start()
-                self.at.extend(m.start() + (k if n == len(c) else 0) for k in range(len(c)))
-        self.at.append(len(text))
+        self.at, done = [], 0
+        for m in MARKED.finditer(text):
+            out.append(text[done : m.start()])
+            self.at.extend(range(done, m.start()))
+            c, n = unicodedata.normalize("NFC", m.group()), m.end() - m.start()
+            out.append(c)
+            self.at.extend(m.start() + (k if n == len(c) else 0) for k in range(len(c)))
+            done = m.end()
+        out.append(text[done:])
+        self.at.extend(range(done, len(text) + 1))
         self.text = "".join(out)
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.at is None else (self.at[a], self.at[b])
 
 
+DIGIT = re.compile(r"\d")
+# What a text must hold for a kind to be looked for: bits of ``Detector.scan``.
+AT, CALLE, RUE, ENDING, FAMILY, LABEL = 1, 2, 4, 8, 16, 32
+BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+CUES = {
+    AT: "@ arroba arobase",
+    CALLE: "c/ calle avda avenida av. plaza pza. plza. paseo ronda camino travesía carretera ctra. glorieta rambla",
+    RUE: "rue avenue av. boulevard bd blvd place chemin impasse quai allée cours route square passage",
+    ENDING: "straße strasse str. gasse weg allee platz ring damm ufer steig pfad chaussee",
+}
+
+
+def spans(found: list[tuple[int, int]], s: str) -> str:
+    """The text with the found places closed."""
+    out, at = [], 0
+    for a, b in found:
+        out += [s[at:a], "\x00" * (b - a)]
+        at = b
+    return "".join([*out, s[at:]])
+
+
 class Detector:
     """Finds the entities of a text; built once in each worker from the list of name parts."""
 
@@ -180,67 +201,121 @@ class Detector:
         self.given = set(given)
         self.family = FamilyShape([n for n, k in parts if k == "family" and n])
         titles = "|".join(sorted(TITLES.split(), key=lambda t: (-len(t), t)))
-        self.particles = set(PARTICLES.split())
+        self.particles = PARTICLES
         names = "|".join(map(regex.escape, given)) or "(?!)"
         self.anchor = regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_@.]|\p{{L}}[-'’])(?:(?P<given>{names})(?![\p{{L}}\p{{M}}\p{{N}}_'’@]|-\d)|(?P<title>(?:{titles})(?![\p{{L}}\p{{M}}\p{{N}}_'’])\.?)|(?P<initial>\p{{L}})\.)", I)
         self.word = regex.compile(rf"{_WORD}(?:-{_WORD})*")
-        self.gap = regex.compile(r"[ \t   ]{1,3}")
-        self.tail_initial = regex.compile(r"\p{L}\.(?=[ \t -])")
-        self.before = regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_@.-])({_WORD}(?:-{_WORD})*(?:{SP}{_WORD}(?:-{_WORD})*){{0,3}}),{SP}{{1,2}}$")
+        self.gap = regex.compile(SP + "{1,3}")
+        self.tail_initial = regex.compile(rf"\p{{L}}\.(?={SP}|-)")
+        self.before = regex.compile(rf"(?r)(?<![\p{{L}}\p{{M}}\p{{N}}_@.-])({_WORD}(?:-{_WORD})*(?:{SP}{_WORD}(?:-{_WORD})*)*),{SP}{{1,2}}")
+        self.chain = regex.compile(rf"(?r)(?:(?<!\p{{L}})(?:{'|'.join(sorted(self.particles))}){SP}{{1,3}})+", I)
+        longest = max(map(len, given), default=1)
+        # From a name's beginning to its first family name: given name and up to five steps; beyond it only particles.
+        self.reach, self.ahead = 6 * (longest + 4) + max(map(len, self.family.listed), default=0), longest + 40
+        self.cues = ahocorasick.Automaton()
+        bits: Counter = Counter()
+        for bit, words in CUES.items():
+            for w in words.split():
+                bits[w] |= bit
+        for h in self.family.hints:
+            bits[h] |= FAMILY
+        for w in ("dni", "nie", "nif", "documento", "ssn", "security", "number", "sécu", "nir", "ausweis", "nummer", "passport", "id:", "id=", *(f"id{c}" for c in BLANKS)):
+            bits[w] |= LABEL
+        for w, bit in bits.items():
+            if w:
+                self.cues.add_word(w, bit)
+        self.cues.make_automaton()
+
+    def scan(self, low: str) -> tuple[int, list[int]]:
+        """What a lower-case text can hold, and the ends of what may be family names; one pass."""
+        flags, ends, n = 0, [], len(low)
+        for end, bit in self.cues.iter(low):
+            flags |= bit
+            if bit & FAMILY and (end + 1 == n or not low[end + 1].isalpha()):
+                ends.append(end + 1)
+        return flags, ends
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) in the text as it stands, in order, without overlaps."""
         m = Mapped(text)
         s = m.text
+        low = s.lower().replace("ς", "σ")
+        flags, ends = self.scan(low)
         taken: list[tuple[int, int, str]] = []
         free = s
-        has_digit = regex.search(r"\d", s) is not None
-        labelled = has_digit and ID_LABELLED.search(s) is not None
 
-        def close(a: int, b: int, kind: str) -> None:
+        def close(found: list[tuple[int, int]], kind: str) -> None:
             nonlocal free
-            taken.append((a, b, kind))
-            free = free[:a] + "\x00" * (b - a) + free[b:]
-
-        if "@" in s or regex.search(r"(?i)\bat\b|arroba|arobase", s):
-            for x in EMAIL.finditer(s):
-                close(x.start(), x.end(), "email")
-        if has_digit:
-            for pats, kind in ((ADDRESS, "address"), (ID_NUMBER, "id_number"), (PHONE, "phone")):
-                for p in pats:
-                    if not labelled and p.pattern.startswith(ID_LABEL):
-                        continue
-                    for x in p.finditer(free):
-                        close(*x.span(p.groups), kind)
-                if kind == "address":
-                    for x in ADDRESS_END.finditer(free):
-                        low = max(0, x.start() - 80)
-                        start = ADDRESS_START.search(free[low : x.start()])
-                        if start:  # the noun alone (a verb, for all one knows) is no street
-                            close(start.start() + low, x.end(), kind)
-        low = s.lower()
-        if self.family.hints is None or any(h in low for h in self.family.hints):
-            for a, b in self.names(free):
-                taken.append((a, b, "name"))
+            if found:
+                taken.extend((a, b, kind) for a, b in found)
+                free = spans(found, free)
+
+        if flags & AT or WRITTEN_AT.search(low):
+            close([x.span() for x in EMAIL.finditer(s)], "email")
+        if DIGIT.search(s):
+            for p, cue in zip(ADDRESS, (CALLE, RUE, 0, 0)):
+                if flags & cue == cue or cue == RUE and flags & cue:
+                    close([x.span() for x in p.finditer(free)], "address")
+            if flags & ENDING:
+                close(self.by_noun(free), "address")
+            for p, left, own in ID_NUMBER:
+                if left is _LABELLED and not flags & LABEL:
+                    continue
+                found = [(x.span(), left.match(free, 0, x.start()) if left else None) for x in p.finditer(free)]
+                close([(y.start() if own else a, b) for (a, b), y in found if y or not left], "id_number")
+            for p in PHONE:
+                close([x.span() for x in p.finditer(free)], "phone")
+        if ends:
+            taken.extend((a, b, "name") for a, b in self.names(free, self.windows(free, ends if len(low) == len(s) else None)))
         taken.sort()
         return [(*m.span(a, b), k) for a, b, k in taken]
 
+    @staticmethod
+    def by_noun(free: str) -> list[tuple[int, int]]:
+        """Streets named by the end of a word, such as Hauptstraße 5."""
+        found: list[tuple[int, int]] = []
+        for x in ADDRESS_NUMBER.finditer(free):
+            noun = ADDRESS_NOUN.match(free, found[-1][1] if found else 0, x.start())
+            start = noun and ADDRESS_START.match(free, found[-1][1] if found else 0, noun.start())
+            if start:  # the noun alone (a verb, for all one knows) is no street
+                found.append((start.start(), x.end()))
+        return found
+
+    def windows(self, s: str, ends: list[int] | None) -> list[tuple[int, int]]:
+        """Stretches around possible family names in which every name's beginning or given name lies."""
+        if ends is None:
+            return [(0, len(s))]
+        out: list[tuple[int, int]] = []
+        for e in ends:
+            lo = max(0, e - self.reach)
+            for k in range(lo, max(-1, lo - 6), -1):  # a run of particles that reaches beyond
+                c = self.chain.match(s, 0, k)
+                if c:
+                    lo = max(0, c.start() - self.reach)
+                    break
+            hi = min(len(s), e + self.ahead)
+            if out and lo <= out[-1][1]:
+                out[-1] = (min(lo, out[-1][0]), hi)
+            else:
+                out.append((lo, hi))
+        return out
+
     def families(self, s: str, at: int) -> int:
         """End of the family name or names (with particles) that begin at a place; the place itself if none do."""
-        end, pos, seen = at, at, 0
+        end, pos = at, at
         while True:
             w = self.word.match(s, pos)
             if not w:
                 return end
             parts = w.group().split("-")
             if all(map(self.family, parts)):
-                end, seen = w.end(), seen + 1
+                end = w.end()
             elif self.family(parts[0]) and len(parts) > 1:
                 return w.start() + len(parts[0])
             elif not (fold(w.group()) in self.particles):
                 return end
             g = self.gap.match(s, w.end())
-            if not g or seen >= 3:
+            if not g:
                 return end
             pos = g.end()
 
@@ -265,9 +340,9 @@ class Detector:
             return -1
         return -1
 
-    def names(self, s: str) -> Iterator[tuple[int, int]]:
+    def names(self, s: str, windows: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
         done = 0
-        for x in self.anchor.finditer(s):
+        for x in (x for lo, hi in windows for x in self.anchor.finditer(s, lo, hi)):
             if x.start() < done:
                 continue
             if x["given"]:
@@ -294,7 +369,7 @@ class Detector:
                     done = end
                     continue
             # family first: "Family, Given" or "Family, G."
-            b = self.before.search(s, max(done, x.start() - 90), x.start())
+            b = self.before.match(s, done, x.start())
             if b:
                 start = self._last_families(s, b.start(1), b.end(1))
                 if start >= 0:
@@ -316,129 +391,7 @@ class Detector:
         return start
 
 
-# --- surrogates
-
-
-def permuted(key: bytes, label: str, n: int, value: int) -> int:
-    """A keyed permutation of range(n): four Feistel rounds on a square around it, walked until inside."""
-    if n <= 1:
-        return value
-    half = math.isqrt(n - 1) + 1
-    while True:
-        a, b = divmod(value, half)
-        for r in range(4):
-            h = hmac.new(key, f"{label}|{n}|{r}|{b}".encode(), hashlib.sha256).digest()
-            a, b = b, (a + int.from_bytes(h[:8], "big")) % half
-        value = a * half + b
-        if value < n:
-            return value
-
-
-class Surrogates:
-    """Keyed replacements that keep type, format, script and case.
-
-    From attempt number ``attempts`` on, families come from letter permutations instead of the
-    list, which may be used up; every later attempt also adds its number, so surrogates grow
-    beyond any given set of taken values.
-    """
-
-    def __init__(self, key: str, parts: list[tuple[str, str, str | None]], attempts: int = 8):
-        self.key = key.encode()
-        self.attempts = attempts
-        self.given: dict[str, tuple[list[str], int]] = {}
-        groups: dict[tuple, list[str]] = {}
-        for n, k, lang in sorted(parts, key=lambda p: (p[0], p[1])):
-            if k == "given":
-                groups.setdefault((lang, fold(n)[-1] in "ae"), []).append(n)
-        for members in groups.values():
-            for i, n in enumerate(members):
-                self.given[fold(n)] = (members, i)
-        self.families = sorted({n for n, k, _ in parts if k == "family"})
-        self.family_at = {fold(n): i for i, n in enumerate(self.families)}
-
-    @staticmethod
-    def like(model: str, new: str) -> str:
-        if model.isupper() and len(model) > 1:
-            return new.upper()
-        return new.lower() if model.islower() else new
-
-    def letters_and_digits(self, kind: str, value: str, attempt: int) -> str:
-        """Digits and Latin letters by a permutation of all values of the same format; the rest stays.
-
-        Every run is permuted under a label that holds the format and what precedes the run,
-        so the whole is one-to-one."""
-        out, before = [], f"{kind}|{attempt}|" + regex.sub(r"\p{L}", "a", regex.sub(r"\d", "9", value))
-        for m in regex.finditer(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]+", value):
-            t = m.group()
-            if t[0].isdigit() and t[0].isascii():
-                new = str(permuted(self.key, before, 10 ** len(t), int(t))).zfill(len(t))
-            elif t[0].isascii() and t[0].isalpha():
-                n = 0
-                for c in t.lower():
-                    n = n * 26 + ord(c) - 97
-                n, cs = permuted(self.key, before, 26 ** len(t), n), []
-                for c in reversed(t):
-                    n, d = divmod(n, 26)
-                    cs.append(chr(d + (65 if c.isupper() else 97)))
-                new = "".join(reversed(cs))
-            else:
-                new = t
-            out.append(new)
-            before += "|" + t.lower()
-        return "".join(out)
-
-    def name(self, value: str, attempt: int) -> str:
-        def word(m):
-            w, f = m.group(), fold(m.group())
-            if f in self.given:
-                members, i = self.given[f]
-                return self.like(w, members[permuted(self.key, f"given|{attempt}|{members[0]}", len(members), i)])
-            if len(w) <= 1 or f in PARTICLES.split():
-                return w
-            if f in self.family_at and attempt < self.attempts:
-                return self.like(w, self.families[permuted(self.key, f"family|{attempt}", len(self.families), self.family_at[f])])
-            return self.letters_and_digits("family", w, attempt)
-
-        return regex.sub(_WORD, word, value)
-
-    @staticmethod
-    def numbered(kind: str, new: str, n: int) -> str:
-        """With n in it: letters behind a name's last word or an email's first, else digits behind the last digits."""
-        runs = list(regex.finditer(r"\p{L}{2,}" if kind == "name" else r"\p{L}+" if kind == "email" else r"\d+", new))
-        end = runs[0 if kind == "email" else -1].end() if runs else len(new)
-        if kind not in ("name", "email"):
-            return f"{new[:end]}{n}{new[end:]}"
-        code = ""
-        while n:
-            n, d = divmod(n - 1, 26)
-            code = chr(97 + d) + code
-        return new[:end] + (code.upper() if new[:end][-2:].isupper() else code) + new[end:]
-
-    def __call__(self, kind: str, value: str, attempt: int = 0) -> str:
-        new = self.replaced(kind, value, attempt)
-        return self.numbered(kind, new, attempt - self.attempts) if attempt > self.attempts else new
-
-    def replaced(self, kind: str, value: str, attempt: int) -> str:
-        v = unicodedata.normalize("NFC", value)
-        if kind == "name":
-            return self.name(v, attempt)
-        if kind == "email":  # the spelling of at and dot and the top-level domain stay
-            spans = [m.span() for m in regex.finditer(r"(?i)[(\[{ ]\s?(?:at|dot|arroba|punto|punkt|point|arobase)\s?[)\]} ]", v)]
-            last = max((m.start() for m in regex.finditer(r"[\p{L}\p{N}-]+", v)), default=0)
-            out, at = [], 0
-            for a, b in [*spans, (last, len(v))]:
-                out += [self.letters_and_digits(f"email{len(out)}", v[at:a], attempt), v[a:b]]
-                at = b
-            return "".join(out)
-        if kind == "address":
-            nouns = r"(?i)\b(?:calle|avda|avenida|plaza|paseo|ronda|rue|avenue|bd|place|chemin|street|road|lane|court|rd|st|old|alte|bis|ter|n[º°]|núm|del?|du|des)\b|straße|gasse|weg|allee"
-            out, at = [], 0
-            for m in [*regex.finditer(nouns, v), None]:
-                a, b = m.span() if m else (len(v), len(v))
-                out += [self.letters_and_digits(f"address{len(out)}", v[at:a], attempt), v[a:b]]
-                at = b
-            return "".join(out)
-        return self.letters_and_digits(kind, v, attempt)
+WRITTEN_AT = re.compile(r"\bat\b")
 
 
 # --- operators
@@ -460,106 +413,98 @@ def detector(parts: list[tuple]) -> Detector:
     return _DETECTORS[key]
 
 
-def entities(documents: DataFrame, parts_table: DataFrame) -> DataFrame:
-    """doc_id, kind, found, place: every occurrence. Null and empty texts have none."""
+_SURROGATES: dict[tuple, Surrogates] = {}
+
+
+def surrogates(key: str, parts: list[tuple]) -> Surrogates:
+    at = (key, hash(tuple(parts)))
+    if at not in _SURROGATES:
+        _SURROGATES.clear()
+        _SURROGATES[at] = Surrogates(key, parts)
+    return _SURROGATES[at]
+
+
+def cells(documents: DataFrame, parts_table: DataFrame, key: str) -> DataFrame:
+    """doc_id, kind, found, surrogate, place: every occurrence. Null and empty texts have none."""
     parts = documents.sparkSession.sparkContext.broadcast(name_parts(parts_table))
 
     def run(batches):
-        d = detector(parts.value)
+        d, new = detector(parts.value), surrogates(key, parts.value)
         for b in batches:
-            out = [(i, k, t[a:e], a) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for a, e, k in d.find(t)]
-            cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int32()))], names=["doc_id", "kind", "found", "place"])
+            out = [(i, k, t[a:e], new(k, t[a:e]), a) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for a, e, k in d.find(t)]
+            cols = list(zip(*out)) or [()] * 5
+            types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "kind", "found", "surrogate", "place"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, kind string, found string, place int")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, kind string, found string, surrogate string, place int")
 
 
-def found(documents: DataFrame, parts_table: DataFrame) -> DataFrame:
-    """doc_id, kind, found: one row per distinct value in a document."""
-    return entities(documents, parts_table).select("doc_id", "kind", "found").distinct()
+def found(documents: DataFrame, parts_table: DataFrame, key: str = "found") -> DataFrame:
+    """doc_id, kind, found: one row per distinct value in a document that is replaced."""
+    return cells(documents, parts_table, key).select("doc_id", "kind", "found").distinct()
 
 
-def redacted(documents: DataFrame, parts_table: DataFrame) -> DataFrame:
-    """doc_id, text with [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS], [NAME]; all else unchanged, null stays null."""
+def replaced(documents: DataFrame, parts_table: DataFrame, make) -> DataFrame:
+    """doc_id, text with make(parts)(kind, value) in place of what is found; null stays null."""
     parts = documents.sparkSession.sparkContext.broadcast(name_parts(parts_table))
 
-    def replace(d: Detector, t: str) -> str:
+    def replace(d: Detector, new, t: str) -> str:
         out, at = [], 0
         for a, e, k in d.find(t):
-            out += [t[at:a], PLACEHOLDER[k]]
+            out += [t[at:a], new(k, t[a:e])]
             at = e
         return "".join([*out, t[at:]])
 
     def run(batches):
-        d = detector(parts.value)
+        d, new = detector(parts.value), make(parts.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([replace(d, t) if t else t for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([replace(d, new, t) if t else t for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text string")
 
 
-def identity(kind: str, value: str) -> str:
-    """What makes two spellings the same value: case, accents' form and separators don't count."""
-    v = fold(value)
-    if kind in ("phone", "id_number"):
-        return regex.sub(r"[^\p{L}\p{N}]", "", v)
-    return regex.sub(r"\s+", " ", v)
+def redacted(documents: DataFrame, parts_table: DataFrame) -> DataFrame:
+    """doc_id, text with [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS], [NAME]; all else unchanged, null stays null."""
+    return replaced(documents, parts_table, lambda parts: lambda kind, value: PLACEHOLDER[kind])
 
 
-def surrogate_map(values: DataFrame, parts_table: DataFrame, key: str, attempts: int = 8) -> DataFrame:
-    """kind, found, surrogate of distinct kind, found rows.
+def with_surrogates(documents: DataFrame, parts_table: DataFrame, key: str) -> DataFrame:
+    """doc_id, text with keyed surrogates in place of personal information; null stays null. One pass, no shuffle."""
+    return replaced(documents, parts_table, lambda parts: surrogates(key, parts))
 
-    A surrogate that two different values share, or that is itself a value of the collection,
-    is made anew with the next attempt number, for the later value only. Values left after
-    ``attempts`` rounds get surrogates outside the list of names, then numbered ones. This ends
-    however many values are real: the least value is barred by real values only, the next by
-    these and the least one's surrogate, and so on, and numbers outgrow them all.
-    """
+
+def surrogate_map(values: DataFrame, parts_table: DataFrame, key: str) -> DataFrame:
+    """kind, found, surrogate of kind, found rows; rows with a null kind or value are left out."""
     parts = values.sparkSession.sparkContext.broadcast(name_parts(parts_table))
 
     def run(batches):
-        s = Surrogates(key, parts.value, attempts)
+        new = surrogates(key, parts.value)
         for b in batches:
-            kinds, vals, tries = (b.column(k).to_pylist() for k in range(3))
-            new = [s(k, v, t) for k, v, t in zip(kinds, vals, tries)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(new, pa.string()), pa.array([identity(k, v) for k, v in zip(kinds, vals)], pa.string()), pa.array([identity(k, v) for k, v in zip(kinds, new)], pa.string())],
-                names=["kind", "found", "attempt", "surrogate", "own", "other"],
-            )
-
-    made = "kind string, found string, attempt int, surrogate string, own string, other string"
-    rows = cut(values.select("kind", "found", F.lit(0).alias("attempt")).mapInArrow(run, made))
-    while True:
-        first = F.min("own").over(Window.partitionBy("kind", "other"))
-        real = rows.select("kind", F.col("own").alias("other"), F.lit(True).alias("real")).distinct()
-        judged = rows.withColumn("first", first).join(real, ["kind", "other"], "left")
-        judged = cut(judged.withColumn("clash", (F.col("first") != F.col("own")) | F.coalesce("real", F.lit(False))).drop("first", "real"))
-        clash = judged.where("clash")
-        if not clash.take(1):
-            return judged.select("kind", "found", "surrogate")
-        again = clash.select("kind", "found", (F.col("attempt") + 1).alias("attempt")).mapInArrow(run, made)
-        rows = cut(judged.where("not clash").select(*(c.split()[0] for c in made.split(", "))).unionByName(again))
+            made = [new(k, v) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.string())], names=["kind", "found", "surrogate"])
 
+    return values.select("kind", "found").where("kind is not null and found is not null").mapInArrow(run, "kind string, found string, surrogate string")
 
-def with_surrogates(documents: DataFrame, parts_table: DataFrame, key: str) -> DataFrame:
-    """doc_id, text with keyed surrogates in place of personal information; null stays null."""
-    cells = cut(entities(documents, parts_table))
-    mapped = surrogate_map(cells.select("kind", "found").distinct(), parts_table, key)
-    per_doc = cells.join(mapped, ["kind", "found"]).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("place", "found", "surrogate"))).alias("cells"))
-    joined = documents.select("doc_id", "text").join(per_doc, "doc_id", "left")
 
-    def replace(t, cells):
-        out, at = [], 0
-        for c in cells or ():
-            a = c["place"]
-            if t[a : a + len(c["found"])] == c["found"] and a >= at:
-                out += [t[at:a], c["surrogate"]]
-                at = a + len(c["found"])
-        return "".join([*out, t[at:]])
+def checked(documents: DataFrame, parts_table: DataFrame, key: str) -> DataFrame:
+    """kind, n_values, split, shared, unchanged, other_form: the promises of the surrogates over all values found.
+
+    split: values whose spellings have more than one surrogate; shared: surrogates of more than one value;
+    unchanged: values that are their own surrogate; other_form: values whose surrogate has another form
+    (names: another number of words or other separators; else digits, letters and signs at other places).
+    """
+    rows = cells(documents, parts_table, key).select("kind", "found", "surrogate").distinct()
 
     def run(batches):
         for b in batches:
-            texts = [replace(t, c) if t else t for t, c in zip(b.column("text").to_pylist(), b.column("cells").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
-    return joined.mapInArrow(run, "doc_id bigint, text string")
+            kinds, own, new = (b.column(k).to_pylist() for k in range(3))
+            ids = [[identity(k, v) for k, v in zip(kinds, side)] for side in (own, new)]
+            shape = lambda k, v: regex.sub("a+", "a", form(v)) if k == "name" else form(v)
+            other = [shape(k, a) != shape(k, c) for k, a, c in zip(kinds, own, new)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids[0], pa.string()), pa.array(ids[1], pa.string()), pa.array(other, pa.bool_())], names=["kind", "own", "new", "other"])
+
+    ids = rows.mapInArrow(run, "kind string, own string, new string, other boolean").groupBy("kind", "own", "new").agg(F.max("other").alias("other"))
+    by_own = ids.groupBy("kind", "own").agg(F.count("*").alias("n"), F.max(F.col("own") == F.col("new")).alias("same"), F.max("other").alias("other"))
+    values = by_own.groupBy("kind").agg(F.count("*").alias("n_values"), F.count_if(F.col("n") > 1).alias("split"), F.count_if("same").alias("unchanged"), F.count_if("other").alias("other_form"))
+    shared = ids.groupBy("kind", "new").agg(F.count("*").alias("n")).groupBy("kind").agg(F.count_if(F.col("n") > 1).alias("shared"))
+    return values.join(F.broadcast(shared), "kind")  # one row a kind

@@ -22,9 +22,10 @@ QUERIES = {
     "p6_decoded": lambda s, d: bpe.decoded(bpe.ids(table(s, d, "documents"))),
     "p7_containers": lambda s, d: packing.containers(table(s, d, "documents")),
     "p7_summary": lambda s, d: packing.summary(table(s, d, "documents")),
-    "p8_found": lambda s, d: pii.found(table(s, d, "documents"), table(s, d, "name_parts")),
+    "p8_found": lambda s, d: pii.found(table(s, d, "documents"), table(s, d, "name_parts"), SURROGATE_KEY),
     "p8_redacted": lambda s, d: pii.redacted(table(s, d, "documents"), table(s, d, "name_parts")),
     "p8_surrogates": lambda s, d: pii.with_surrogates(table(s, d, "documents"), table(s, d, "name_parts"), SURROGATE_KEY),
+    "p8_surrogate_check": lambda s, d: pii.checked(table(s, d, "documents"), table(s, d, "name_parts"), SURROGATE_KEY).drop("n_values"),
 }
 
 _RECORDS = r"""
@@ -53,5 +54,7 @@ SQL = {
     "p3_frequencies": _RECORDS
     + """, c as (select src, term, count(*) as occurrences from o group by src, term)
 select src, term, occurrences, records, records <= 2 as is_rare, records * 10 > n as is_common from c join f using (src, term) join n using (src)""",
+    # What must hold of the surrogates of every kind.
+    "p8_surrogate_check": "select kind, 0::bigint as split, 0::bigint as shared, 0::bigint as unchanged, 0::bigint as other_form from (values ('address'), ('email'), ('id_number'), ('name'), ('phone')) k(kind)",
     "p6_decoded": "select doc_id, coalesce(text, '') as decoded from documents",
 }
