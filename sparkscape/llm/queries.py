@@ -16,7 +16,7 @@ def _texts(spark, d):
 QUERIES = {
     "p3_found": lambda s, d: terms.marked(_texts(s, d)),
     "p3_frequencies": lambda s, d: terms.frequencies(_texts(s, d)),
-    "p4_found": lambda s, d: pairs.together(_texts(s, d)).select("src", "term_a", "term_b"),
+    "p4_found": lambda s, d: pairs.after(pairs.deliveries(table(s, d, "documents"), table(s, d, "monitor_trajectory"))).select("src", "term_a", "term_b"),
     "p4_scores": lambda s, d: pairs.in_two_steps(_texts(s, d)),
     "p6_ids": lambda s, d: bpe.ids(table(s, d, "documents")),
     "p6_decoded": lambda s, d: bpe.decoded(bpe.ids(table(s, d, "documents"))),
