@@ -438,11 +438,17 @@ def in_two_steps(texts: DataFrame, least: int = 5, share: int = 500, lift: int =
     return after([texts.where("pmod(rec_id, 2) = 0"), texts.where("pmod(rec_id, 2) <> 0")], least, share, lift)
 
 
-def deliveries(documents: DataFrame, trajectory: DataFrame) -> list[DataFrame]:
-    """Both sources as the changes they came in: first deliveries, then the last ones of records delivered again."""
-    docs = documents.select(F.lit("documents").alias("src"), F.col("doc_id").alias("rec_id"), "text")
+def deliveries(documents: DataFrame, trajectory: DataFrame, first: float = 0.9) -> list[DataFrame]:
+    """Both sources as two changes in the order they came in: what arrived by the time when the given
+    share of the documents had, then the rest, with records delivered again in their last form.
+
+    What has no time of arrival is in the first change; rows without an id are dropped.
+    """
+    by = documents.agg(F.percentile_approx("loaded_at", first, 1000).alias("by")).first().by
+    late = lambda c: F.coalesce(F.col(c) > F.lit(by), F.lit(False)) if by is not None else F.lit(False)
+    docs = documents.select(F.lit("documents").alias("src"), F.col("doc_id").alias("rec_id"), "text", late("loaded_at").alias("late"))
     each = F.struct("received_at", "text")
-    t = trajectory.where("rec_id is not null").groupBy("rec_id").agg(F.min(each).alias("first"), F.max(each).alias("last"))
+    t = trajectory.where("rec_id is not null").groupBy("rec_id").agg(F.max(F.when(~late("received_at"), each)).alias("one"), F.max(each).alias("last"))
     name = F.lit("monitor_trajectory").alias("src")
-    again = t.where(~F.col("first.text").eqNullSafe(F.col("last.text")))
-    return [docs.unionByName(t.select(name, "rec_id", F.col("first.text").alias("text"))), again.select(name, "rec_id", F.col("last.text").alias("text"))]
+    early = docs.where("not late").drop("late").unionByName(t.where("one is not null").select(name, "rec_id", F.col("one.text").alias("text")))
+    return [early, docs.where("late").drop("late").unionByName(t.where(late("last.received_at")).select(name, "rec_id", F.col("last.text").alias("text")))]
