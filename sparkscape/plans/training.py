@@ -22,12 +22,16 @@ QUERIES = {
     "p2_found": lambda s, d: schema_drift.changes(table(s, d, "trajectory_line")),
     "p2_unified": lambda s, d: schema_drift.read_unified(table(s, d, "trajectory_line")),
     "p5_found": lambda s, d: nested.found(*_nested(s, d)),
-    "p5_thermostat": lambda s, d: nested.subtype(*_nested(s, d), "thermostat"),
-    "p5_thermostat_text": lambda s, d: nested.typed(*_nested(s, d), "thermostat", "D_ckm:s"),
-    "p5_alpha_trajectory": lambda s, d: nested.subtype(*_nested(s, d), "alpha_trajectory"),
-    "p5_top_coactivations": lambda s, d: nested.subtype(*_nested(s, d), "top_coactivations"),
-    "p5_a_post_per_alpha": lambda s, d: nested.subtype(*_nested(s, d), "a_post_per_alpha"),
+    "p5_panel": lambda s, d: nested.subtype(*_nested(s, d), "panel").drop("variant"),
+    "p5_g_state": lambda s, d: nested.subtype(*_nested(s, d), "g_state").drop("variant"),
+    "p5_sweep": lambda s, d: nested.subtype(*_nested(s, d), "sweep").drop("variant"),
+    "p5_thermostat": lambda s, d: nested.subtype(*_nested(s, d), "thermostat").drop("variant"),
+    "p5_thermostat_text": lambda s, d: nested.typed(*_nested(s, d), "thermostat", "D_ckm:s").drop("variant"),
+    "p5_alpha_trajectory": lambda s, d: nested.subtype(*_nested(s, d), "alpha_trajectory").select("*", "landscape.*").drop("variant", "landscape"),
+    "p5_top_coactivations": lambda s, d: nested.subtype(*_nested(s, d), "top_coactivations").drop("variant"),
+    "p5_a_post_per_alpha": lambda s, d: nested.subtype(*_nested(s, d), "a_post_per_alpha").drop("variant"),
     "p5_values": lambda s, d: nested.values(*_nested(s, d)),
+    "p5_shapes": lambda s, d: nested.shapes(*_nested(s, d)),
     "p5_variants": lambda s, d: nested.variants(*_nested(s, d)),
 }
 
@@ -84,6 +88,56 @@ k as (select sweep_id, place, key as alpha, json_extract(a, '$."' || key || '"')
   union all select sweep_id, place, json_extract_string(a, '$[' || i || '].alpha'), json_extract(a, '$[' || i || '].A_post') from (select sweep_id, place, a, unnest(range(json_array_length(a)::bigint)) as i from m where json_type(a) = 'ARRAY'))
 """
 
+# The rows of each table: (keys and JSON e, source).
+_P5_ROWS = {
+    "panel": ("select rec_id, '' as parent_item, '' as item, j as e from p where json_type(j) = 'OBJECT'", "monitor_trajectory"),
+    "g_state": ("select rec_id, '' as parent_item, '' as item, json_extract(j, '$.G_state') as e from p where json_type(j, '$.G_state') = 'OBJECT'", "monitor_trajectory"),
+    "thermostat": ("select rec_id, '' as parent_item, item::varchar as item, e from o", "monitor_trajectory"),
+    "alpha_trajectory": ("select rec_id, item::varchar as parent_item, i::varchar as item, e from v where json_type(e) <> 'NULL'", "monitor_trajectory"),
+    "top_coactivations": ("select rec_id, '' as parent_item, i::varchar as item, json_extract(tops, '$[' || i || ']') as e from (select rec_id, tops, unnest(range(json_array_length(tops)::bigint)) as i from h where json_type(tops) = 'ARRAY')", "monitor_trajectory"),
+    "sweep": ("select sweep_id as rec_id, '' as parent_item, place::varchar as item, e from r where json_type(e) = 'OBJECT'", "reg_sweep_stop_perdida_v1"),
+    "a_post_per_alpha": ("select distinct sweep_id as rec_id, place::varchar as parent_item, printf('%.1f', alpha::double) as item, json_object('alpha', printf('%.1f', alpha::double)::double, 'A_post', x) as e from k where json_type(x) <> 'NULL'", "reg_sweep_stop_perdida_v1"),
+}
+_P5_EDGES = {"panel": "(c = 'thermostat' and kd in ('o', 'a') or c = 'G_state' and kd = 'o')", "g_state": "(c = 'top_coactivations' and kd = 'a')", "thermostat": "(c = 'alpha_trajectory' and kd = 'a')", "sweep": "c = 'A_post_per_alpha'"}
+_P5_KIND = {"string": "s", "double": "n", "bigint": "n", "boolean": "b"}
+_P5_CELL = {"string": "{} ->> '$'", "double": "({})::double", "bigint": "({})::bigint", "boolean": "({})::boolean"}
+
+
+def _p5_members(child: str) -> str:
+    """CTEs of one table: e_ (rows), m_ (members with kind, whether off or more), g_ (shape, subtype, rest)."""
+    kinds = {m: t for m, t in nested.declared(child).items() if not t.startswith("struct")}
+    off = " or ".join(f"c = '{m}' and (kd not in ('z', '{_P5_KIND[t]}')" + (" or kd = 'n' and json_type(x) = 'DOUBLE')" if t == "bigint" else ")") for m, t in kinds.items())
+    if child == "alpha_trajectory":
+        off += " or c = 'landscape' and kd <> 'z' and (kd <> 'o' or len(list_filter(json_keys(x), lambda y: y not in ('A_antes', 'A_despues'))) > 0)"
+    known = ", ".join(f"'{m}'" for m in nested.declared(child))
+    more = f"c not in ({known}) and kd <> 'z' and not {_P5_EDGES.get(child, 'false')}"
+    return f"""e_{child} as ({_P5_ROWS[child][0]}),
+k_{child} as (select *, unnest(range(len(json_keys(e))::bigint)) as nr from e_{child} where json_type(e) = 'OBJECT'),
+n_{child} as (select rec_id, parent_item, item, nr, json_keys(e)[nr + 1] as c, json_extract(e, '$."' || json_keys(e)[nr + 1] || '"') as x from k_{child}),
+q_{child} as (select *, case json_type(x) when 'NULL' then 'z' when 'BOOLEAN' then 'b' when 'VARCHAR' then 's' when 'ARRAY' then 'a' when 'OBJECT' then 'o' else 'n' end as kd from n_{child}),
+m_{child} as (select *, ({off}) as is_off, ({more}) as is_more from q_{child}),
+g_{child} as (select rec_id, parent_item, item, string_agg(c || ':' || kd, ',' order by c) as shape, coalesce(string_agg(c || ':' || kd, ',' order by c) filter (is_off), '') as subtype,
+  '{{' || string_agg('"' || c || '":' || x::varchar, ',' order by is_more, c) filter (is_off or is_more) || '}}' as rest from m_{child} group by all),
+s_{child} as (select e.*, case when json_type(e) = 'OBJECT' then coalesce(shape, '') else '' end as shape, case when json_type(e) = 'OBJECT' then coalesce(subtype, '') else 'no object' end as subtype,
+  case when json_type(e) = 'OBJECT' then rest else e::varchar end as rest from e_{child} e left join g_{child} using (rec_id, parent_item, item))"""
+
+
+def _p5_table(child: str, only: str = "", text: tuple = ()) -> str:
+    kinds = nested.declared(child)
+    cells = []
+    for m, t in kinds.items():
+        if t.startswith("struct"):
+            cells += [f"json_extract(e, '$.{m}.{f}')::double as {f}" for f in ("A_antes", "A_despues")]
+            continue
+        t = "string" if m in text else t
+        kind = _P5_KIND[t]
+        x = f"json_extract(e, '$.{m}')"
+        right = {"s": f"json_type({x}) = 'VARCHAR'", "b": f"json_type({x}) = 'BOOLEAN'", "n": f"json_type({x}) in ('UBIGINT', 'BIGINT'" + (")" if t == "bigint" else ", 'DOUBLE')")}[kind]
+        cells.append(f"case when {right} then {_P5_CELL[t].format(x)} end as {m}")
+    shown = "" if only else "shape, subtype, "
+    return f"{_P5}, {_p5_members(child)} select '{_P5_ROWS[child][1]}' as src, rec_id, parent_item, item, {shown}{', '.join(cells)}, rest from s_{child}" + (f" where subtype = '{only}'" if only else "")
+
+
 _P2 = """
 with x as (select distinct file_id, series, file_seq, line_json::json as j from trajectory_line),
 w as (select file_id, x.j ->> '$.t' as t, replace(n.fullkey[3:], '"', '') as path, n.type as ty, n.value as v from x, json_tree(x.j) n where n.fullkey <> '$' and not contains(n.fullkey, '[')),
@@ -102,6 +156,9 @@ rn as (select sa.file_id, sa.path as field, sr.path as old_field from sa join sr
 """
 
 SQL = {
+    **{f"p5_{c}": _p5_table(c) for c in _P5_ROWS},
+    "p5_thermostat_text": _p5_table("thermostat", "D_ckm:s", ("D_ckm",)),
+    "p5_shapes": _P5 + "".join(f", {_p5_members(c)}" for c in _P5_ROWS) + " union all ".join(f" select '{c}' as child, shape, subtype, count(*) as n_rows from s_{c} group by shape, subtype" for c in _P5_ROWS),
     "p2_found": _P2
     + """select file_id, 'added' as change, path as field, '' as old_field from ad where not exists (select 1 from rn where rn.file_id = ad.file_id and rn.field = ad.path)
 union all select file_id, 'removed', path, '' from rm where not exists (select 1 from rn where rn.file_id = rm.file_id and rn.old_field = rm.path)

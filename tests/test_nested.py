@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from sparkscape.operators import nested as N
 
 TR = "rec_id bigint, series string, panel string, item string, child int"
@@ -39,7 +41,7 @@ def test_each_variant_keeps_its_values(spark):
     assert (way["0"].subtype, way["0"].t, json.loads(way["0"].rest)) == ("landscape:o,t:n", None, {"landscape": {"A_antes": 1, "more": 2}, "t": 1.5})
     tops = json.dumps({"G_state": {"top_coactivations": [{"a": "x", "b": "y", "weight": [1]}]}})
     top = N.subtype(spark.createDataFrame([(1, "s", tops, "c", 1)], TR), w, "top_coactivations").collect()
-    assert [(r.a, r.b, r.weight, r.rest) for r in top] == [("x", "y", None, '{"weight": [1]}')]
+    assert [(r.a, r.b, r.weight, r.rest) for r in top] == [("x", "y", None, '{"weight":[1]}')]
     assert way["1"].t == 2 and way["1"].landscape.A_antes == 1 and way["1"].rest is None and way["1"].parent_item == "2"
 
 
@@ -48,6 +50,36 @@ def test_deep_members_are_passed_over(spark):
     assert N.found(spark.createDataFrame([(1, "s", deep, "c", 1)], TR), spark.createDataFrame([], SW)).count() == 1
 
 
+def test_any_depth(spark):
+    for n in (400, 5_000, 60_000):
+        deep = '{"x": [' * n + "1" + "]}" * n
+        doc = f'{{"thermostat": {{"zone": "z", "other": {deep}}}}}'
+        rows = N.rows_of(spark.createDataFrame([(1, "s", doc, "c", 1)], TR), spark.createDataFrame([], SW), ("thermostat",)).collect()
+        assert len(rows) == 1 and rows[0].shape == "other:o,zone:s" and rows[0].rest == '{"other":' + deep.replace(" ", "") + "}"
+    a = N.ShapeAutomaton()
+    tree, shallow = N.deep_parsed('[{"a": [1, {"b": null}], "c": "\\u00e9\\""}, -1.5e3, true]'), [{"a": [1, {"b": None}], "c": 'é"'}, -1500.0, True]
+    assert tree == shallow and a.deep_tree(tree) == a.tree(shallow)
+    for broken in ("[", "[1,]", '{"a" 1}', '{"a": 1,}', "[1] 2", "{1: 2}", "]", '{"a": }', "[}", "nul", ""):
+        with pytest.raises(ValueError):
+            N.deep_parsed(broken)
+
+
+def test_last_delivery_counts(spark):
+    one, two = ({"thermostat": [{"zone": z} for z in zs]} for zs in ("abc", "de"))
+    t = spark.createDataFrame([(1, "2024-01-01", json.dumps(one)), (1, "2024-01-02", json.dumps(two)), (2, "2024-01-02", None), (2, "2024-01-01", json.dumps(one)), (None, None, json.dumps(one)), (None, None, json.dumps(two))], "rec_id bigint, received_at string, panel string")
+    rows = N.subtype(t, spark.createDataFrame([], SW), "thermostat").collect()
+    assert sorted((r.rec_id or 0, r["item"], r.zone) for r in rows) == [(0, "0", "a"), (0, "0", "d"), (0, "1", "b"), (0, "1", "e"), (0, "2", "c"), (1, "0", "d"), (1, "1", "e")]
+
+
+def test_parents(spark):
+    panel = {"sampling_mode": "u", "D_ckm": 0.5, "thermostat": [{}], "G_state": {"mode": "m", "n_texts": 3, "top_coactivations": [{"a": "x"}]}, "more": [1]}
+    t = spark.createDataFrame([(1, "s", json.dumps(panel), "c", 1)], TR)
+    w = spark.createDataFrame([(7, json.dumps([{"A0": 3, "A_post_per_alpha": {"0.5": 1}}]), "c")], SW)
+    p, g, s = (N.subtype(t, w, c).first() for c in ("panel", "g_state", "sweep"))
+    assert (p.rec_id, p.sampling_mode, p.D_ckm, p.rest) == (1, "u", 0.5, '{"more":[1]}') and (g["mode"], g.n_texts, g["item"]) == ("m", 3, "")
+    assert (s.rec_id, s["item"], s.A0, s.rest) == (7, "0", 3, None) and N.subtype(t, w, "a_post_per_alpha").first().parent_item == "0"
+
+
 def test_empty(spark):
     assert N.found(spark.createDataFrame([], TR), spark.createDataFrame([], SW)).count() == 0
 
