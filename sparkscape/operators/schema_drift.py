@@ -1,9 +1,11 @@
-"""Files whose records change shape: one table of consistent columns, and a log of changes.
-
-Header schemas (dotted path -> kinds) are read from all files in parallel and
-combined before anything is shuffled; their fold through the promotion lattice
-gives the union schema; files are cast to it; neighbouring files of a series are
-compared for the ordered log of differences.
+"""Files whose records change shape: one table of consistent columns, and an ordered log of changes.
+
+One pass over the lines gives every file's header schema: dotted path -> element of the
+type lattice. Its elements are sets of kinds (bit masks) and its join is their union, so that
+headers fold in any order: records in their task, tasks in a file, files in the whole
+collection. ``column_type`` is the promotion of such a set: null < integer < double,
+boolean, array < string. What changes is read off the headers of neighbouring files; only
+for renames are the lines of the files in question read again, once.
 """
 
 from __future__ import annotations
@@ -16,17 +18,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkscape.session import cut
+from sparkscape.session import cut, fixed_rows
 
 KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
-HEAD = "file_id bigint, series string, file_seq bigint, path string, kind string"
+# Bits of the lattice's elements. Integers beyond 2^53 aren't exact as double, those beyond 64 bits in no number type.
+NULL, INTEGER, LONG, HUGE, DOUBLE, BOOLEAN, ARRAY, STRING, OBJECT = (1 << k for k in range(9))
+NUMBER = INTEGER | LONG | HUGE | DOUBLE
+NAMED = ((OBJECT, "object"), (ARRAY, "array"), (STRING, "string"), (BOOLEAN, "boolean"), (NUMBER, "number"))
+HEAD = "series string, file_seq bigint, file_id bigint, path string, kinds int"
 FLUSH = 100_000
+MOST_PATHS = 20_000  # fields of the whole collection; a table can't have more columns, so a larger union schema is refused
 
 
 def kind_of(value) -> str:
     return KINDS[type(value)]
 
 
+def element(value) -> int:
+    """The lattice element of one value."""
+    t = type(value)
+    if t is int:
+        return INTEGER if -(2**53) <= value <= 2**53 else LONG if -(2**63) <= value < 2**63 else HUGE
+    return {float: DOUBLE, str: STRING, bool: BOOLEAN, list: ARRAY, dict: OBJECT}.get(t, NULL)
+
+
+def column_type(kinds: int) -> str:
+    """The type that holds all values of a set of kinds unchanged.
+
+    Objects have no column of their own: their members are columns. Where a path is an
+    object in some records and a value in others, the value keeps its own column.
+    """
+    kinds &= ~(NULL | OBJECT)
+    if kinds and not kinds & ~(INTEGER | LONG):
+        return "bigint"
+    if kinds and not kinds & ~(INTEGER | DOUBLE):
+        return "double"
+    return {BOOLEAN: "boolean", ARRAY: "array", 0: "null"}.get(kinds, "string")
+
+
+def promote(a: str, b: str) -> str:
+    """Least upper bound of two kinds or types in null < integer < double (number), boolean, array < string."""
+    element_of = {"null": NULL, "object": OBJECT, "boolean": BOOLEAN, "array": ARRAY, "string": STRING, "number": DOUBLE, "double": DOUBLE, "integer": INTEGER, "bigint": INTEGER}
+    if a == b or b in ("null", "object"):
+        return a
+    if a in ("null", "object"):
+        return b
+    both = column_type(element_of[a] | element_of[b])
+    return "number" if both == "double" and "number" in (a, b) else both
+
+
 def members(record: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
     """(dotted path, value) of every member; arrays aren't entered. Not recursive, so any depth goes."""
     stack = [(prefix, record)]
@@ -47,63 +87,61 @@ def record_of(line: str | None) -> dict | None:
     return d if type(d) is dict else None
 
 
-def promote(a: str, b: str) -> str:
-    """Least upper bound in the lattice null < boolean, number, array < string.
-
-    Objects have no column of their own: their members are columns. Where a path is
-    an object in some records and a value in others, the value keeps its own column.
-    """
-    if a == b or b in ("null", "object"):
-        return a
-    if a in ("null", "object"):
-        return b
-    return "string"
-
-
 def headers(lines: DataFrame) -> DataFrame:
-    """file_id, series, file_seq, path, kind: distinct within a file; path '' marks the file itself.
+    """series, file_seq, file_id, path, kinds: one row per path of a file; path '' marks the file itself.
 
     Lines that hold no JSON object add nothing but the file's mark.
     """
 
     def run(batches):
-        seen: set[tuple] = set()
+        seen: dict[tuple, int] = {}
 
         def flush():
-            cols = list(zip(*seen)) or [()] * 5
-            types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["file_id", "series", "file_seq", "path", "kind"])
+            cols = list(zip(*((*k, v) for k, v in seen.items()))) or [()] * 5
+            types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32()]
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["series", "file_seq", "file_id", "path", "kinds"])
             seen.clear()
             return out
 
         for batch in batches:
             for f, s, q, line in zip(*(batch.column(c).to_pylist() for c in ("file_id", "series", "file_seq", "line_json"))):
-                seen.add((f, s, q, "", "file"))
+                seen[s, q, f, ""] = 0
                 d = record_of(line)
                 if d is not None:
                     for p, v in members(d):
-                        seen.add((f, s, q, p, kind_of(v)))
+                        key = (s, q, f, p)
+                        seen[key] = seen.get(key, 0) | element(v)
             if len(seen) > FLUSH:
                 yield flush()
         yield flush()
 
     rows = lines.select("file_id", "series", F.col("file_seq").cast("bigint").alias("file_seq"), "line_json").mapInArrow(run, HEAD)
-    return rows.distinct()
+    # A file's headers meet in one task: as many rows as it has paths, times the tasks that read it.
+    return rows.repartition("series", "file_seq").groupBy("series", "file_seq", "file_id", "path").agg(F.bit_or("kinds").cast("int").alias("kinds"))
 
 
 def neighbours(heads: DataFrame) -> DataFrame:
-    """One row per path of a file or of the file before it: kinds_new, kinds_old (null: not there).
+    """One row per file with its forerunner (file_seq one lower): series, file_seq, file_id, old_id and, per change, arrays of paths.
 
-    A first file, or one whose forerunner isn't there, has no rows.
+    only_new, only_old: paths in one of them; retyped: paths in both with a type in both files and
+    other sets of types. A first file, or one whose forerunner isn't there, has no row. A row is as large
+    as two files' schemas.
     """
-    fields = heads.groupBy("file_id", "series", "file_seq", "path").agg(F.array_sort(F.collect_set(F.when(F.col("kind") != "null", F.col("kind")))).alias("kinds"))
-    files = heads.where("path = ''").select("file_id", "series", "file_seq")
-    older = files.select(F.col("file_id").alias("old_id"), "series", (F.col("file_seq") + 1).alias("file_seq"))
-    pairs = files.join(older, ["series", "file_seq"])
-    new = pairs.join(fields.select("file_id", "path", "kinds"), "file_id").select("file_id", "old_id", "path", F.col("kinds").alias("kinds_new"), F.lit(None).cast("array<string>").alias("kinds_old"))
-    old = pairs.join(fields.select(F.col("file_id").alias("old_id"), "path", "kinds"), "old_id").select("file_id", "old_id", "path", F.lit(None).cast("array<string>").alias("kinds_new"), F.col("kinds").alias("kinds_old"))
-    both = new.unionByName(old).where("path <> ''").groupBy("file_id", "old_id", "path")
-    return both.agg(F.max("kinds_new").alias("kinds_new"), F.max("kinds_old").alias("kinds_old"))
+    files = heads.groupBy("series", "file_seq", "file_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "kinds"))).alias("fields"))
+    older = files.select("series", (F.col("file_seq") + 1).alias("file_seq"), F.col("file_id").alias("old_id"), F.col("fields").alias("old"))
+    both = files.join(older, ["series", "file_seq"])
+    # The set of types as the rules count it: all numbers are one.
+    types = lambda k: k.bitwiseAND(F.lit(BOOLEAN | ARRAY | STRING | OBJECT)) + F.when(k.bitwiseAND(F.lit(NUMBER)) != 0, F.lit(DOUBLE)).otherwise(F.lit(0))
+    new_names, old_names = F.map_keys("fields"), F.map_keys("old")
+    a = lambda p: types(F.element_at("fields", p))
+    b = lambda p: types(F.element_at("old", p))
+    shared = F.array_intersect(new_names, old_names)
+    return both.select(
+        "series", "file_seq", "file_id", "old_id",
+        F.array_except(new_names, old_names).alias("only_new"),
+        F.array_except(old_names, new_names).alias("only_old"),
+        F.filter(shared, lambda p: (a(p) != 0) & (b(p) != 0) & (a(p) != b(p))).alias("retyped"),
+    )
 
 
 def canonical(value) -> str:
@@ -120,81 +158,107 @@ def renames(lines: DataFrame, differences: DataFrame) -> DataFrame:
 
     Candidates (a path only in the older and one only in the newer file under one parent)
     are compared by a 128-bit digest of their values over the records with a t in both
-    files, and joined on that digest, so never pair by pair.
+    files, and joined on that digest, so never pair by pair. Only lines of files with
+    candidates are read.
     """
-    parent = F.regexp_replace("path", r"\.?[^.]*$", "")
-    only = differences.where("kinds_new is null or kinds_old is null").select("file_id", "old_id", "path", parent.alias("parent"), F.col("kinds_old").isNotNull().alias("is_old"))
-    both = only.groupBy("file_id", "old_id", "parent").agg(F.max("is_old").alias("has_old"), F.min("is_old").alias("all_old")).where("has_old and not all_old")
-    wanted = only.join(both.select("file_id", "old_id", "parent"), ["file_id", "old_id", "parent"])
-    sides = wanted.groupBy("file_id", "old_id", "is_old").agg(F.collect_list("path").alias("paths"))
-    sides = sides.select(F.when(F.col("is_old"), F.col("old_id")).otherwise(F.col("file_id")).alias("at"), F.col("file_id").alias("pair"), "old_id", "is_old", "paths")
-    own = lines.select(F.col("file_id").alias("at"), "line_json", F.get_json_object("line_json", "$.t").alias("t")).where("t is not null")
-    own = own.join(sides, "at")
-    shared = own.groupBy("pair", "t").agg(F.max("is_old").alias("a"), F.min("is_old").alias("b")).where("a and not b").select("pair", "t")
-    kept = own.join(shared, ["pair", "t"]).select("pair", "old_id", "is_old", "paths", "line_json")
+    parent = lambda p: F.regexp_replace(p, r"\.?[^.]*$", "")
+    common = F.array_intersect(F.transform("only_new", parent), F.transform("only_old", parent))
+    under = lambda side: F.filter(side, lambda p: F.array_contains(F.col("common"), parent(p)))
+    pairs = differences.withColumn("common", common).where("size(common) > 0").select("file_id", "old_id", under("only_new").alias("new"), under("only_old").alias("old"))
+    side = lambda at, old, paths: F.struct(F.col(at).alias("at"), F.lit(old).alias("is_old"), F.col(paths).alias("paths"))
+    sides = pairs.select(F.col("file_id").alias("pair"), "old_id", F.explode(F.array(side("file_id", False, "new"), side("old_id", True, "old"))).alias("s")).select("pair", "old_id", "s.*")
+    own = lines.select(F.col("file_id").alias("at"), "line_json").where("line_json is not null").join(sides, "at")
 
     def run(batches):
+        last, d = None, None
         for batch in batches:
             out = []
-            for pair, old_id, is_old, paths, line in zip(*(c.to_pylist() for c in batch.columns)):
-                d = record_of(line)
-                if d is None:
+            for pair, old_id, is_old, paths, line in zip(*(batch.column(c).to_pylist() for c in ("pair", "old_id", "is_old", "paths", "line_json"))):
+                if line != last:  # a line of two pairs comes twice in a row
+                    last, d = line, record_of(line)
+                    values = dict(members(d)) if d is not None else {}
+                if d is None or d.get("t") is None:
                     continue
-                values, t = dict(members(d)), canonical(d.get("t"))
+                t = canonical(d["t"])
+                h = int.from_bytes(hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()[:8], "big", signed=True)
                 for p in paths:
                     v = values.get(p)
-                    h = hashlib.md5((t + "\0" + canonical(v)).encode("utf-8", "surrogatepass")).digest()
-                    out.append((pair, old_id, is_old, p, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), v is not None))
-            cols = list(zip(*out)) or [()] * 7
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["pair", "old_id", "is_old", "path", "h1", "h2", "holds"])
-
-    cells = kept.mapInArrow(run, "pair bigint, old_id bigint, is_old boolean, path string, h1 bigint, h2 bigint, holds boolean").distinct()
-    digest = cells.groupBy("pair", "old_id", "is_old", "path").agg(
+                    m = hashlib.md5((t + "\0" + canonical(v)).encode("utf-8", "surrogatepass")).digest()
+                    out.append((pair, old_id, is_old, p, h, int.from_bytes(m[:8], "big", signed=True), int.from_bytes(m[8:], "big", signed=True), v is not None))
+            cols = list(zip(*out)) or [()] * 8
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["pair", "old_id", "is_old", "path", "t", "h1", "h2", "holds"])
+
+    cells = own.mapInArrow(run, "pair bigint, old_id bigint, is_old boolean, path string, t bigint, h1 bigint, h2 bigint, holds boolean").distinct()
+    cells = cut(cells)
+    shared = cells.groupBy("pair", "t").agg(F.max("is_old").alias("a"), F.min("is_old").alias("b")).where("a and not b").select("pair", "t")
+    digest = cells.join(shared, ["pair", "t"], "left_semi").groupBy("pair", "old_id", "is_old", "path").agg(
         F.count("*").alias("n"), F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"), F.sum(F.col("h1").cast("decimal(38,0)")).alias("s"), F.max("holds").alias("holds")
     )
-    digest = digest.where("holds").withColumn("parent", parent)
-    keys = ["pair", "old_id", "parent", "n", "x1", "x2", "s"]
-    new = digest.where("not is_old").select(*keys, "path")
-    old = digest.where("is_old").select(*keys, F.col("path").alias("old_path"))
-    return new.join(old, keys).select(F.col("pair").alias("file_id"), "old_id", "path", "old_path")
+    # Paths of one digest meet in one row; as many as a schema has.
+    name = F.struct("is_old", "path")
+    met = digest.where("holds").groupBy("pair", "old_id", parent(F.col("path")).alias("parent"), "n", "x1", "x2", "s").agg(F.collect_list(name).alias("all"))
+    split = lambda old: F.transform(F.filter("all", lambda x: x["is_old"] == old), lambda x: x["path"])
+    new = met.select(F.col("pair").alias("file_id"), "old_id", F.explode(split(F.lit(False))).alias("path"), split(F.lit(True)).alias("olds"))
+    return new.select("file_id", "old_id", "path", F.explode("olds").alias("old_path"))
 
 
-def changes(lines: DataFrame) -> DataFrame:
-    """file_id, change, field, old_field: every change of a file against its forerunner.
+def log(lines: DataFrame) -> DataFrame:
+    """series, file_seq, position, file_id, change, field, old_field: every change of a file against its forerunner.
 
+    Ordered within a file: renamed, removed, added, type, each by field; position counts from 0.
     A rename whose values never meet (no common t, or nulls only) is an added and a
     removed field. A field that matches several others is reported with each of them.
     Empty input gives no rows.
     """
     # The headers are read once; both they and the differences are as small as the schemas.
-    d = cut(neighbours(cut(headers(lines))))
-    r = cut(renames(lines, d))
-    new = r.select("file_id", "path").distinct()
-    old = r.select("file_id", F.col("old_path").alias("path")).distinct()
-    added = d.where("kinds_old is null").join(new, ["file_id", "path"], "left_anti")
-    removed = d.where("kinds_new is null").join(old, ["file_id", "path"], "left_anti")
-    typed = d.where("kinds_old is not null and kinds_new is not null and size(kinds_old) > 0 and size(kinds_new) > 0 and kinds_old <> kinds_new")
-    none = F.lit("").alias("old_field")
-    return (
-        added.select("file_id", F.lit("added").alias("change"), F.col("path").alias("field"), none)
-        .unionByName(removed.select("file_id", F.lit("removed").alias("change"), F.col("path").alias("field"), none))
-        .unionByName(typed.select("file_id", F.lit("type").alias("change"), F.col("path").alias("field"), none))
-        .unionByName(r.select("file_id", F.lit("renamed").alias("change"), F.col("path").alias("field"), F.col("old_path").alias("old_field")))
-    )
+    d = cut(neighbours(headers(lines)).where("size(only_new) + size(only_old) + size(retyped) > 0"))
+    return _log(d, renames(lines, d))
+
+
+def _log(d: DataFrame, renamed: DataFrame) -> DataFrame:
+    pairs = renamed.groupBy("file_id", "old_id").agg(F.collect_set(F.struct(F.col("path").alias("field"), F.col("old_path").alias("old_field"))).alias("renamed"))
+    all_ = d.join(pairs, ["file_id", "old_id"], "left").withColumn("renamed", F.coalesce("renamed", F.array().cast("array<struct<field: string, old_field: string>>")))
+    row = lambda rank, change, field, old: F.struct(F.lit(rank).alias("rank"), field.alias("field"), old.alias("old_field"), F.lit(change).alias("change"))
+    plain = lambda rank, change, paths: F.transform(paths, lambda p: row(rank, change, p, F.lit("")))
+    gone = lambda side, member: F.array_except(side, F.transform("renamed", lambda r: r[member]))
+    rows = F.array_sort(F.concat(
+        F.transform("renamed", lambda r: row(0, "renamed", r["field"], r["old_field"])),
+        plain(1, "removed", gone(F.col("only_old"), "old_field")),
+        plain(2, "added", gone(F.col("only_new"), "field")),
+        plain(3, "type", F.col("retyped")),
+    ))
+    return all_.select("series", "file_seq", "file_id", F.posexplode(rows).alias("position", "r")).select("series", "file_seq", "position", "file_id", "r.change", "r.field", "r.old_field")
+
+
+def changes(lines: DataFrame) -> DataFrame:
+    """file_id, change, field, old_field: the rows of the log, in no order."""
+    return log(lines).select("file_id", "change", "field", "old_field")
+
+
+def ordered_log(lines: DataFrame) -> DataFrame:
+    """The log by series, file and position (sorted by ranges, in parallel)."""
+    return log(lines).orderBy("series", "file_seq", "position", "file_id")
+
+
+def fold(heads: DataFrame) -> DataFrame:
+    """path, kinds, n_files: the headers of all files folded into the union schema, and in how many files a path is."""
+    return heads.where("path <> ''").groupBy("path").agg(F.bit_or("kinds").cast("int").alias("kinds"), F.count("*").alias("n_files"))
+
+
+def typed_schema(lines: DataFrame) -> DataFrame:
+    """path, type, n_files of the union schema; objects, which have no column, and nulls have the type null."""
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([column_type(k) for k in b.column(1).to_pylist()], pa.string()), b.column(2)], names=["path", "type", "n_files"])
+
+    return fold(headers(lines)).mapInArrow(run, "path string, type string, n_files bigint")
 
 
 def union_schema(heads: DataFrame) -> list[tuple[str, str]]:
-    """(path, kind) of the union schema, sorted by path; its size is that of the schema, not of the data."""
-    kinds = heads.where("path <> ''").groupBy("path").agg(F.array_sort(F.collect_set("kind")).alias("kinds")).collect()
-    out = []
-    for r in sorted(kinds, key=lambda r: r.path):
-        kind = "null"
-        for k in r.kinds:
-            kind = promote(kind, k)
-        if set(r.kinds) - {"object"}:
-            out.append((r.path, kind))
-    return out
+    """(path, type) of the union schema, sorted by path. More than MOST_PATHS paths are refused."""
+    rows = fixed_rows(fold(heads), MOST_PATHS)
+    return sorted((r.path, column_type(r.kinds)) for r in rows if r.kinds & ~OBJECT)
 
 
 def rename_groups(links: list[tuple[str, str]], weight: dict[str, int]) -> dict[str, str]:
@@ -229,28 +293,32 @@ def rename_groups(links: list[tuple[str, str]], weight: dict[str, int]) -> dict[
 
 
 def read_unified(lines: DataFrame) -> DataFrame:
-    """All files as one table with renamed fields under one name: ``unified`` after both passes over the headers."""
+    """All files as one table with renamed fields under one name: ``unified`` after one pass over the headers.
+
+    Schemas of more than MOST_PATHS paths, or as many renames, are refused."""
     heads = cut(headers(lines))
-    links = [tuple(r) for r in renames(lines, cut(neighbours(heads))).select("old_path", "path").distinct().collect()]
-    weight = {r[0]: r[1] for r in heads.where("path <> ''").groupBy("path").agg(F.count_distinct("file_id")).collect()}
-    return unified(lines, union_schema(heads), rename_groups(links, weight))
+    folded = fixed_rows(fold(heads), MOST_PATHS)
+    links = [tuple(r) for r in fixed_rows(renames(lines, cut(neighbours(heads))).select("old_path", "path").distinct(), MOST_PATHS)]
+    schema = sorted((r.path, r.kinds) for r in folded if r.kinds & ~OBJECT)
+    return unified(lines, schema, rename_groups(sorted(links), {r.path: r.n_files for r in folded}))
 
 
-def unified(lines: DataFrame, schema: list[tuple[str, str]] | None = None, named: dict[str, str] | None = None) -> DataFrame:
-    """All files as one table: file_id, line_no and one column per path of the union schema.
+def unified(lines: DataFrame, schema: list[tuple[str, int]], named: dict[str, str] | None = None) -> DataFrame:
+    """All files as one table: file_id, line_no and one column per path of the union schema (path, kinds).
 
-    Dots in paths become two underscores. Numbers are double, arrays and mixed values
-    text (arrays and objects as JSON); what is absent or null is null. Paths that ``named``
+    Dots in paths become two underscores. Columns have the promoted type (bigint, double,
+    boolean, else text; numbers, arrays and objects in it as JSON without blanks), which holds every
+    value unchanged; what is absent or null is null. Paths that ``named``
     gives one name share a column (the first of them that isn't null). A line that holds no
     JSON object gives a row of nulls with corrupt_line set.
     """
     named = named or {}
     sources: dict[str, list[str]] = {}
-    kinds: dict[str, str] = {}
-    for p, k in union_schema(headers(lines)) if schema is None else schema:
+    kinds: dict[str, int] = {}
+    for p, k in schema:
         n = named.get(p, p)
         sources.setdefault(n, []).append(p)
-        kinds[n] = promote(kinds.get(n, "null"), k)
+        kinds[n] = kinds.get(n, 0) | k
     paths = sorted(sources)
     taken, names = {"file_id", "line_no", "corrupt_line"}, []
     for p in paths:
@@ -259,13 +327,14 @@ def unified(lines: DataFrame, schema: list[tuple[str, str]] | None = None, named
             n += "_"
         taken.add(n.lower())
         names.append(n)
-    spark_type = {"number": "double", "boolean": "boolean"}
-    ddl = ", ".join(["file_id bigint", "line_no int", "corrupt_line string", *(f"`{n}` {spark_type.get(kinds[p], 'string')}" for n, p in zip(names, paths))])
+    types = {p: column_type(kinds[p]) for p in paths}
+    ddl = ", ".join(["file_id bigint", "line_no int", "corrupt_line string", *(f"`{n}` {types[p] if types[p] in ('bigint', 'double', 'boolean') else 'string'}" for n, p in zip(names, paths))])
     reads = {
-        "number": (lambda v: float(v) if type(v) in (int, float) else None, pa.float64()),
+        "bigint": (lambda v: v if type(v) is int else None, pa.int64()),
+        "double": (lambda v: float(v) if type(v) in (int, float) else None, pa.float64()),
         "boolean": (lambda v: v if type(v) is bool else None, pa.bool_()),
     }
-    other = (lambda v: v if v is None or type(v) is str else None if type(v) is dict else json.dumps(v, ensure_ascii=False), pa.string())
+    other = (lambda v: v if v is None or type(v) is str else None if type(v) is dict else json.dumps(v, ensure_ascii=False, separators=(",", ":")), pa.string())
 
     def run(batches):
         for batch in batches:
@@ -274,7 +343,7 @@ def unified(lines: DataFrame, schema: list[tuple[str, str]] | None = None, named
             flat = [dict(members(d)) if d is not None else {} for d in rows]
             arrays = [batch.column("file_id"), batch.column("line_no"), pa.array([None if d is not None else x for d, x in zip(rows, lines_)], pa.string())]
             for p in paths:
-                read, kind = reads.get(kinds[p], other)
+                read, kind = reads.get(types[p], other)
                 own = sources[p]
                 if len(own) == 1:
                     values = [read(d.get(own[0])) for d in flat]

@@ -20,6 +20,8 @@ QUERIES = {
     "p1_valid_qr_entry": lambda s, d: dirty_rows.typed(*_dump(s, d), "mturk_2010_qr_entry"),
     "p1_reasons": lambda s, d: dirty_rows.load_records(*_dump(s, d)).groupBy("table_name", "fmt", "kind", "reason").count().withColumnRenamed("count", "n"),
     "p2_found": lambda s, d: schema_drift.changes(table(s, d, "trajectory_line")),
+    "p2_log": lambda s, d: schema_drift.ordered_log(table(s, d, "trajectory_line")),
+    "p2_schema": lambda s, d: schema_drift.typed_schema(table(s, d, "trajectory_line")),
     "p2_unified": lambda s, d: schema_drift.read_unified(table(s, d, "trajectory_line")),
     "p5_found": lambda s, d: nested.found(*_nested(s, d)),
     "p5_panel": lambda s, d: nested.subtype(*_nested(s, d), "panel").drop("variant"),
@@ -155,15 +157,42 @@ sr as (select rm.file_id, rm.parent, rm.path, list_sort(list(distinct c.t || ' '
 rn as (select sa.file_id, sa.path as field, sr.path as old_field from sa join sr using (file_id, parent, sig))
 """
 
+_P2_CHANGES = """select file_id, 'added' as change, path as field, '' as old_field from ad where not exists (select 1 from rn where rn.file_id = ad.file_id and rn.field = ad.path)
+union all select file_id, 'removed', path, '' from rm where not exists (select 1 from rn where rn.file_id = rm.file_id and rn.old_field = rm.path)
+union all select nw.file_id, 'type', path, '' from nw join ol using (file_id, path) where len(nw.kinds) > 0 and len(ol.kinds) > 0 and nw.kinds <> ol.kinds
+union all select file_id, 'renamed', field, old_field from rn"""
+
+# The unified table of the tables at scale 0.01: column, type, paths under one name. SQL can't find its own columns.
+_P2_COLUMNS = [
+    ("agent_id", "string", "agentId agent_id device device_id"), ("message_id", "string", "message_id"), ("panel__D_G", "string", "panel.D_G"), ("panel__D_ckm", "string", "panel.D_ckm"),
+    ("panel__Delta_r_sum", "string", "panel.Delta_r_sum panel.delta_sum"), ("panel__G_state__D_G", "string", "panel.G_state.D_G"), ("panel__G_state__D_G__ref", "string", "panel.G_state.D_G.ref"),
+    ("panel__G_state__D_G__value", "double", "panel.G_state.D_G.value"), ("panel__G_state__G_sparsity", "double", "panel.G_state.G_sparsity"), ("panel__G_state__active_behavior", "string", "panel.G_state.active_behavior"),
+    ("panel__G_state__mode", "string", "panel.G_state.mode"), ("panel__G_state__n_texts", "bigint", "panel.G_state.n_textos panel.G_state.n_texts"), ("panel__G_state__termap_version", "string", "panel.G_state.termap_version"),
+    ("panel__N_eff", "double", "panel.N_eff panel.n_eff"), ("panel__N_eff0", "double", "panel.N_eff0"), ("panel__activos_prompt", "string", "panel.activos_prompt"), ("panel__c_S", "double", "panel.cS panel.c_S"),
+    ("panel__cola_orbita", "bigint", "panel.cola_orbita"), ("panel__fabrication_index", "double", "panel.fab_index panel.fabrication_index"), ("panel__n_rejected_pairs", "string", "panel.n_expulsados panel.n_rejected_pairs"),
+    ("panel__sampling_mode", "string", "panel.sampling_mode"), ("panel__sampling_mode__n_warmup", "bigint", "panel.sampling_mode.n_warmup"), ("panel__sampling_mode__name", "string", "panel.sampling_mode.name"),
+    ("panel__thermostat", "string", "panel.thermostat"), ("reloj", "string", "reloj"), ("t", "bigint", "t"), ("text", "string", "text"),
+]
+
+
+def _p2_cell(path: str, kind: str) -> str:
+    x = f"json_extract(j, '$.{path}')"
+    if kind == "string":
+        return f"case json_type({x}) when 'VARCHAR' then {x} ->> '$' when 'NULL' then null when 'OBJECT' then null else {x}::varchar end"
+    return f"case when json_type({x}) in ('UBIGINT', 'BIGINT'{', ' + repr('DOUBLE') if kind == 'double' else ''}) then ({x})::{kind} end"
+
+
 SQL = {
+    "p2_unified": "with l as (select file_id, line_no, line_json, case when json_valid(line_json) and json_type(line_json) = 'OBJECT' then line_json::json end as j from trajectory_line) select file_id, line_no, case when j is null then line_json end as corrupt_line, "
+    + ", ".join(f"coalesce({', '.join(_p2_cell(p, k) for p in ps.split())}) as {n}" for n, k, ps in _P2_COLUMNS)
+    + " from l",
+    "p2_log": f"{_P2}, ch as ({_P2_CHANGES}) select series, file_seq::bigint as file_seq, row_number() over (partition by file_id order by case change when 'renamed' then 0 when 'removed' then 1 when 'added' then 2 else 3 end, field, old_field)::int - 1 as position, file_id, change, field, old_field from ch join fs using (file_id)",
+    "p2_schema": f"""{_P2}, ks as (select path, list(distinct case when ty in ('UBIGINT', 'BIGINT') then 'integer' when ty = 'DOUBLE' then 'double' else lower(ty) end) filter (ty not in ('NULL', 'OBJECT')) as k, count(distinct file_id) as n_files from w group by path)
+select path, case when k is null then 'null' when k = ['integer'] then 'bigint' when len(list_filter(k, lambda y: y not in ('integer', 'double'))) = 0 then 'double' when k = ['boolean'] then 'boolean' when k = ['array'] then 'array' else 'string' end as type, n_files from ks""",
     **{f"p5_{c}": _p5_table(c) for c in _P5_ROWS},
     "p5_thermostat_text": _p5_table("thermostat", "D_ckm:s", ("D_ckm",)),
     "p5_shapes": _P5 + "".join(f", {_p5_members(c)}" for c in _P5_ROWS) + " union all ".join(f" select '{c}' as child, shape, subtype, count(*) as n_rows from s_{c} group by shape, subtype" for c in _P5_ROWS),
-    "p2_found": _P2
-    + """select file_id, 'added' as change, path as field, '' as old_field from ad where not exists (select 1 from rn where rn.file_id = ad.file_id and rn.field = ad.path)
-union all select file_id, 'removed', path, '' from rm where not exists (select 1 from rn where rn.file_id = rm.file_id and rn.old_field = rm.path)
-union all select nw.file_id, 'type', path, '' from nw join ol using (file_id, path) where len(nw.kinds) > 0 and len(ol.kinds) > 0 and nw.kinds <> ol.kinds
-union all select file_id, 'renamed', field, old_field from rn""",
+    "p2_found": f"{_P2} {_P2_CHANGES}",
     "p5_values": _P5
     + """, q as (select 'monitor_trajectory' as src, rec_id, 'thermostat' as child, '' as parent_item, item::varchar as item, json_extract(e, '$.D_ckm') as v from o
 union select 'monitor_trajectory', rec_id, 'alpha_trajectory', item::varchar, i::varchar, json_extract(e, '$.alpha') from v where json_type(e) <> 'NULL'

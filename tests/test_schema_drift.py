@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from sparkscape.operators import schema_drift as S
 
 SCHEMA = "file_id bigint, series string, file_seq int, file_name string, line_no int, line_json string, kind string, path int"
@@ -67,6 +69,27 @@ def test_unified_columns(spark):
     assert df.count() == sum(map(len, FILES.values()))
 
 
+def test_log_is_ordered(spark):
+    rows = S.ordered_log(frame(spark, FILES)).collect()
+    assert [(r.series, r.file_seq, r.position) for r in rows] == sorted((r.series, r.file_seq, r.position) for r in rows)
+    assert {(r.file_id, r.change, r.field, r.old_field) for r in rows} == brute(FILES)
+    assert [(r.change, r.field) for r in rows if r.file_id == 1] == [("renamed", "device_id"), ("renamed", "p.n"), ("removed", "p.gone"), ("added", "p.o"), ("added", "p.o.q"), ("type", "p.d")]
+
+
+def test_no_value_changes_in_its_column(spark):
+    files = {("a", 1): [{"i": 2**53 + 1, "d": 1, "m": 2**53 + 1, "h": 2**70, "b": True, "l": [1, {"x": 2}]}], ("a", 2): [{"i": -5, "d": 0.5, "m": 0.1, "h": 1, "b": None, "l": None}]}
+    df = S.read_unified(frame(spark, files))
+    assert {n: t for n, t in df.dtypes if len(n) == 1} == {"i": "bigint", "d": "double", "m": "string", "h": "string", "b": "boolean", "l": "string"}
+    one, two = sorted(df.collect(), key=lambda r: r.file_id)
+    assert (one.i, one.d, one.m, one.h, one.b, one.l) == (2**53 + 1, 1.0, str(2**53 + 1), str(2**70), True, '[1,{"x":2}]') and (two.i, two.m, two.h) == (-5, "0.1", "1")
+
+
+def test_too_many_paths_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_PATHS", 3)
+    with pytest.raises(ValueError):
+        S.read_unified(frame(spark, FILES))
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert S.changes(empty).count() == 0 and S.read_unified(empty).count() == 0
