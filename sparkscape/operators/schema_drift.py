@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +26,7 @@ KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "nu
 NULL, INTEGER, LONG, HUGE, DOUBLE, BOOLEAN, ARRAY, STRING, OBJECT = (1 << k for k in range(9))
 NUMBER = INTEGER | LONG | HUGE | DOUBLE
 NAMED = ((OBJECT, "object"), (ARRAY, "array"), (STRING, "string"), (BOOLEAN, "boolean"), (NUMBER, "number"))
-HEAD = "series string, file_seq bigint, file_id bigint, path string, kinds int"
+HEAD = "series string, file_seq bigint, file_id bigint, path string, kinds int, low double, high double"
 FLUSH = 100_000
 MOST_PATHS = 20_000  # fields of the whole collection; a table can't have more columns, so a larger union schema is refused
 
@@ -88,47 +89,64 @@ def record_of(line: str | None) -> dict | None:
 
 
 def headers(lines: DataFrame) -> DataFrame:
-    """series, file_seq, file_id, path, kinds: one row per path of a file; path '' marks the file itself.
+    """series, file_seq, file_id, path, kinds: one row per path of a file; path '' marks the file itself, with the range of its t.
 
-    Lines that hold no JSON object add nothing but the file's mark.
+    Lines that hold no JSON object add nothing but the file's mark. A file with a t that is no number has the whole range.
     """
 
     def run(batches):
         seen: dict[tuple, int] = {}
+        low: dict[tuple, float] = {}
+        high: dict[tuple, float] = {}
 
         def flush():
-            cols = list(zip(*((*k, v) for k, v in seen.items()))) or [()] * 5
-            types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32()]
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["series", "file_seq", "file_id", "path", "kinds"])
-            seen.clear()
+            cols = list(zip(*((*k, v, low.get(k), high.get(k)) for k, v in seen.items()))) or [()] * 7
+            types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64()]
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["series", "file_seq", "file_id", "path", "kinds", "low", "high"])
+            seen.clear(), low.clear(), high.clear()
             return out
 
         for batch in batches:
             for f, s, q, line in zip(*(batch.column(c).to_pylist() for c in ("file_id", "series", "file_seq", "line_json"))):
-                seen[s, q, f, ""] = 0
+                mark = (s, q, f, "")
+                seen[mark] = 0
                 d = record_of(line)
                 if d is not None:
                     for p, v in members(d):
                         key = (s, q, f, p)
                         seen[key] = seen.get(key, 0) | element(v)
+                    t = d.get("t")
+                    if t is not None:
+                        a, b = t_range(t)
+                        low[mark], high[mark] = min(low.get(mark, a), a), max(high.get(mark, b), b)
             if len(seen) > FLUSH:
                 yield flush()
         yield flush()
 
     rows = lines.select("file_id", "series", F.col("file_seq").cast("bigint").alias("file_seq"), "line_json").mapInArrow(run, HEAD)
     # A file's headers meet in one task: as many rows as it has paths, times the tasks that read it.
-    return rows.repartition("series", "file_seq").groupBy("series", "file_seq", "file_id", "path").agg(F.bit_or("kinds").cast("int").alias("kinds"))
+    return rows.repartition("series", "file_seq").groupBy("series", "file_seq", "file_id", "path").agg(F.bit_or("kinds").cast("int").alias("kinds"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def t_range(t) -> tuple[float, float]:
+    """The place of a t on the number line; everything for what isn't there."""
+    if type(t) in (int, float) and t == t:
+        try:
+            return float(t), float(t)
+        except OverflowError:
+            pass
+    return -math.inf, math.inf
 
 
 def neighbours(heads: DataFrame) -> DataFrame:
     """One row per file with its forerunner (file_seq one lower): series, file_seq, file_id, old_id and, per change, arrays of paths.
 
     only_new, only_old: paths in one of them; retyped: paths in both with a type in both files and
-    other sets of types. A first file, or one whose forerunner isn't there, has no row. A row is as large
+    other sets of types; low, high: where their records' t can be the same. A first file, or one whose forerunner isn't there, has no row. A row is as large
     as two files' schemas.
     """
-    files = heads.groupBy("series", "file_seq", "file_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "kinds"))).alias("fields"))
-    older = files.select("series", (F.col("file_seq") + 1).alias("file_seq"), F.col("file_id").alias("old_id"), F.col("fields").alias("old"))
+    files = heads.groupBy("series", "file_seq", "file_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "kinds"))).alias("fields"), F.min("low").alias("low"), F.max("high").alias("high"))
+    older = files.select("series", (F.col("file_seq") + 1).alias("file_seq"), F.col("file_id").alias("old_id"), F.col("fields").alias("old"), F.col("low").alias("low_"), F.col("high").alias("high_"))
     both = files.join(older, ["series", "file_seq"])
     # The set of types as the rules count it: all numbers are one.
     types = lambda k: k.bitwiseAND(F.lit(BOOLEAN | ARRAY | STRING | OBJECT)) + F.when(k.bitwiseAND(F.lit(NUMBER)) != 0, F.lit(DOUBLE)).otherwise(F.lit(0))
@@ -137,7 +155,7 @@ def neighbours(heads: DataFrame) -> DataFrame:
     b = lambda p: types(F.element_at("old", p))
     shared = F.array_intersect(new_names, old_names)
     return both.select(
-        "series", "file_seq", "file_id", "old_id",
+        "series", "file_seq", "file_id", "old_id", F.greatest("low", "low_").alias("low"), F.least("high", "high_").alias("high"),
         F.array_except(new_names, old_names).alias("only_new"),
         F.array_except(old_names, new_names).alias("only_old"),
         F.filter(shared, lambda p: (a(p) != 0) & (b(p) != 0) & (a(p) != b(p))).alias("retyped"),
@@ -164,21 +182,26 @@ def renames(lines: DataFrame, differences: DataFrame) -> DataFrame:
     parent = lambda p: F.regexp_replace(p, r"\.?[^.]*$", "")
     common = F.array_intersect(F.transform("only_new", parent), F.transform("only_old", parent))
     under = lambda side: F.filter(side, lambda p: F.array_contains(F.col("common"), parent(p)))
-    pairs = differences.withColumn("common", common).where("size(common) > 0").select("file_id", "old_id", under("only_new").alias("new"), under("only_old").alias("old"))
+    pairs = differences.withColumn("common", common).where("size(common) > 0 and low <= high").select("file_id", "old_id", "low", "high", under("only_new").alias("new"), under("only_old").alias("old"))
     side = lambda at, old, paths: F.struct(F.col(at).alias("at"), F.lit(old).alias("is_old"), F.col(paths).alias("paths"))
-    sides = pairs.select(F.col("file_id").alias("pair"), "old_id", F.explode(F.array(side("file_id", False, "new"), side("old_id", True, "old"))).alias("s")).select("pair", "old_id", "s.*")
+    sides = pairs.select(F.col("file_id").alias("pair"), "old_id", "low", "high", F.explode(F.array(side("file_id", False, "new"), side("old_id", True, "old"))).alias("s")).select("pair", "old_id", "low", "high", "s.*")
     own = lines.select(F.col("file_id").alias("at"), "line_json").where("line_json is not null").join(sides, "at")
 
     def run(batches):
         last, d = None, None
         for batch in batches:
             out = []
-            for pair, old_id, is_old, paths, line in zip(*(batch.column(c).to_pylist() for c in ("pair", "old_id", "is_old", "paths", "line_json"))):
+            for pair, old_id, is_old, paths, line, low, high in zip(*(batch.column(c).to_pylist() for c in ("pair", "old_id", "is_old", "paths", "line_json", "low", "high"))):
                 if line != last:  # a line of two pairs comes twice in a row
                     last, d = line, record_of(line)
-                    values = dict(members(d)) if d is not None else {}
+                    values = None
                 if d is None or d.get("t") is None:
                     continue
+                a, b = t_range(d["t"])
+                if b < low or a > high:
+                    continue
+                if values is None:
+                    values = dict(members(d))
                 t = canonical(d["t"])
                 h = int.from_bytes(hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()[:8], "big", signed=True)
                 for p in paths:
