@@ -1,5 +1,5 @@
 """The plan modules whose queries the repository offers."""
 
-from sparkscape.plans import analytics, corpus, extra, landscape, monitor, relations, streams, training, wide
+from sparkscape.plans import analytics, channel, corpus, extra, landscape, monitor, relations, streams, training, wide
 
-MODULES = [training, corpus, relations, landscape, monitor, analytics, extra, streams, wide]
+MODULES = [training, corpus, relations, landscape, monitor, channel, analytics, extra, streams, wide]

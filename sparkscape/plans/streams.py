@@ -23,6 +23,7 @@ QUERIES = {
     "stream_dedupe": lambda s, d: X.drained(X.once(source(s, d).where("rec_id is not null")).select("rec_id")),
     "stream_ticks": lambda s, d: plain(X.drained(X.ticks(source(s, d)), "complete"), "tick"),
     "stream_sessions": lambda s, d: plain(X.drained(X.session_counts(source(s, d)), "complete"), "since", "until"),
+    "stream_channel": lambda s, d: X.drained(X.evaluated(X.once(source(s, d).where("rec_id is not null")))),
     "stream_panel": lambda s, d: X.drained(X.panel(source(s, d))),
 }
 

@@ -10,15 +10,19 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkscape.functions import text as T
+from sparkscape.operators import evaluation as E
 from sparkscape.operators import monitor as M
 from sparkscape.session import shared_dir
 
 MESSAGE = "rec_id bigint, series string, t bigint, device_id string, text string, ts timestamp, received_at timestamp, panel string"
+# So that numbers and truth values with nulls stay what they are.
+NULLABLE = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype(), pa.bool_(): pd.BooleanDtype()}
 PANEL_OUT = "series string, rec_id bigint, n bigint, n_devices bigint, rejected double, zone string"
 PANEL_STATE = "n bigint, devices array<string>, rejected double"
 
@@ -83,6 +87,25 @@ def panel(stream: DataFrame) -> DataFrame:
     return p.where("series is not null and rec_id is not null").groupBy("series").applyInPandasWithState(step, PANEL_OUT, PANEL_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def evaluated(stream: DataFrame, top_k: int = 12, runs: int = 100, seed: int = 0, system: Column | None = None) -> DataFrame:
+    """Panels and rebuild decisions of each series (``evaluation.PANEL``), its channel kept between batches.
+
+    Within a micro-batch messages are taken in the order of t, rec_id; a message that comes later than others
+    with a greater t is taken when it comes. The state of a series is its channel: the corpus as term counts, W and
+    what was accumulated on it.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        channel = E.load(state.get[0]) if state.exists else E.Channel(top_k, runs, seed)
+        rows = sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: (pd.notna(r.t), r.t if pd.notna(r.t) else 0, r.rec_id))
+        out = [E.row(key[0], int(r.rec_id), int(r.t) if pd.notna(r.t) else None, channel.message(list(r.words), bool(r.opposes), r.device_id if isinstance(r.device_id, str) else None, bool(r.system))) for r in rows]
+        state.update((E.dump(channel),))
+        table = pa.Table.from_arrays([pa.array(c, x) for c, x in zip(zip(*out), E.TYPES)], names=E.NAMES)
+        yield table.to_pandas(types_mapper=NULLABLE.get)
+
+    return E.messages(stream, system).groupBy("series").applyInPandasWithState(step, E.PANEL, "channel binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what its source holds and returns the rows it wrote."""
     spark = stream.sparkSession
