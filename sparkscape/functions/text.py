@@ -100,10 +100,11 @@ def opposes(text: Column) -> Column:
     return F.coalesce(whole_words(normalize(text), OPPOSITION_MARKERS), F.lit(False))
 
 
-def is_prose(line: Column, least: int = 40) -> Column:
-    """Long enough, no table bar, no numbered heading or loose bullet, at least half letters."""
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
-    return (F.length(line) >= least) & ~line.contains("|") & ~line.rlike(r"^\s*(\d+(\.\d+)*[.)]\s|[-*•]\s)") & (letters * 2 >= F.length(line))
+def is_prose(line: Column, least: int = 40, heading: int = 80, bullet: int = 60) -> Column:
+    """Of a cleaned line: long enough, no table bar, no numbered heading or loose bullet (long ones are prose), at least half letters."""
+    letters, n = F.length(F.regexp_replace(line, r"[^\p{L}]", "")), F.length(line)
+    numbered, listed = line.rlike(r"^\d+(\.\d+)*[.)]?\s+\S") & (n < heading), line.rlike(r"^[-•*]\s") & (n < bullet)
+    return (n >= least) & ~line.contains("|") & ~numbered & ~listed & (letters * 2 >= n)
 
 
 def cleaned(line: Column) -> Column:
@@ -113,3 +114,19 @@ def cleaned(line: Column) -> Column:
 
 def set_hash(items: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(items), "\n"), 256)
+
+
+def entities_decoded(df, column: str):
+    """The rows with character entities (named and numbered, as HTML has them) of a text column decoded; null stays null."""
+    import html
+
+    import pyarrow as pa
+
+    at = df.columns.index(column)
+
+    def run(batches):
+        for b in batches:
+            texts = pa.array([html.unescape(t) if t and "&" in t else t for t in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if k == at else b.column(k) for k in range(b.num_columns)], names=b.schema.names)
+
+    return df.mapInArrow(run, df.schema)

@@ -8,9 +8,10 @@ hop is kept, so votes are counted whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkscape.operators.nulls import shuffled
 from sparkscape.session import cut, table
 
 
@@ -24,19 +25,21 @@ def stances(s, d, topic: int) -> DataFrame:
     return a.groupBy("author_id").agg(F.max(F.struct("votes_1", "votes_2")).alias("v")).select("author_id", F.when(F.col("v.votes_1") > F.col("v.votes_2"), 0).otherwise(1).alias("stance"))
 
 
-def resolved(s, d, topic: int = 9) -> DataFrame:
+def resolved(s, d, topic: int | None = 9) -> DataFrame:
     """vote_id, quoted, responding, their stances, vote, unsure, reason of every vote with an answer.
 
+    Without a topic all discussions count, and authors need no stance.
+
     reason: no_qr, no_post, no_quote, no_stance, or null where the chain holds. Repeated rows
     of a lookup table count once (the smallest).
     """
     votes = table(s, d, "vote").where("disagree_agree is not null").select("vote_id", "page", "tab", "disagree_agree", F.coalesce("unsure", F.lit(0)).alias("unsure"))
-    topic_ids = topic_discussions(s, d, topic)
+    of_topic = (lambda t: t) if topic is None else (lambda t: t.join(topic_discussions(s, d, topic), "discussion_id", "left_semi"))
     entry = table(s, d, "mturk_2010_qr_entry").groupBy("page", "tab").agg(F.min(F.struct("discussion_id", "post_id", "quote_index")).alias("e"))
     entry = entry.select("page", "tab", "e.*", F.lit(True).alias("has_entry"))
-    post = table(s, d, "post").join(topic_ids, "discussion_id", "left_semi").groupBy("discussion_id", "post_id").agg(F.min("author_id").alias("author_id"))
-    quote = table(s, d, "post_quote").join(topic_ids, "discussion_id", "left_semi").groupBy("discussion_id", "post_id", "quote_index").agg(F.min(F.struct("src_discussion_id", "src_post_id")).alias("q"))
-    stance = stances(s, d, topic)
+    post = of_topic(table(s, d, "post")).groupBy("discussion_id", "post_id").agg(F.min("author_id").alias("author_id"))
+    quote = of_topic(table(s, d, "post_quote")).groupBy("discussion_id", "post_id", "quote_index").agg(F.min(F.struct("src_discussion_id", "src_post_id")).alias("q"))
+    stance = stances(s, d, topic) if topic is not None else s.createDataFrame([], "author_id bigint, stance int")
     v = votes.join(entry, ["page", "tab"], "left")
     v = v.join(post.withColumnRenamed("author_id", "responding"), ["discussion_id", "post_id"], "left")
     v = v.join(quote, ["discussion_id", "post_id", "quote_index"], "left")
@@ -46,7 +49,7 @@ def resolved(s, d, topic: int = 9) -> DataFrame:
     v = v.join(stance.select(F.col("author_id").alias("quoted"), F.col("stance").alias("quoted_stance")), "quoted", "left")
     reason = (
         F.when(F.col("has_entry").isNull(), "no_qr").when(F.col("responding").isNull(), "no_post").when(F.col("q").isNull(), "no_quote")
-        .when(F.col("quoted").isNull(), "no_post").when(F.col("responding_stance").isNull() | F.col("quoted_stance").isNull(), "no_stance")
+        .when(F.col("quoted").isNull(), "no_post").when(F.lit(topic is not None) & (F.col("responding_stance").isNull() | F.col("quoted_stance").isNull()), "no_stance")
     )
     return v.select("vote_id", "quoted", "responding", "quoted_stance", "responding_stance", F.col("disagree_agree").alias("vote"), "unsure", reason.alias("reason"))
 
@@ -114,17 +117,19 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def shuffled_signs(edges: DataFrame, runs: int, seed: int = 7) -> DataFrame:
-    """run, a, b, sign: the edges' signs permuted in each run, by the order of keyed digests.
-
-    Positions are numbered within each run only; runs are independent partitions.
-    """
-    r = edges.sparkSession.range(runs).select(F.col("id").alias("run"))
-    cells = edges.select("a", "b", "sign").join(F.broadcast(r))  # runs: a given, small number
-    slot = F.row_number().over(Window.partitionBy("run").orderBy("a", "b"))
-    drawn = F.row_number().over(Window.partitionBy("run").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "run", "a", "b"))))
-    places = cells.select("run", "a", "b", slot.alias("k"))
-    signs = cells.select("run", "sign", drawn.alias("k"))
-    return places.join(signs, ["run", "k"]).select("run", "a", "b", "sign")
+    """run, a, b, sign: the edges' signs permuted in each run, by the order of keyed digests."""
+    return shuffled(edges.select("a", "b", "sign"), ["a", "b"], "sign", runs, seed)
+
+
+def frustration(tri: DataFrame, signs: DataFrame) -> DataFrame:
+    """run, frustrated, with_zero of a fixed list of triangles a < b < c under each run's signs (run, a, b, sign)."""
+    e = signs.select("run", F.col("a").alias("x"), F.col("b").alias("y"), "sign")
+    ab = tri.select("a", "b", "c").join(e.select("run", F.col("x").alias("a"), F.col("y").alias("b"), F.col("sign").alias("s1")), ["a", "b"])
+    ac = ab.join(e.select("run", F.col("x").alias("a"), F.col("y").alias("c"), F.col("sign").alias("s2")), ["run", "a", "c"])
+    p = ac.join(e.select("run", F.col("x").alias("b"), F.col("y").alias("c"), F.col("sign").alias("s3")), ["run", "b", "c"]).withColumn("p", F.col("s1") * F.col("s2") * F.col("s3"))
+    found = p.groupBy("run").agg(F.count_if(F.col("p") < 0).alias("frustrated"), F.count_if(F.col("p") == 0).alias("with_zero"))
+    every = signs.select("run").distinct()
+    return every.join(found, "run", "left").na.fill(0)
 
 
 def core(edges: DataFrame, k: int, most: int = 60) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkscape.functions import text as T
+from sparkscape.operators import blocks as B
 from sparkscape.operators import corpus as C
-from sparkscape.session import table
+from sparkscape.operators import nulls as U
+from sparkscape.session import cut, table
 
 K = 12
 
@@ -24,10 +26,15 @@ def w(s, d):
     return C.signed_w(units(s, d), K)
 
 
-def named(s, d, even):
+MIDDLE = "(select min(loaded_at) + (max(loaded_at) - min(loaded_at)) / 2 from documents)"
+
+
+def named(s, d, old):
     u = units(s, d)
-    if even:
-        u = u.where("unit_id % 2 = 0")  # an older state of the corpus, to compare W's of two versions
+    if old:  # the corpus as it was half-way through its loading
+        t = table(s, d, "documents")
+        lo, hi = t.agg(F.min("loaded_at"), F.max("loaded_at")).first()
+        u = t.where(F.col("loaded_at") <= F.lit(lo + (hi - lo) / 2)).select(F.col("doc_id").alias("unit_id"), "text") if lo else u
     n, e = C.signed_w(u, K)
     a = n.select(F.col("node_id").alias("i"), F.col("term").alias("ta"))
     b = n.select(F.col("node_id").alias("j"), F.col("term").alias("tb"))
@@ -51,13 +58,9 @@ def paginate(s, d, words=200):
     return whole.select("unit_id", F.aggregate("l", F.struct(F.lit(1).alias("pages"), F.lit(0).alias("run")), step, lambda acc: acc["pages"]).alias("n_pages"))
 
 
-def containment(s, d, theta=0.8):
-    """Documents of distinct tokens contained in the next document of their source, by share."""
-    t = table(s, d, "documents").select("doc_id", "source", F.array_distinct(T.tokens(F.col("text"))).alias("t")).where("size(t) > 0")
-    nxt = Window.partitionBy("source").orderBy("doc_id")
-    salted = t.withColumn("after", F.lead("t").over(nxt)).withColumn("next_id", F.lead("doc_id").over(nxt)).where("next_id is not null")
-    share = F.size(F.array_intersect("t", "after")) / F.size("t")
-    return salted.select("doc_id", "next_id", F.round(share, 6).alias("share"), (share >= theta).alias("contained"))
+def states(s, d):
+    """Texts of each source by the month they were written in, as versions of the source."""
+    return table(s, d, "documents").select(F.col("source").alias("series"), F.date_format("written_at", "yyyy-MM").alias("version"), "text")
 
 
 def behaviour(s, d):
@@ -74,8 +77,11 @@ def behaviour_graph(s, d):
 
 def shuffled_words(s, d):
     """Null corpus: all words pooled, put in the order of a keyed digest, dealt out again by length."""
-    u = units(s, d).select("unit_id", T.tokens(F.col("text")).alias("t"))
-    return u.select("unit_id", F.posexplode("t").alias("pos", "word")).select("unit_id", "pos", F.md5(F.concat_ws(":", F.lit("7"), "unit_id", "pos", "word")).alias("key")).groupBy(F.substring("key", 1, 1).alias("bucket")).agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
+    u = units(s, d).where("unit_id is not null").select("unit_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("pos", "word"))
+    u = cut(u)
+    places = U.ranked(u.select("unit_id", "pos"), [], ["unit_id", "pos"])
+    drawn = U.ranked(u.select("word", F.md5(F.concat_ws(":", F.lit("7"), "unit_id", "pos", "word")).alias("d")), [], ["d"])
+    return places.join(drawn.select("word", "k"), "k").select("unit_id", "pos", "word")
 
 
 def quantiles(s, d):
@@ -112,7 +118,7 @@ QUERIES = {
     "behaviour_nodes": behaviour,
     "behaviour_graph": behaviour_graph,
     "substring_map": lambda s, d: units(s, d).select("unit_id", F.explode(F.array_compact(F.array(*(F.when(F.lower("text").contains(t), F.lit(t)) for t in ("matri", "panel", "sign"))))).alias("term")),
-    "prose_filter": lambda s, d: lines(s, d).where(T.is_prose(F.col("line"))).select("unit_id", "pos", "line"),
+    "prose_filter": lambda s, d: lines(s, d).select("unit_id", "pos", T.cleaned(F.col("line")).alias("line")).where(T.is_prose(F.col("line"))),
     "line_cleanup": lambda s, d: lines(s, d).select("unit_id", "pos", T.cleaned(F.col("line")).alias("line")),
     "text_lines": lambda s, d: lines(s, d).select("unit_id", "pos", F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", "").alias("line")).where("line <> ''"),
     "dedupe_lines": lambda s, d: lines(s, d).where(T.not_blank(F.col("line"))).groupBy(F.sha2(F.lower("line"), 256).alias("h")).agg(F.min(F.struct("unit_id", "pos")).alias("f"), F.count("*").alias("n")).select("h", F.col("f.unit_id").alias("unit_id"), F.col("f.pos").alias("pos"), "n"),
@@ -121,7 +127,9 @@ QUERIES = {
     "token_scrub": lambda s, d: units(s, d).select("unit_id", F.trim(F.regexp_replace(F.regexp_replace("text", r"(^|[^\p{L}])(panel|matriz|signal|corpus)([^\p{L}]|$)", "$1$3"), r"\s+", " ")).alias("text")),
     "tag_strip": lambda s, d: units(s, d).select("unit_id", F.regexp_replace("text", r"<[^<>]*>", "").alias("text")),
     "set_hash": lambda s, d: units(s, d).select("unit_id", T.set_hash(F.array_distinct(T.tokens(F.col("text")))).alias("h")),
-    "block_containment": containment,
+    "entity_decode": lambda s, d: T.entities_decoded(units(s, d).select("unit_id", F.regexp_replace("text", r"<[^<>]*>", "").alias("text")), "text"),
+    "block_containment": lambda s, d: B.contained(B.blocks(states(s, d)).groupBy("series", "h").agg(F.first("tokens").alias("tokens"))),
+    "block_turnover": lambda s, d: B.turnover(states(s, d)),
     "shuffled_words": shuffled_words,
 }
 
@@ -162,6 +170,13 @@ st as (select node_id, term, round(coalesce(sum(abs(w)), 0), 9) as strength, cou
 _LINES = "with u as (select doc_id as unit_id, text from documents), l0 as (select unit_id, unnest(string_split(text, e'\\n')) as line, unnest(range(len(string_split(text, e'\\n')))) as pos from u), l as (select unit_id, pos::int as pos, line from l0)"
 _BEH = "select doc_id as unit_id, node from (" + " union all ".join(f"select doc_id, '{n}' as node from documents where {_WHOLE.format(t='lower(nfc_normalize(text))', p='|'.join(x.replace(chr(39), '[' + chr(39) * 2 + '’]') for x in sorted(p, key=len, reverse=True)))}" for n, p in T.BEHAVIOUR.items()) + ")"
 
+_BLOCKS = f"""with tx as (select source as series, strftime(written_at, '%Y-%m') as version, unnest(string_split_regex(text, '\\n[ \\t\\n\\x0B\\f\\r]*\\n')) as text from documents where source is not null and written_at is not null and text is not null),
+tt as (select series, version, list_sort(list_distinct({_TOK})) as tokens from tx),
+ms as (select distinct series, version, tokens, sha256(array_to_string(tokens, e'\\n')) as h from tt where len(tokens) >= 5),
+sets as (select series, h, any_value(tokens) as tokens from ms group by all),
+et as (select series, h, len(tokens) as m, unnest(tokens) as tok from sets),
+ct as (select a.series, a.h, b.h as other from et a join et b on a.series = b.series and a.tok = b.tok and a.h <> b.h group by a.series, a.h, b.h, a.m having count(*) >= 0.8::double * a.m - 1e-9)"""
+
 SQL = {
     "tokens_top": f"with u as (select doc_id as unit_id, text from documents), x as (select unit_id, unnest({_TOK}) as term from u) select term, count(distinct unit_id) as df, count(*) as tf from x group by term order by tf desc, term limit 50",
     "doc_freq": _B + " select * from f",
@@ -181,7 +196,7 @@ SQL = {
     "w_isolated": _B + _STR + " select node_id, term from st where degree = 0",
     "w_strength_stats": _B + _STR + " select round(avg(strength), 6) as mean, round(stddev_pop(strength), 6) as std, round(stddev_pop(strength) / avg(strength), 6) as cv from st",
     "w_difference": "select count(*) filter (a.w is not null and b.w is not null) as common_pairs, count(*) filter (a.w is null) as entered, count(*) filter (b.w is null) as gone, round(sqrt(sum((coalesce(b.w, 0) - coalesce(a.w, 0)) ** 2)), 6) as norm from "
-    + " full join ".join(f"(with {base(cond)} select least(na.term, nb.term) as ta, greatest(na.term, nb.term) as tb, w from e join n na on na.node_id = i join n nb on nb.node_id = j) {alias}" for cond, alias in (("doc_id % 2 = 0", "a"), ("true", "b")))
+    + " full join ".join(f"(with {base(cond)} select least(na.term, nb.term) as ta, greatest(na.term, nb.term) as tb, w from e join n na on na.node_id = i join n nb on nb.node_id = j) {alias}" for cond, alias in ((f"loaded_at <= {MIDDLE}", "a"), ("true", "b")))
     + " on a.ta = b.ta and a.tb = b.tb",
     "unit_quantiles": _B + f", k as (select unit_id, count(*) as k from pr group by 1), q as (select coalesce(len({_TOK}), 0) as words, coalesce(k, 0) as k from u left join k using (unit_id)) select " + ", ".join(f"round(quantile_cont({c}, {x / 100}), 6) as {c}_p{x}" for c in ("words", "k") for x in (10, 50, 90)) + ", round(avg((k = 0)::int), 6) as without from q",
     "phi_pmi": _B + ", o as (select node_id, count(*)::double as m from pr group by 1), t as (select count(*)::double as nn from u) select i, j, n_pos + n_neg as n_ij, round((nn * (n_pos + n_neg) - a.m * b.m) / sqrt(a.m * b.m * (nn - a.m) * (nn - b.m)), 9) as phi, round(ln((n_pos + n_neg) * nn / (a.m * b.m)), 9) as pmi from pc join o a on a.node_id = i join o b on b.node_id = j, t",
@@ -190,13 +205,19 @@ SQL = {
     "behaviour_nodes": _BEH,
     "behaviour_graph": f"with b as ({_BEH}), q as (select x.node as a, y.node as b, count(*) as n from b x join b y on x.unit_id = y.unit_id and x.node < y.node group by all) select a, b, n, round(n / max(n) over (), 9) as g from q",
     "substring_map": "select doc_id as unit_id, term from documents, (values ('matri'), ('panel'), ('sign')) t(term) where contains(lower(text), term)",
-    "prose_filter": _LINES + r""" select * from l where length(line) >= 40 and not contains(line, '|') and not regexp_matches(line, '^\s*(\d+(\.\d+)*[.)]\s|[-*•]\s)') and length(regexp_replace(line, '[^\p{L}]', '', 'g')) * 2 >= length(line)""",
+    "prose_filter": _LINES + r""", k as (select unit_id, pos, trim(regexp_replace(regexp_replace(line, '[*`#]', '', 'g'), '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ') as line from l) select * from k where length(line) >= 40 and not contains(line, '|') and not (regexp_matches(line, '^\d+(\.\d+)*[.)]?\s+\S') and length(line) < 80) and not (regexp_matches(line, '^[-•*]\s') and length(line) < 60) and length(regexp_replace(line, '[^\p{L}]', '', 'g')) * 2 >= length(line)""",
     "line_cleanup": _LINES + r""" select unit_id, pos, trim(regexp_replace(regexp_replace(line, '[*`#]', '', 'g'), '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ') as line from l""",
     "text_lines": _LINES + r""", t as (select unit_id, pos, regexp_replace(line, '^[ \t\r]+|[ \t\r]+$', '', 'g') as line from l) select * from t where line <> ''""",
     "dedupe_lines": _LINES + " select sha256(lower(line)) as h, min({'u': unit_id, 'a': pos}).u as unit_id, min({'u': unit_id, 'a': pos}).a as pos, count(*) as n from l where regexp_matches(line, '[^ \\t\\r\\n]') group by 1",
     "set_hash": f"select doc_id as unit_id, sha256(coalesce(array_to_string(list_sort(list_distinct({_TOK})), e'\\n'), '')) as h from documents",
     "tag_strip": "select doc_id as unit_id, regexp_replace(text, '<[^<>]*>', '', 'g') as text from documents",
     "md_paragraphs": r"with u as (select doc_id as unit_id, string_split(text, e'\n\n') as b from documents), q as (select unit_id, unnest(range(len(b)))::int as pos, unnest(b) as block from u) select * from q where not regexp_matches(block, '^\s*(#|\||---)') and length(trim(block)) >= 40",
-    "block_containment": f"with u as (select doc_id, source, list_distinct({_TOK}) as t from documents), q as (select doc_id, t, lead(t) over w as after, lead(doc_id) over w as next_id from u where len(t) > 0 window w as (partition by source order by doc_id)) select doc_id, next_id, round(len(list_intersect(t, after)) / len(t), 6) as share, len(list_intersect(t, after)) / len(t) >= 0.8 as contained from q where next_id is not null",
-    "shuffled_words": f"with u as (select doc_id as unit_id, {_TOK} as t from documents), q as (select md5('7:' || unit_id || ':' || pos || ':' || word) as key from (select unit_id, unnest(t) as word, unnest(range(len(t))) as pos from u)) select key[1] as bucket, count(*) as n, min(key) as first_key from q group by 1",
+    "block_containment": _BLOCKS + " select series, h, other from ct",
+    "block_turnover": _BLOCKS + """, sv as (select series, h, version as v from ms union select ct.series, ct.h, o.version from ct join ms o on o.series = ct.series and o.h = ct.other),
+vs as (select series, version, lead(version) over (partition by series order by version) as nx from (select distinct series, version from ms)),
+fl as (select vs.series, vs.version, nx, s.h, bool_or(coalesce(m.version = vs.version, false)) as f, bool_or(coalesce(m.version = nx, false)) as t from vs join sets s using (series) left join ms m on m.series = s.series and m.h = s.h where nx is not null group by all),
+sl as (select vs.series, vs.version, nx, sv.h, bool_or(v = vs.version) as sf, bool_or(v = nx) as st, bool_or(v > nx) as la, bool_or(v < vs.version) as ea from vs join sv using (series) where nx is not null group by all)
+select fl.series, fl.version, fl.nx as next, count(*) filter (f) as n_from, count(*) filter (t) as n_to, count(*) filter (f and not st) as leaves, count(*) filter (f and not st and not la) as never_back, count(*) filter (t and not sf) as arrives, count(*) filter (t and not sf and ea) as returns
+from fl join sl on sl.series = fl.series and sl.version = fl.version and sl.h = fl.h group by all""",
+    "shuffled_words": "with u as (select doc_id as unit_id, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') as t from documents), q as (select unit_id, unnest(t) as word, unnest(range(len(t)))::int as pos from u), a as (select unit_id, pos, row_number() over (order by unit_id, pos) as k from q), b as (select word, row_number() over (order by md5('7:' || unit_id || ':' || pos || ':' || word)) as k from q) select unit_id, pos, word from a join b using (k)",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from sparkscape.operators import analytics as A
 from sparkscape.operators import corpus as C
 from sparkscape.operators import landscape as L
 from sparkscape.operators import monitor as M
+from sparkscape.operators import nulls as U
 from sparkscape.plans import landscape as PL
 from sparkscape.plans.analytics import grid
 from sparkscape.plans.corpus import base, lines, units
@@ -114,11 +116,46 @@ def marker_null(s, d, runs=10):
     p = cut(flag.join(a, "unit_id", "left").select("unit_id", "neg", F.coalesce("pairs", F.lit(0)).alias("pairs")))
     seen = p.agg(F.sum(F.when(F.col("neg"), -F.col("pairs")).otherwise(F.col("pairs"))).alias("observed"))
     r = p.join(F.broadcast(s.range(runs).select(F.col("id").alias("run"))))  # runs: a given, small number
-    rank = F.row_number().over(Window.partitionBy("run").orderBy(F.md5(F.concat_ws(":", F.lit("m"), "run", "unit_id")), "unit_id"))
-    x = r.withColumn("rank", rank).crossJoin(k).groupBy("run").agg(F.sum(F.when(F.col("rank") <= F.col("k"), -F.col("pairs")).otherwise(F.col("pairs"))).alias("total"))
+    x = U.ranked(r.withColumn("d_", U.key("m", "unit_id")), ["run"], ["d_", "unit_id"], "rank").crossJoin(k).groupBy("run").agg(F.sum(F.when(F.col("rank") <= F.col("k"), -F.col("pairs")).otherwise(F.col("pairs"))).alias("total"))
     return x.crossJoin(seen)
 
 
+def marker_test(s, d, runs=20):
+    """Effective number of W when as many documents are marked at random as carry a marker: observed drop from the all-positive W, and its percentile.
+
+    Nodes and presence stay; a run's W takes the marked units' pairs away twice. W has at most N * N / 2 edges a run."""
+    u = units(s, d)
+    nodes = cut(C.nodes(u, N))
+    a = C.active_nodes(C.presence(u, nodes))
+    p = cut(a.select("unit_id", F.posexplode("active").alias("at", "i"), "active").select("unit_id", "i", F.explode(F.expr("slice(active, at + 2, size(active))")).alias("j")))
+    flag = cut(u.select("unit_id", T.opposes(F.col("text")).alias("neg")))
+    k = flag.agg(F.count_if("neg").alias("k_"))
+    drawn = U.ranked(flag.select("unit_id").join(F.broadcast(s.range(runs).select(F.col("id").alias("run")))).withColumn("d_", U.key("m", "unit_id")), ["run"], ["d_", "unit_id"], "rank")
+    marked = drawn.crossJoin(k).where("rank <= k_").select("run", "unit_id").union(flag.where("neg").select(F.lit(-1).cast("bigint"), "unit_id"))  # k: one row; run -1 is the observed
+    every = cut(p.groupBy("i", "j").agg(F.count("*").alias("n")))
+    neg = p.join(marked, "unit_id").groupBy("run", "i", "j").agg(F.count("*").alias("m"))
+    all_runs = s.range(-2, runs).select(F.col("id").alias("run"))  # run -2 is all positive
+    raw = every.join(F.broadcast(all_runs)).join(neg, ["run", "i", "j"], "left").select("run", "i", "j", (F.col("n") - 2 * F.coalesce("m", F.lit(0))).alias("raw"))
+    w = raw.groupBy("run").agg(F.collect_list(F.struct("i", "j", "raw")).alias("edges"))
+
+    def measure(batches):
+        for b in batches:
+            out = []
+            for edges in b.column("edges").to_pylist():
+                m = np.zeros((N, N), dtype=np.int64)
+                for e in edges:
+                    m[e["i"], e["j"]] = m[e["j"], e["i"]] = e["raw"]
+                n = np.unique(L.relax(np.arange(1 << N), m)[0], return_counts=True)[1].astype(float)
+                out.append(round(float(n.sum() ** 2 / (n**2).sum()), 9))
+            yield pa.RecordBatch.from_arrays([b.column("run"), pa.array(out, pa.float64())], names=["run", "n_eff"])
+
+    r = cut(w.mapInArrow(measure, "run bigint, n_eff double"))
+    one = r.agg(F.max(F.when(F.col("run") == -1, F.col("n_eff"))).alias("n_eff"), F.max(F.when(F.col("run") == -2, F.col("n_eff"))).alias("n_eff_positive"))
+    x = r.where("run >= 0").withColumnRenamed("n_eff", "e").join(F.broadcast(one))  # one row
+    drop = lambda c: F.col("n_eff_positive") - c
+    return x.groupBy("n_eff", "n_eff_positive").agg(F.count("*").alias("runs"), F.round(drop(F.avg("e")), 6).alias("null_mean_drop"), F.round(F.stddev_samp("e"), 6).alias("null_sd"), F.round(F.avg((drop(F.col("e")) <= drop(F.col("n_eff"))).cast("int")), 6).alias("percentile")).withColumn("drop", F.round(drop(F.col("n_eff")), 6))
+
+
 def disputes(s, d):
     """Dispute and support between groups of pages and tabs, by the vote's side, each scaled by its largest."""
     v = table(s, d, "vote").where("disagree_agree is not null and page is not null")
@@ -190,21 +227,15 @@ def prefixes_of(s, d, sizes):
     return out
 
 
-def prefixes(s, d):
-    return prefixes_of(s, d, PREFIXES)
-
-
 def corpus_versions(s, d):
     """prefixes_of thirds of the ids there are; the last is the whole corpus."""
     lo, hi = units(s, d).agg(F.coalesce(F.min("unit_id"), F.lit(0)), F.coalesce(F.max("unit_id"), F.lit(0))).first()
     return prefixes_of(s, d, [lo + (hi - lo) * k // THIRDS for k in range(1, THIRDS + 1)])
 
 
-PREFIXES = (200, 500, 900)  # versions of the corpus, by the last unit they hold
 THIRDS = 3
 
 QUERIES = {
-    "w_prefixes": prefixes,
     "w_prefixes_whole": corpus_versions,
     "degree_swaps": lambda s, d: grid(s, d, 20, lambda w, c: [(c, *swap_row(w, c))], "seed int, n_edges int, n_orbits int, n_eff double"),
     "frontier_screening": lambda s, d: grid(s, d, 7, lambda w, c: [(c + 2, *A.screen(w, c + 2, 300, 1).values())], "k int, porosity double, p double, verdict string"),
@@ -220,6 +251,7 @@ QUERIES = {
     "neff_weighted": weighted,
     "sample_symmetry": lambda s, d: L.sampled(s, 2000, N, 1).groupBy("n_act").agg(F.count("*").alias("n")),
     "null_marker_shuffle": marker_null,
+    "null_marker_test": marker_test,
     "dispute_support": disputes,
     "pair_elicitation": elicited,
     "capability_deps": capabilities,
@@ -236,7 +268,6 @@ def _weights_sql():
 
 
 SQL = {
-    "w_prefixes": " union all ".join(f"select * from (with {base(f'doc_id <= {size}', N)} select {size}::bigint as size, count(*) as n_edges, sum(raw)::bigint as total from e)" for size in PREFIXES),
     "w_prefixes_whole": " union all ".join(f"select * from (with {base(f'doc_id <= (select min(doc_id) + ((max(doc_id) - min(doc_id)) * {k}) // {THIRDS} from documents)', N)} select (select (min(doc_id) + ((max(doc_id) - min(doc_id)) * {k}) // {THIRDS})::bigint from documents) as size, count(*) as n_edges, sum(raw)::bigint as total from e)" for k in range(1, THIRDS + 1)),
     "count_w": _E + r", pl as (select unit_id, pos, line from (select unit_id, unnest(string_split(text, e'\n')) as line, unnest(range(len(string_split(text, e'\n')))) as pos from u) where regexp_matches(line, '[^ \t\r\n]')), px as (select distinct unit_id, pos, node_id from (select unit_id, pos, unnest(regexp_extract_all(lower(nfc_normalize(line)), '[\p{L}\p{Nl}\p{No}_]{3,}')) as term from pl) join n using (term)), m as (select count(*) as m from pl) select a.node_id as i, b.node_id as j, count(*) as n, round(count(*) / any_value(m), 9) as w from px a join px b on a.unit_id = b.unit_id and a.pos = b.pos and a.node_id < b.node_id, m group by 1, 2",
     "first_traces": _R + "select series, sampling_mode, rec_id, t from rc where sampling_mode is not null qualify row_number() over (partition by series, sampling_mode order by t, rec_id) = 1",
