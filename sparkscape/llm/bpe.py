@@ -27,6 +27,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 REMEMBERED = 200_000  # pieces a worker remembers; forgetting costs time only
 REMEMBERED_LENGTH = 64
+PAIRS = 1_000_000  # pairs of tokens whose compatibility a worker remembers
+NEVER = 1 << 60
 
 
 class Encoder:
@@ -47,12 +49,18 @@ class Encoder:
             self.automaton.add_word(t, i)
         self.automaton.make_automaton()
         self.shorter = [self._longest_prefix(t) for t in self.rank]
-        self.halves: list[tuple[int, int]] = []
         self.merged: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, bool] = {}
+        # Holders of a token's right and left edge, from the token itself down to a byte.
+        self.right: list[tuple[int, ...]] = []
+        self.left: list[tuple[int, ...]] = []
         for t, i in self.rank.items():
-            self.halves.append(self._halves(t, i))
-            if self.sizes[i] > 1:
-                self.merged[self.halves[i]] = i
+            a, b = self._halves(t, i)
+            one = self.sizes[i] == 1
+            self.right.append((i,) if one else (i, *self.right[b]))
+            self.left.append((i,) if one else (i, *self.left[a]))
+            if not one:
+                self.merged[a, b] = i
         self.known: dict[str, tuple] = {}
 
     def _longest_prefix(self, t: str) -> int:
@@ -68,37 +76,40 @@ class Encoder:
             return i, i
         for n in range(1, len(t)):
             a, b = self.rank.get(t[:n], i), self.rank.get(t[n:], i)
-            if a < i and b < i and self.compatible(a, b):
+            if a < i and b < i and self._apart(a, b):
                 return a, b
         raise ValueError(f"token {i} can't be reached by merges")
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether tokens a, b can stand side by side: no merge across their border comes first.
-
-        The border is looked at from the youngest merge to the oldest, undoing on either side
-        the merge that came last.
+        """Whether the merges of a's and b's bytes give just a, b; looked up in the table of pairs, which fills as pairs come."""
+        key = a << 20 | b
+        got = self.pairs.get(key)
+        if got is None:
+            got = self._apart(a, b)
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            self.pairs[key] = got
+        return got
+
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether no merge crosses the border of a and b.
+
+        While a is built, its right edge is held by one token after the other: the last byte, then what
+        it becomes, up to a; each from its own merge until the next one's. The same holds for b's left edge.
+        A pair of holders that is itself merged crosses the border if its turn comes while both are there;
+        at equal turns the pair further left goes first, so a's own merge does and b's doesn't.
         """
-        merged, halves = self.merged, self.halves
-        limit = 1 << 60
-        while True:
-            if merged.get((a, b), limit) < limit:
-                return False
-            if a > b:
-                limit = a
-                a = halves[a][1]
-                if a == limit:
-                    limit = b + 1
-                    b = halves[b][0]
-                    if b + 1 == limit:
-                        return True
-            else:
-                limit = b + 1
-                b = halves[b][0]
-                if b + 1 == limit:
-                    limit = a
-                    a = halves[a][1]
-                    if a == limit:
-                        return True
+        merged, left = self.merged, self.left[b]
+        until_a = NEVER
+        for x in self.right[a]:
+            until_b = NEVER
+            for y in left:
+                turn = merged.get((x, y), NEVER)
+                if turn < until_a and turn <= until_b:
+                    return False
+                until_b = y
+            until_a = x
+        return True
 
     def piece(self, text: str) -> tuple:
         """Ids of one piece."""

@@ -30,30 +30,27 @@ GROUP = 200_000  # documents of a length numbered in one task
 
 
 def few_document_patterns(hist: np.ndarray, capacity: int, most: int = PATTERNS) -> list[tuple[int, ...]]:
-    """Patterns of one to three lengths that sum to the capacity, by how many containers they could fill."""
-    found: list[tuple[float, tuple[int, ...]]] = []
-    if hist[capacity]:
-        found.append((float(hist[capacity]), (capacity,)))
+    """Patterns of one to three lengths that sum to the capacity, the ``most`` that could fill the most containers.
+
+    All are enumerated, about capacity ** 2 / 12 of them."""
     there = np.flatnonzero(hist[: capacity + 1])
     there = there[there > 0]
-    for a in there:  # a >= b >= c
-        a = int(a)
+    found = [np.array([[capacity, 0, 0]])] if hist[capacity] else []
+    for a in map(int, there):  # a >= b >= c
         gap = capacity - a
         if a >= gap > 0 and hist[gap]:
-            found.append((hist[a] / 2 if a == gap else float(min(hist[a], hist[gap])), (a, gap)))
+            found.append(np.array([[a, gap, 0]]))
         b = np.arange(max(1, (gap + 1) // 2), min(a, gap - 1) + 1)
-        if len(b):
-            c = gap - b
-            top = np.minimum(hist[b], hist[c]).astype(float)
-            top[b == c] = hist[b[b == c]] / 2
-            top = np.minimum(top, hist[a])
-            b_, c_, top = b[top > 0], c[top > 0], top[top > 0]
-            if len(top) > 200:
-                keep = np.argsort(-top, kind="stable")[:200]
-                b_, c_, top = b_[keep], c_[keep], top[keep]
-            found.extend((float(w), (a, int(x), int(y))) for x, y, w in zip(b_, c_, top))
-    found.sort(key=lambda f: (-f[0], f[1]))
-    return [p for _, p in found[:most]]
+        b = b[(hist[b] > 0) & (hist[gap - b] > 0)]
+        found.append(np.stack([np.full(len(b), a), b, gap - b], axis=1))
+    if not found:
+        return []
+    p = np.concatenate(found)
+    # How many containers the scarcest length allows, its repeats within the pattern counted.
+    times = (p[:, :, None] == p[:, None, :]).sum(axis=2)
+    have = np.where(p > 0, np.concatenate([[np.iinfo(np.int64).max], hist[1:]])[p] / times, np.inf).min(axis=1)
+    order = np.lexsort((p[:, 2], p[:, 1], p[:, 0], -have))[:most]
+    return [tuple(int(n) for n in row if n) for row in p[order]]
 
 
 def fit(hist: np.ndarray, patterns: list[tuple[int, ...]], sweeps: int = SWEEPS) -> list[float]:
@@ -187,3 +184,21 @@ def summary(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """n_containers, n_tokens, least (containers that any packing needs), fill."""
     c = containers(documents, capacity).agg(F.count("*").alias("n_containers"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
     return c.select("n_containers", "n_tokens", F.ceil(F.col("n_tokens") / capacity).alias("least"), F.expr(f"try_divide(n_tokens, n_containers * {capacity})").alias("fill"))
+
+
+def checked(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
+    """One row of what must hold: lost and doubled token ranges, containers over the capacity, documents split though they
+    fit, sums that aren't those of the items, and whether there are at most 1 % more containers than any packing needs."""
+    n = cut(bpe.lengths(documents, vocabulary))
+    c = cut(pack(n, capacity))
+    items = c.select("container_id", "n_tokens", F.explode("items").alias("x")).select("container_id", "x.*")
+    by_doc = items.groupBy("doc_id").agg(F.sum(F.col("last") - F.col("first")).alias("taken"), F.count("*").alias("parts"), F.count_distinct("first").alias("firsts"), F.max("last").alias("end"))
+    j = n.where("n_tokens > 0").groupBy("doc_id").agg(F.sum("n_tokens").alias("whole"), F.count("*").alias("rows"), F.max("n_tokens").alias("most")).join(by_doc, "doc_id", "full")
+    docs = j.agg(
+        F.count_if(F.coalesce(F.col("taken"), F.lit(0)) < F.coalesce(F.col("whole"), F.lit(0))).alias("lost"),
+        F.count_if((F.coalesce(F.col("taken"), F.lit(0)) > F.coalesce(F.col("whole"), F.lit(0))) | ((F.col("rows") == 1) & (F.col("firsts") < F.col("parts")))).alias("doubled"),
+        F.count_if((F.col("most") <= capacity) & (F.col("parts") > F.col("rows"))).alias("split"),
+    )
+    sums = c.select("n_tokens", F.aggregate("items", F.lit(0).cast("bigint"), lambda a, x: a + x["last"] - x["first"]).alias("own"))
+    total = sums.agg(F.count_if(F.col("own") > capacity).alias("over"), F.count_if(F.col("own") != F.col("n_tokens")).alias("wrong_sum"), (F.count("*") * 100 <= F.ceil(F.coalesce(F.sum("own"), F.lit(0)) / capacity) * 101).alias("near_least"))
+    return docs.crossJoin(total)  # one row each

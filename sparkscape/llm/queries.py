@@ -16,12 +16,15 @@ def _texts(spark, d):
 QUERIES = {
     "p3_found": lambda s, d: terms.marked(_texts(s, d)),
     "p3_frequencies": lambda s, d: terms.frequencies(_texts(s, d)),
+    # The same with so little memory a task that every partition spills, again and again.
+    "p3_spilled": lambda s, d: terms.frequencies(_texts(s, d), budget=16),
     "p4_found": lambda s, d: pairs.after(pairs.deliveries(table(s, d, "documents"), table(s, d, "monitor_trajectory"))).select("src", "term_a", "term_b"),
     "p4_scores": lambda s, d: pairs.in_two_steps(_texts(s, d)),
     "p6_ids": lambda s, d: bpe.ids(table(s, d, "documents")),
     "p6_decoded": lambda s, d: bpe.decoded(bpe.ids(table(s, d, "documents"))),
     "p7_containers": lambda s, d: packing.containers(table(s, d, "documents")),
     "p7_summary": lambda s, d: packing.summary(table(s, d, "documents")),
+    "p7_check": lambda s, d: packing.checked(table(s, d, "documents")),
     "p8_found": lambda s, d: pii.found(table(s, d, "documents"), table(s, d, "name_parts"), SURROGATE_KEY),
     "p8_redacted": lambda s, d: pii.redacted(table(s, d, "documents"), table(s, d, "name_parts")),
     "p8_surrogates": lambda s, d: pii.with_surrogates(table(s, d, "documents"), table(s, d, "name_parts"), SURROGATE_KEY),
@@ -56,5 +59,8 @@ SQL = {
 select src, term, occurrences, records, records <= 2 as is_rare, records * 10 > n as is_common from c join f using (src, term) join n using (src)""",
     # What must hold of the surrogates of every kind.
     "p8_surrogate_check": "select kind, 0::bigint as split, 0::bigint as shared, 0::bigint as unchanged, 0::bigint as other_form from (values ('address'), ('email'), ('id_number'), ('name'), ('phone')) k(kind)",
+    "p7_check": "select 0::bigint as lost, 0::bigint as doubled, 0::bigint as split, 0::bigint as over, 0::bigint as wrong_sum, true as near_least",
     "p6_decoded": "select doc_id, coalesce(text, '') as decoded from documents",
 }
+
+SQL["p3_spilled"] = SQL["p3_frequencies"]

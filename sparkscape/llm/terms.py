@@ -4,8 +4,9 @@
    only its totals, so a term that a third of all rows share costs one row a task.
 2. Totals are partitioned by the top bits of the term's hash (one shuffle).
 3. Each partition is aggregated by DuckDB. A partition larger than ``budget`` rows is
-   spilled to the shared folder by the next hash bits, and parts still too large are
-   split again, until each fits.
+   spilled to the shared folder by the next hash bits; parts still too large are
+   split again, and those that fit are streamed from their file through DuckDB, which may
+   itself put what it holds into the shared folder.
 
 Definition of a term: the text in NFC, lower-cased, then each longest run of at least
 three letters (Unicode category L) and underscores.
@@ -13,14 +14,13 @@ three letters (Unicode category L) and underscores.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 import xxhash
@@ -33,7 +33,6 @@ TERM = regex.compile(r"[\p{L}_]{3,}")
 FLUSH = 200_000  # distinct terms a task holds before it sends totals
 BUDGET = 500_000  # rows DuckDB aggregates at once
 DIGIT = 4  # hash bits per recursive split
-ALL_BITS = (1 << 64) - 1
 PART = pa.schema([("src", pa.string()), ("term", pa.string()), ("tf", pa.int64()), ("df", pa.int64()), ("h", pa.int64())])
 TOTAL = pa.schema(list(PART)[:4])
 
@@ -99,6 +98,7 @@ class RadixAggregator:
         self.held: list[pa.RecordBatch] = []
         self.rows = 0
         self.spills: list = []
+        self.sizes = [0] * (1 << DIGIT)
         self.made = ""
         self.depth = 0
 
@@ -112,28 +112,38 @@ class RadixAggregator:
 
     def compact(self) -> None:
         """Repeated terms among the held rows are summed before anything goes to disk."""
-        self.held = self.sums(keep_hash=True).to_batches()
+        self.held = self.sums(self.held, keep_hash=True).to_batches()
         self.rows = sum(b.num_rows for b in self.held)
 
+    def open(self) -> None:
+        self.fs, base = pafs.FileSystem.from_uri(self.folder) if "://" in self.folder or self.folder.startswith("file:") else (pafs.LocalFileSystem(), self.folder)
+        self.made = f"{base}/radix-{uuid.uuid4().hex}"
+        self.fs.create_dir(self.made, recursive=True)
+
     def spill(self) -> None:
         if not self.spills:
-            self.fs, base = pafs.FileSystem.from_uri(self.folder) if "://" in self.folder else (pafs.LocalFileSystem(), self.folder)
-            self.made = f"{base}/radix-{uuid.uuid4().hex}"
-            self.fs.create_dir(self.made, recursive=True)
+            self.open()
             self.spills = [pa.ipc.new_file(self.fs.open_output_stream(f"{self.made}/{k}"), PART) for k in range(1 << DIGIT)]
+        shift = np.uint64(64 - self.used - DIGIT)
         for table in self.held:
-            digit = [(h & ALL_BITS) >> (64 - self.used - DIGIT) & ((1 << DIGIT) - 1) for h in table.column("h").to_pylist()]
-            digits = pa.array(digit, pa.int8())
-            for k in set(digit):
-                self.spills[k].write(table.filter(pc.equal(digits, k)))
+            digits = ((table.column("h").to_numpy().view(np.uint64) >> shift) & np.uint64((1 << DIGIT) - 1)).astype(np.int8)
+            order = np.argsort(digits, kind="stable")
+            sorted_, ends = table.take(pa.array(order)), np.cumsum(np.bincount(digits, minlength=1 << DIGIT))
+            for k, end in enumerate(ends):
+                start = ends[k - 1] if k else 0
+                if end > start:
+                    self.spills[k].write(sorted_.slice(start, end - start))
+                    self.sizes[k] += int(end - start)
         self.held, self.rows = [], 0
 
-    def sums(self, keep_hash: bool = False) -> pa.Table:
-        """The held rows, summed by DuckDB."""
+    def sums(self, batches, keep_hash: bool = False) -> pa.Table:
+        """Rows, given as batches in memory or one by one, summed by DuckDB."""
         import duckdb
 
-        held = pa.Table.from_batches(self.held, PART)  # noqa: F841 - read by DuckDB
-        with duckdb.connect(config={"threads": 1, "memory_limit": "300MB"}) as con:
+        held = pa.RecordBatchReader.from_batches(PART, iter(batches))
+        # Spilling of its own goes to the shared folder where that is a local path; elsewhere DuckDB keeps to memory, which the budget bounds.
+        own = f"{self.made}/duckdb" if self.made and isinstance(self.fs, pafs.LocalFileSystem) else ""
+        with duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": own}) as con:
             con.register("held", held)
             got = con.sql(f"select src, term, sum(tf)::bigint as tf, sum(df)::bigint as df{', any_value(h) as h' if keep_hash else ''} from held group by src, term").to_arrow_table()
         return got.cast(PART if keep_hash else TOTAL)
@@ -142,19 +152,28 @@ class RadixAggregator:
         try:
             if not self.spills:
                 if self.rows:
-                    yield from self.sums().combine_chunks().to_batches()
+                    yield from self.sums(self.held).combine_chunks().to_batches()
                 return
             self.spill()
             for w in self.spills:
                 w.close()
-            for k in range(1 << DIGIT):
-                used = self.used + DIGIT
-                part = RadixAggregator(self.folder, self.budget if used + DIGIT <= 64 else sys.maxsize, used)
+            used = self.used + DIGIT
+            for k, size in enumerate(self.sizes):
                 with self.fs.open_input_file(f"{self.made}/{k}") as f, pa.ipc.open_file(f) as r:
-                    for i in range(r.num_record_batches):
-                        part.add(r.get_batch(i))
-                yield from part.finish()
-                self.depth = max(self.depth, 1 + part.depth)
+                    rows = (r.get_batch(i) for i in range(r.num_record_batches))
+                    if size <= self.budget or used + DIGIT > 64:  # fits, or equal hashes throughout
+                        self.depth = max(self.depth, 1)
+                        if size:
+                            yield from self.sums(rows).combine_chunks().to_batches()
+                        continue
+                    part = RadixAggregator(self.folder, self.budget, used)
+                    try:
+                        for batch in rows:
+                            part.add(batch)
+                        yield from part.finish()
+                    finally:
+                        part.close()
+                    self.depth = max(self.depth, 1 + part.depth)
         finally:
             self.close()
 
@@ -164,10 +183,10 @@ class RadixAggregator:
             self.made = ""
 
 
-def aggregate(totals: DataFrame, budget: int = BUDGET) -> DataFrame:
+def aggregate(totals: DataFrame, budget: int | None = None) -> DataFrame:
     """src, term, tf, df over all tasks; ``totals`` as ``task_totals`` gives them."""
     spark = totals.sparkSession
-    folder = shared_dir(spark)
+    folder, budget = shared_dir(spark), BUDGET if budget is None else budget
     bits = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     radix = F.shiftrightunsigned("h", 64 - bits).cast("int")
 
@@ -183,14 +202,14 @@ def aggregate(totals: DataFrame, budget: int = BUDGET) -> DataFrame:
     return totals.repartitionById(1 << bits, radix).mapInArrow(run, "src string, term string, tf bigint, df bigint")
 
 
-def frequencies(texts: DataFrame, rare: int = 2, common: int = 10) -> DataFrame:
+def frequencies(texts: DataFrame, rare: int = 2, common: int = 10, budget: int | None = None) -> DataFrame:
     """src, term, occurrences, records, is_rare, is_common of every term.
 
     Rare: in at most ``rare`` records; common: in more than 1/``common`` of the records of
     its src that have a term. Both can hold in a very small src. Null, empty and blank texts
     have no terms; repeated texts count each time, as they are different records.
     """
-    counts = cut(aggregate(task_totals(texts)))
+    counts = cut(aggregate(task_totals(texts), budget))
     n = counts.where("term = ''").select("src", F.col("df").alias("n"))
     # One row a source: the broadcast side is bounded by the number of sources.
     return counts.where("term <> ''").join(F.broadcast(n), "src").select("src", "term", F.col("tf").alias("occurrences"), F.col("df").alias("records"), (F.col("df") <= rare).alias("is_rare"), (F.col("df") * common > F.col("n")).alias("is_common"))
