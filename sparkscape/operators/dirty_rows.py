@@ -346,8 +346,9 @@ def malformed(dump_line: DataFrame, dump_column: DataFrame) -> DataFrame:
 
 
 def typed(dump_line: DataFrame, dump_column: DataFrame, name: str) -> DataFrame:
-    """The valid records of one table with typed columns (and line_id)."""
+    """The valid records of one table with typed columns (and line_id); an int of a column without declared bounds
+    that is beyond 64 bits is null."""
     spark_type = {"int": "bigint", "timestamp": "timestamp_ntz", "text": "string"}
     columns = declared(dump_column).get(name, [])
     rows = load_records(dump_line.where(F.col("table_name") == name), dump_column).where("kind = 'valid'")
-    return rows.select("line_id", *(F.col("vals")[k].cast(spark_type.get(c.kind, "string")).alias(c.name) for k, c in enumerate(columns)))
+    return rows.select("line_id", *(F.col("vals")[k].try_cast(spark_type.get(c.kind, "string")).alias(c.name) for k, c in enumerate(columns)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import zipfile
@@ -27,12 +28,16 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [str(root), known]))
     if not sc.master.startswith("local"):
         base = shared_dir(spark)
-        folder = Path(base.removeprefix("file://")) if base.startswith(("file:", "/")) else Path(tempfile.mkdtemp())
-        folder.mkdir(parents=True, exist_ok=True)
-        with zipfile.ZipFile(folder / "sparkscape.zip", "w") as z:
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as z:
             for f in (root / "sparkscape").rglob("*.py"):
                 z.write(f, f.relative_to(root))
-        sc.addPyFile(str(folder / "sparkscape.zip"))
+        jvm = spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{base}/code/sparkscape.zip")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+        out.write(bytearray(packed.getvalue()))
+        out.close()
+        sc.addPyFile(path.toString())
     return spark
 
 
@@ -58,14 +63,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder
-    is made and set.
+    Only where the session names none on one machine (tests) a temporary folder is made
+    and set; a cluster without one is refused, as its machines share no such folder.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sparkscape-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
