@@ -11,7 +11,7 @@ from sparkscape.operators import landscape as L
 from sparkscape.operators import votes as V
 from sparkscape.plans import landscape as PL
 from sparkscape.plans.corpus import base, units
-from sparkscape.plans.relations import quote_edges
+from sparkscape.plans.relations import _Q, _core_sql, quote_edges
 from sparkscape.session import cut, table
 
 N = PL.N
@@ -247,6 +247,16 @@ _SD = _O + ", sd as (select u.unit_id, coalesce(sum(1 << node_id) filter (pr.uni
 _DI = f", di as (select unit_id, state, bit_count(state & {(1 << N) - 2}) as nd, bit_count(state & {(1 << N) - 2} & (state << 1)) as met from sd)"
 
 SQL = {
+    "kcore_sizes": _Q + _core_sql(2) + " select count(*) as n from core",
+    "amplified_negative": PL.n_eff_rows([(str(a), f"case when raw < 0 then raw * {a} else raw end") for a in (1, 2, 4)], "amp", orbits=True),
+    "hebbian_update": _SD + f", ij as (select i, j from (select unnest(range({N}))::int as i), (select unnest(range({N}))::int as j) where i < j), m as (select i, j, avg((2 * ((state >> i) & 1) - 1) * (2 * ((state >> j) & 1) - 1)) as m from sd, ij group by all) select i, j, round(coalesce(w, 0) + 0.1::double / {N} * m, 9) as w from m left join e using (i, j)",
+    "gatekeeper_r15": _SD + _DI + f""", mx as (select max(abs(raw)) as top from e), ij as (select a.node_id as i, b.node_id as j, coalesce(raw, 0) as raw from n a join n b on a.node_id < b.node_id left join e on e.i = a.node_id and e.j = b.node_id),
+ss as (select distinct state from sd), co as (select state, sum(raw / top * (2 * ((state >> i) & 1) - 1) * (2 * ((state >> j) & 1) - 1)) / {N * (N - 1) // 2} as cs from ss, ij, mx group by state),
+gx as (select unit_id, cs, round(case when nd > 0 then met / nd else 1 end, 6) as direction, bit_count(di.state) / {N} as rho from di join co using (state)),
+gy as (select unit_id, cs >= 0 as a, direction >= 0.5 as b, rho <= 0.95 as c, rho > {1 / N} as d, 0.4::double * (cs + 1) / 2 + 0.3::double * direction + 0.3::double * rho as score from gx)
+select unit_id, a and b and c and d as admitted, concat_ws(',', case when not a then 'cohesion' end, case when not b then 'direction' end, case when not c then 'density' end, case when not d then 'alone' end) as failed, round(score, 6) as score,
+  case when score >= 0.6 then 'strong' when score >= 0.4 then 'fair' when score >= 0.2 then 'weak' else 'none' end as label from gy""",
+    "topk_sensitivity": " union all ".join(f"select * from (with {base(k=k)}, bw as (select i, j, raw from e where raw <> 0 union all select j, i, raw from e where raw <> 0)" + PL._succ("su", "bw").replace(f"range({1 << N})", f"range({1 << k})").replace(f"range({N})", f"range({k})") + PL._settled("su") + f" select {k} as top_k, count(*) as n_orbits, round(sum(n)::double ** 2 / sum(n * n), 9) as n_eff from (select count(*) as n from suo group by orbit))" for k in (8, 9, 10)),
     "copresence_corr": _CO + " select * from co",
     "perfect_oppositions": _CO + " select * from co where corr <= -0.9",
     "attractor_stats": _AT + f" select count(*) as n, round(avg(bit_count(orbit)), 6) as mean, round(stddev_pop(bit_count(orbit)), 6) as std, min(bit_count(orbit)) as least, max(bit_count(orbit)) as most, count(*) filter (bit_count(orbit) >= 0.85 * {N}) as saturated, round(sum(bit_count(orbit) * n) / sum(n), 6) as weighted_mean from att",

@@ -212,6 +212,9 @@ SQL = {
     "set_hash": f"select doc_id as unit_id, sha256(coalesce(array_to_string(list_sort(list_distinct({_TOK})), e'\\n'), '')) as h from documents",
     "tag_strip": "select doc_id as unit_id, regexp_replace(text, '<[^<>]*>', '', 'g') as text from documents",
     "md_paragraphs": r"with u as (select doc_id as unit_id, string_split(text, e'\n\n') as b from documents), q as (select unit_id, unnest(range(len(b)))::int as pos, unnest(b) as block from u) select * from q where not regexp_matches(block, '^\s*(#|\||---)') and length(trim(block)) >= 40",
+    "token_scrub": r"select doc_id as unit_id, trim(regexp_replace(regexp_replace(text, '(^|[^\p{L}])(panel|matriz|signal|corpus)([^\p{L}]|$)', '\1\3', 'g'), '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ') as text from documents",
+    "paginate": _LINES + r""", k as (select unit_id, pos, len(list_filter(string_split_regex(line, '[\t\n\x0B\f\r ]+'), lambda w: w <> '')) as n from l where regexp_matches(line, '[^ \t\r\n]')),
+g as (select unit_id, list(n order by pos) as ns from k group by 1) select unit_id, (list_reduce(list_prepend({'pages': 1, 'run': 0}, list_transform(ns, lambda n: {'pages': 0, 'run': n::int})), lambda a, x: {'pages': case when a.run >= 200 then a.pages + 1 else a.pages end, 'run': case when a.run >= 200 then x.run else a.run + x.run end})).pages as n_pages from g""",
     "block_containment": _BLOCKS + " select series, h, other from ct",
     "block_turnover": _BLOCKS + """, sv as (select series, h, version as v from ms union select ct.series, ct.h, o.version from ct join ms o on o.series = ct.series and o.h = ct.other),
 vs as (select series, version, lead(version) over (partition by series order by version) as nx from (select distinct series, version from ms)),

@@ -268,6 +268,7 @@ def _weights_sql():
 
 
 SQL = {
+    "scale_family": PL.n_eff_rows([("'raw'", "raw"), ("'doubled'", "2 * raw"), ("'sum'", "raw + raw"), ("'clipped'", "greatest(-1, least(1, raw))")], "variant"),
     "w_prefixes_whole": " union all ".join(f"select * from (with {base(f'doc_id <= (select min(doc_id) + ((max(doc_id) - min(doc_id)) * {k}) // {THIRDS} from documents)', N)} select (select (min(doc_id) + ((max(doc_id) - min(doc_id)) * {k}) // {THIRDS})::bigint from documents) as size, count(*) as n_edges, sum(raw)::bigint as total from e)" for k in range(1, THIRDS + 1)),
     "count_w": _E + r", pl as (select unit_id, pos, line from (select unit_id, unnest(string_split(text, e'\n')) as line, unnest(range(len(string_split(text, e'\n')))) as pos from u) where regexp_matches(line, '[^ \t\r\n]')), px as (select distinct unit_id, pos, node_id from (select unit_id, pos, unnest(regexp_extract_all(lower(nfc_normalize(line)), '[\p{L}\p{Nl}\p{No}_]{3,}')) as term from pl) join n using (term)), m as (select count(*) as m from pl) select a.node_id as i, b.node_id as j, count(*) as n, round(count(*) / any_value(m), 9) as w from px a join px b on a.unit_id = b.unit_id and a.pos = b.pos and a.node_id < b.node_id, m group by 1, 2",
     "first_traces": _R + "select series, sampling_mode, rec_id, t from rc where sampling_mode is not null qualify row_number() over (partition by series, sampling_mode order by t, rec_id) = 1",

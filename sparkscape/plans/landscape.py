@@ -174,8 +174,41 @@ sm as (select run, n_act, sum(1 << i)::bigint as state from rk2 where k <= n_act
 rr as (select run, state, orbit, period from sm join suo on suo.s = sm.state),
 bs as (select orbit, period, count(*) as n from rr group by all)"""
 _R = _O + _SAMPLE
+# Steps of each state until one returns after two more.
+_TAILS = _O.replace("with ", "with recursive ", 1) + ", tl(s, c, k) as (select s, s, 0 from su union all select tl.s, b.t, k + 1 from tl join su b on b.s = tl.c join su x on x.s = b.t where x.t <> tl.c), tm as (select s, max(k) as tail from tl group by s)"
+
+
+def n_eff_sql(name: str) -> str:
+    return f"(select round(sum(n)::double ** 2 / sum(n * n), 9) from (select count(*) as n from {name}o group by orbit))"
+
+
+def _dense(name: str, raw: str, n: int = N) -> str:
+    """All off-diagonal cells of W under an expression of raw (0 where there is no edge) and top, its largest absolute."""
+    return f""",
+{name} as (select i, j, ({raw})::bigint as raw from (select a.node_id as i, b.node_id as j, coalesce(bw.raw, 0) as raw, (select max(abs(raw)) from e) as top from n a join n b on a.node_id <> b.node_id left join bw on bw.i = a.node_id and bw.j = b.node_id))"""
+
+
+def variants_sql(cells: list[tuple[str, str]]) -> str:
+    """CTEs w<k>o of the landscape of each variant of W, given as expressions of raw and top."""
+    q = _W
+    for k, (_, raw) in enumerate(cells):
+        q += _dense(f"d{k}_", raw) + _succ(f"w{k}_", f"d{k}_").replace("sb as (", f"sb{k}_ as (" if k else "sb as (", 1) + _settled(f"w{k}_")
+    return q
+
+
+def n_eff_rows(cells: list[tuple[str, str]], column: str, orbits: bool = False) -> str:
+    more = lambda k: f"(select count(distinct orbit) from w{k}_o) as n_orbits, " if orbits else ""
+    return variants_sql(cells) + " " + " union all ".join(f"select {label} as {column}, {more(k)}{n_eff_sql(f'w{k}_')} as n_eff" for k, (label, _) in enumerate(cells))
+
+
+_LAM = [(f"{q / 4}::double", f"{4 - q} * raw + {q} * top") for q in range(5)]
+_STATES = ", sd as (select u.unit_id, coalesce(sum(1 << node_id) filter (pr.unit_id is not null), 0)::bigint as state from u left join pr using (unit_id) group by 1)"
+_PAIRS = lambda x: f"(bit_count({x})::bigint * (bit_count({x})::bigint - 1) // 2)"
 
 SQL = {
+    "orbits_exact": _TAILS + " select orbit, period, count(*) as n_states, max(tail) as longest_tail from suo join tm using (s) group by all",
+    "calibrate_curve": f"with z as ({n_eff_rows(_LAM, 'lam')}) select lam, n_eff, round(case when first_value(n_eff) over (order by lam) > 1 and n_eff > 0 then 1 - ln(n_eff) / ln(first_value(n_eff) over (order by lam)) end, 9) as d_ckm from z",
+    "pairs_by_orbit": _O + _STATES + f", q as (select unit_id, state, a.orbit, period, b.t as second from sd join suo a on a.s = state join su b on b.s = a.orbit), z as (select unit_id, {_PAIRS('state')} as n_declared, {_PAIRS('state & orbit & second')} as accepted, {_PAIRS('state')} - ({_PAIRS('state & orbit')} + {_PAIRS('state & second')} - {_PAIRS('state & orbit & second')}) as expelled, period from q) select *, n_declared - accepted - expelled as torn, round(case when n_declared > 0 then expelled / n_declared else 0 end, 6) as fabrication from z",
     "successor_map": _S + " select s as state, t as successor from su",
     "neff_exact": _O + ", g as (select orbit, count(*) as n from suo group by 1) select sum(n)::bigint as n_runs, count(*) as n_orbits, round(sum(n)::double ** 2 / sum(n * n), 9) as n_eff from g",
     "conjugate_orbits": _O + f" select a.orbit, min(b.orbit) as mate, min(b.orbit) = max(b.orbit) as one_mate, count(*) as n from suo a join suo b on b.s = xor(a.s, {(1 << N) - 1}) group by 1",

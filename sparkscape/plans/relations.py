@@ -215,7 +215,16 @@ def _authors(runs: int = 1) -> str:
     return _A.replace("{runs}", str(runs))
 
 
+def _core_sql(k: int, rounds: int = 12) -> str:
+    """CTE q<rounds>: the edges left when vertices of fewer than k neighbours have gone so often."""
+    q = ", q0 as (select a, b from qe)"
+    for r in range(rounds):
+        q += f", v{r} as (select v from (select a as v from q{r} union all select b from q{r}) group by v having count(*) >= {k}), q{r + 1} as (select a, b from q{r} semi join v{r} x on x.v = a semi join v{r} y on y.v = b)"
+    return q + f", core as (select a as v from q{rounds} union select b from q{rounds})"
+
+
 SQL = {
+    "kcore_core": _Q + _core_sql(4) + " select v from core",
     "author_edges": _authors() + " select a, b, n, total, sign from ae",
     "null_sign_test": _authors(100) + ", p as (select run, a, b, row_number() over (partition by run order by a, b) as k from ae, ru), g as (select run, sign, row_number() over (partition by run order by md5('7:' || run || ':' || a || ':' || b)) as k from ae, ru), sr as (select run, a, b, sign from p join g using (run, k))" + _JUDGE,
     "null_vote_test": _authors(100) + ", p as (select run, a, b, row_number() over (partition by run order by a, b, vote_id) as k from av, ru), g as (select run, vote, row_number() over (partition by run order by md5('11:' || run || ':' || a || ':' || b || ':' || vote_id)) as k from av, ru), sr as (select run, a, b, sign(sum(vote))::int as sign from p join g using (run, k) group by all)" + _JUDGE,

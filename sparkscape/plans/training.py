@@ -200,6 +200,7 @@ union select 'monitor_trajectory', rec_id, 'top_coactivations', '', i::varchar,
 union select 'reg_sweep_stop_perdida_v1', sweep_id, 'a_post_per_alpha', place::varchar, printf('%.1f', alpha::double), x from k where json_type(x) <> 'NULL')
 select src, rec_id, child, parent_item, item, case when json_type(v) in ('UBIGINT', 'BIGINT', 'DOUBLE') then v::double end as value from q""",
     "p1_found": f"with {_P1_BASE} select line_id, case when not quoted then 'quoting' when not counted then 'column_count' else 'invalid_value' end as reason from b where not quoted or not counted or not fits",
+    "p1_reasons": f"with {_P1_BASE}, g2 as (select line_id, case when not quoted then 'quoting' when not counted then 'column_count' when not fits then 'invalid_value' end as reason from b) select table_name, fmt, case when g2.line_id is null then 'other' when reason is null then 'valid' else 'malformed' end as kind, reason, count(*) as n from dump_line left join g2 using (line_id) group by all",
     "p1_valid_post": _p1_valid("post", _POST),
     "p1_valid_qr_entry": _p1_valid("mturk_2010_qr_entry", _QR),
     "p5_found": _P5
