@@ -123,13 +123,18 @@ def edges(pair_counts: DataFrame, force_positive: bool = False) -> DataFrame:
     return e.select("i", "j", "raw", F.when(top > 0, F.col("raw") / top).otherwise(F.lit(0.0)).alias("w"))
 
 
-def signed_w(units: DataFrame, top_k: int = 20, sign: Column | None = None, stop=T.STOP_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a corpus; a unit is negative if it declares opposition, or by ``sign``."""
-    counts = cut(term_counts(units, stop))  # the texts are cut into terms once, for the pool, the scores and the presence
+def field(units: DataFrame, top_k: int = 20, sign: Column | None = None, stop=T.STOP_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, presence) of a corpus, its texts cut into terms once; a unit is negative if it declares opposition, or by ``sign``."""
+    counts = cut(term_counts(units, stop))
     n = cut(nodes_of(scores_of(counts, units, top_k), top_k))
     flag = units.select("unit_id", (T.opposes(F.col("text")) if sign is None else sign).alias("negative"))
     present = counts.join(F.broadcast(n.select("term", "node_id")), "term").select("unit_id", "node_id")
-    return n, cut(edges(pairs(present, flag)))
+    return n, cut(edges(pairs(present, flag))), present
+
+
+def signed_w(units: DataFrame, top_k: int = 20, sign: Column | None = None, stop=T.STOP_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a corpus."""
+    return field(units, top_k, sign, stop)[:2]
 
 
 def status(node_list: DataFrame, edge_list: DataFrame) -> DataFrame:

@@ -156,43 +156,44 @@ def between(w: np.ndarray, quarter: int) -> np.ndarray:
 
 
 def boltzmann(spark: SparkSession, w: np.ndarray, runs: int, beta: float, warmup: int, seed: int = 0) -> DataFrame:
-    """run, state after ``warmup`` single-node Glauber updates; the generator is keyed by run."""
+    """run, state after ``warmup`` single-node Glauber updates; each run has its own keyed numbers, a batch of runs moves at once."""
     n = len(w)
 
     def run(batches):
         for b in batches:
-            out = []
-            for r in b.column(0).to_pylist():
-                g = np.random.default_rng([seed, r])
-                s = np.where(g.random(n) < 0.5, 1, -1).astype(np.int64)
-                for i in g.integers(0, n, warmup):
-                    s[i] = 1 if g.random() < 1 / (1 + np.exp(np.clip(-2 * beta * (w[i] @ s), -700, 700))) else -1
-                out.append(int(((s > 0).astype(np.int64) << np.arange(n)).sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], names=["run", "state"])
+            keys = b.column(0).to_pylist()
+            u = np.stack([np.random.Generator(np.random.Philox(key=[seed, r])).random(n + 2 * warmup) for r in keys])
+            s, rows = np.where(u[:, :n] < 0.5, 1, -1).astype(np.int64), np.arange(len(keys))
+            for k in range(warmup):
+                i = np.minimum((u[:, n + 2 * k] * n).astype(int), n - 1)
+                h = (w[i] * s).sum(axis=1)
+                s[rows, i] = np.where(u[:, n + 2 * k + 1] < 1 / (1 + np.exp(np.clip(-2 * beta * h, -700, 700))), 1, -1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(((s > 0).astype(np.int64) << np.arange(n)).sum(axis=1))], names=["run", "state"])
 
     return spark.range(runs).mapInArrow(run, "run bigint, state bigint")
 
 
 def asynchronous(states: DataFrame, w: np.ndarray, sweeps: int = 50, seed: int = 0) -> DataFrame:
-    """run, terminal, sweeps: single-node updates in keyed random order until a sweep changes nothing."""
+    """run, terminal, sweeps: single-node updates in keyed random order until a sweep changes nothing; a batch of runs moves at once."""
     n = len(w)
 
     def run(batches):
         for b in batches:
-            out = []
-            for r, x in zip(b.column("run").to_pylist(), b.column("state").to_pylist()):
-                g, s = np.random.default_rng([seed, r]), spins(np.array([x]), n)[0]
-                k = 0
-                for k in range(1, sweeps + 1):
-                    moved = False
-                    for i in g.permutation(n):
-                        h = w[i] @ s
-                        if h * s[i] < 0:
-                            s[i], moved = -s[i], True
-                    if not moved:
-                        break
-                out.append((r, int(((s > 0).astype(np.int64) << np.arange(n)).sum()), k))
-            cols = list(zip(*out)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32()))], names=["run", "terminal", "sweeps"])
+            s = spins(b.column("state").to_numpy(zero_copy_only=False).astype(np.int64), n)
+            draw = [np.random.Generator(np.random.Philox(key=[seed, r])) for r in b.column("run").to_pylist()]
+            done, open_ = np.full(len(s), sweeps, np.int32), np.arange(len(s))
+            for k in range(1, sweeps + 1):
+                order = np.stack([draw[i].permutation(n) for i in open_]) if len(open_) else np.zeros((0, n), int)
+                moved = np.zeros(len(open_), bool)
+                for p in range(n):
+                    at = order[:, p]
+                    turn = (w[at] * s[open_]).sum(axis=1) * s[open_, at] < 0
+                    s[open_[turn], at[turn]] *= -1
+                    moved |= turn
+                done[open_[~moved]] = k
+                open_ = open_[moved]
+                if not len(open_):
+                    break
+            yield pa.RecordBatch.from_arrays([b.column("run"), pa.array(((s > 0).astype(np.int64) << np.arange(n)).sum(axis=1)), pa.array(done)], names=["run", "terminal", "sweeps"])
 
     return states.select("run", "state").mapInArrow(run, "run bigint, terminal bigint, sweeps int")

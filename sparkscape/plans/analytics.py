@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkscape.operators import analytics as A
@@ -10,6 +11,7 @@ from sparkscape.operators import corpus as C
 from sparkscape.operators import landscape as L
 from sparkscape.operators import votes as V
 from sparkscape.plans import landscape as PL
+from sparkscape.plans import wide as WIDE
 from sparkscape.plans.corpus import base, units
 from sparkscape.plans.relations import _Q, _core_sql, quote_edges
 from sparkscape.session import cut, table
@@ -52,10 +54,13 @@ def core_nodes(s, d):
 
 
 def frontier(s, d):
-    """Mean w inside and between three groups of nodes (node_id mod 3), and the coercivity of each pair."""
-    every = s.range(N).select(F.col("id").cast("int").alias("i"))
-    pairs = every.join(every.withColumnRenamed("i", "j"), F.col("i") < F.col("j")).join(edges(s, d).select("i", "j", "w"), ["i", "j"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))  # N * N / 2 rows
-    g = pairs.select(F.least(F.col("i") % 3, F.col("j") % 3).alias("a"), F.greatest(F.col("i") % 3, F.col("j") % 3).alias("b"), "w").groupBy("a", "b").agg(F.avg("w").alias("m"))
+    """Mean w inside and between the thirds of the nodes by strength (0: the strongest), and the coercivity of each pair."""
+    n, e = C.signed_w(units(s, d), N)
+    third = (F.floor((F.row_number().over(Window.orderBy(F.desc("strength"), "node_id")) - 1) * 3 / N)).cast("int")  # N rows
+    c = cut(C.row_strength(n, e).select("node_id", third.alias("c")))
+    a, b = (c.select(F.col("node_id").alias(x), F.col("c").alias(f"c{x}")) for x in "ij")
+    pairs = a.join(b, F.col("i") < F.col("j")).join(e.select("i", "j", "w"), ["i", "j"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))  # N * N / 2 rows
+    g = pairs.select(F.least("ci", "cj").alias("a"), F.greatest("ci", "cj").alias("b"), "w").groupBy("a", "b").agg(F.avg("w").alias("m"))
     inside = g.where("a = b").select("a", F.col("m").alias("intra"))
     c = g.where("a < b").join(inside, "a").join(inside.select(F.col("a").alias("b"), F.col("intra").alias("intra_b")), "b")
     low = F.least("intra", "intra_b")
@@ -94,8 +99,8 @@ def gate(s, d):
 
 def gatekeeper(s, d):
     """Four criteria on each document's state: cohesion, direction, density, not alone; with the reason."""
-    w = PL.weights(s, d)
-    o = cut(PL.occupied(s, d, w))
+    w, rows = PL.on_field(s, d)
+    o = cut(L.relaxed(rows, w))
     cs = L.cohesion(o.select("run", "state"), w, "state")
     x = o.join(cs, "run").join(directions(o).withColumnRenamed("unit_id", "run"), "run").withColumn("rho", F.bit_count("state") / N)
     ok = {"cohesion": F.col("cs") >= 0, "direction": F.col("direction") >= 0.5, "density": F.col("rho") <= 0.95, "alone": F.col("rho") > 1 / N}
@@ -109,12 +114,15 @@ def gatekeeper(s, d):
 
 def hebbian(s, d, rate=0.1):
     """W after one Hebbian step on every document's state: w + rate / N * mean s_i s_j."""
-    o = PL.occupied(s, d).select("state")
+    w, rows = PL.on_field(s, d)
+    o = rows.select("state")
     nodes = [(i, j) for i in range(N) for j in range(i + 1, N)]
     sign = lambda i: 2 * bit(i, "state") - 1
     m = o.agg(*(F.avg(sign(i) * sign(j)).alias(f"m{i}_{j}") for i, j in nodes))
     long = m.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"m{i}_{j}").alias("m")) for i, j in nodes))).alias("c")).select("c.*")
-    return long.join(edges(s, d).select("i", "j", "w"), ["i", "j"], "left").select("i", "j", F.round(F.coalesce("w", F.lit(0.0)) + rate / N * F.col("m"), 9).alias("w"))
+    top = np.abs(w).max() or 1
+    own = s.createDataFrame([(i, j, float(w[i, j] / top)) for i, j in nodes], "i int, j int, w double")  # N * N / 2 rows
+    return long.join(F.broadcast(own), ["i", "j"]).select("i", "j", F.round(F.col("w") + rate / N * F.col("m"), 9).alias("w"))
 
 
 def brand_w(s, d):
@@ -197,12 +205,18 @@ def thermal_row(w, c):
     return [((0.1, 0.2, 0.5, 1.0, 2.0)[c], float(v[same].mean()) if same.any() else None, float(v[~same].mean()) if (~same).any() else None)]
 
 
+TAILS = "exponent double, n int, tau double, rate double, r double, z double, p double, decades double, asymmetry double, p_asymmetry double"
+
+
 def tails(w, c):
-    k = A.cascades(adj(w), 3)
-    lost = [x[1] for x in k]
+    return tails_of(w, 3)
+
+
+def tails_of(w, k):
+    lost = [x[1] for x in A.cascades(adj(w), k)]
     p = A.power_or_exponential(lost, len(w))
-    r = A.asymmetry(adj(w), 3, 100, 42)
-    return [(A.tail_exponent(lost), p["n"], p["tau"], p["rate"], p["z"], p["p"], r["asymmetry"], r["p"])]
+    r = A.asymmetry(adj(w), k, 100, 42)
+    return [(A.tail_exponent(lost), p["n"], p["tau"], p["rate"], p["r"], p["z"], p["p"], p["decades"], r["asymmetry"], r["p"])]
 
 
 QUERIES = {
@@ -229,10 +243,11 @@ QUERIES = {
     "betti": lambda s, d: grid(s, d, 5, complexes, "theta double, n_edges int, n_triangles int, h0 int, h1 int, h2 int, chi int, orientable boolean"),
     "kcore_rounds": lambda s, d: grid(s, d, 5, lambda w, c: [(c + 1, int(A.k_core(adj(w), c + 1)[0].sum()), A.k_core(adj(w), c + 1)[1])], "k int, n_core int, rounds int"),
     "cascades": lambda s, d: grid(s, d, 1, lambda w, c: A.cascades(adj(w), 3), "node_id int, lost int, rounds int"),
-    "cascade_tail": lambda s, d: grid(s, d, 1, tails, "exponent double, n int, tau double, rate double, z double, p double, asymmetry double, p_asymmetry double"),
+    "cascade_tail": lambda s, d: grid(s, d, 1, tails, TAILS),
+    "cascade_tail_wide": lambda s, d: (lambda w: A.over_grid(s, 3, lambda c: [(c + 2, *tails_of(w, c + 2)[0])], "k int, " + TAILS))(WIDE.weights(s, d, 60)),
     "hysteresis": lambda s, d: grid(s, d, 20, lambda w, c: [(c, A.hysteresis(w, c))], "seed int, area double"),
     "thermal_correlations": lambda s, d: grid(s, d, 5, thermal_row, "beta double, inside double, across double"),
-    "belief_dynamics": lambda s, d: grid(s, d, 10, lambda w, c: [(c, i, float(x)) for i, x in enumerate(A.beliefs(w, 2000, 0.05, c))], "seed int, node_id int, belief double"),
+    "belief_dynamics": lambda s, d: grid(s, d, 10, lambda w, c: [(c, i, *map(float, x)) for i, x in enumerate(A.beliefs(w, 2000, 0.05, 0.02, 0.05, c))], "seed int, node_id int, first double, second double, third double"),
     "parallel_sweep": lambda s, d: grid(s, d, 20, sweep, "seed int, n_runs int, n_orbits int, n_eff double"),
     "smallest_landscapes": lambda s, d: A.over_grid(s, 27, lambda c: A.smallest_landscapes(4, c * 27, c * 27 + 27), "code bigint, n_eff double"),
     "kcore_sizes": lambda s, d: V.core(quote_edges(s, d), 2).agg(F.count("*").alias("n")),
@@ -261,7 +276,7 @@ select unit_id, a and b and c and d as admitted, concat_ws(',', case when not a
     "perfect_oppositions": _CO + " select * from co where corr <= -0.9",
     "attractor_stats": _AT + f" select count(*) as n, round(avg(bit_count(orbit)), 6) as mean, round(stddev_pop(bit_count(orbit)), 6) as std, min(bit_count(orbit)) as least, max(bit_count(orbit)) as most, count(*) filter (bit_count(orbit) >= 0.85 * {N}) as saturated, round(sum(bit_count(orbit) * n) / sum(n), 6) as weighted_mean from att",
     "core_nodes": _AT + f" select i as node_id, round(avg((orbit >> i) & 1), 6) as presence, round(avg((orbit >> i) & 1), 6) >= 0.8 as core from att, (select unnest(range({N}))::int as i) group by 1",
-    "cluster_frontier": _E + f", q as (select i, j, coalesce(w, 0) as w from (select unnest(range({N}))::int as i) a cross join (select unnest(range({N}))::int as j) b left join e using (i, j) where i < j), g as (select least(i % 3, j % 3) as a, greatest(i % 3, j % 3) as b, avg(w) as m from q group by all), z as (select g.a, g.b, g.m, least(x.m, y.m) as low from g join g x on x.a = g.a and x.b = g.a join g y on y.a = g.b and y.b = g.b where g.a < g.b) select a, b, round(m, 9) as inter, round(low, 9) as least_intra, case when abs(m) <= 1e-12 then 'inf' when m < 0 then 'opposition' else 'ratio' end as kind, round(case when m > 1e-12 then low / m end, 6) as coercivity from z",
+    "cluster_frontier": _E + f", bw2 as (select i, abs(w) as w from e where raw <> 0 union all select j, abs(w) from e where raw <> 0), st2 as (select node_id, round(coalesce(sum(w), 0), 9) as strength from n left join bw2 on i = node_id group by 1), c3 as (select node_id, ((row_number() over (order by strength desc, node_id) - 1) * 3 // {N})::int as c from st2), q as (select x.node_id as i, y.node_id as j, x.c as ci, y.c as cj, coalesce(w, 0) as w from c3 x join c3 y on x.node_id < y.node_id left join e on e.i = x.node_id and e.j = y.node_id), g as (select least(ci, cj) as a, greatest(ci, cj) as b, avg(w) as m from q group by all), z as (select g.a, g.b, g.m, least(x.m, y.m) as low from g join g x on x.a = g.a and x.b = g.a join g y on y.a = g.b and y.b = g.b where g.a < g.b) select a, b, round(m, 9) as inter, round(low, 9) as least_intra, case when abs(m) <= 1e-12 then 'inf' when m < 0 then 'opposition' else 'ratio' end as kind, round(case when m > 1e-12 then low / m end, 6) as coercivity from z",
     "density_curve": PL._S + f", kk as (select k, r, i, row_number() over (partition by k, r order by md5(k || ':' || r || ':' || i)) as p from (select unnest(range(1, {N})) as k), (select unnest(range(20)) as r), (select unnest(range({N})) as i)), st as (select k, r, sum(1 << i)::bigint as state from kk where p <= k group by all), mx as (select max(abs(raw)) as top from e), c1 as (select k, r, sum(raw / top * xa.x * xb.x) / {N * (N - 1) // 2} as cs from st, mx, e join sb xa on true join sb xb on true where xa.s = state and xa.i = e.i and xb.s = state and xb.i = e.j group by all) select k, round(avg(cs), 9) as mean_cs from c1 group by 1",
     "threshold_edges": _E + f" select i, j, round(w, 9) as w from e where abs(w) >= {THETA}",
     "direction_score": _SD + _DI + " select unit_id, round(case when nd > 0 then met / nd else 1 end, 6) as direction, nd as n_dependencies from di",

@@ -91,19 +91,30 @@ def calibrate(s, d):
     return out.withColumn("d_ckm", F.round(L.distance(F.col("n_eff"), first), 9))
 
 
-def occupied(s, d, w=None):
-    """Orbits the documents' own states fall into."""
+def on_field(s, d):
+    """(w, rows run, state): W and every document's own state, from one pass over the texts."""
     u = units(s, d)
-    nodes = cut(C.nodes(u, N))
-    state = C.evaluate(u, nodes).groupBy("unit_id").agg(F.sum(F.when(F.col("sigma") > 0, F.pow(F.lit(2.0), "node_id")).otherwise(0)).cast("bigint").alias("state"))
-    return L.relaxed(state.select(F.col("unit_id").alias("run"), "state"), weights(s, d) if w is None else w)
+    _, e, present = C.field(u, N)
+    state = present.groupBy("unit_id").agg(F.sum(F.expr("shiftleft(1L, node_id)")).alias("state"))
+    rows = u.select("unit_id").join(state, "unit_id", "left").select(F.col("unit_id").alias("run"), F.coalesce("state", F.lit(0)).cast("bigint").alias("state"))
+    return L.matrix(e, N), rows
+
+
+def occupied(s, d):
+    """Orbits the documents' own states fall into."""
+    w, rows = on_field(s, d)
+    return L.relaxed(rows, w)
 
 
 def phases(s, d):
     """Declared active pairs of each document: accepted in all phases, expelled in all, torn between them."""
-    r = cut(occupied(s, d))
-    other = successors(s, d).select(F.col("state").alias("orbit"), F.col("successor").alias("second"))
-    p = r.join(other, "orbit")
+    w, rows = on_field(s, d)
+
+    def phase(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(L.step(b.column("orbit").to_numpy(), w))], names=[*b.schema.names, "second"])
+
+    p = L.relaxed(rows, w).select("run", "state", "orbit", "period").mapInArrow(phase, "run bigint, state bigint, orbit bigint, period int, second bigint")
     k = lambda c: F.bit_count(c).cast("bigint")
     pairs = lambda c: k(c) * (k(c) - 1) / 2
     both = F.col("state").bitwiseAND(F.col("orbit")).bitwiseAND(F.col("second"))
@@ -131,7 +142,7 @@ QUERIES = {
     "basin_masses": lambda s, d: L.basins(runs(s, d)),
     "n_eff": lambda s, d: L.n_eff(runs(s, d)),
     "d_ckm": d_ckm,
-    "mean_cs": lambda s, d: L.cohesion(runs(s, d), weights(s, d)).agg(F.count("*").alias("n"), F.round(F.avg("cs"), 9).alias("mean_cs")),
+    "mean_cs": lambda s, d: (lambda w: L.cohesion(L.relaxed(L.sampled(s, RUNS, N, SEED), w), w))(weights(s, d)).agg(F.count("*").alias("n"), F.round(F.avg("cs"), 9).alias("mean_cs")),
     "saturation": saturation,
     "coverage_curve": coverage,
     "period_stats": lambda s, d: exact(s, d).groupBy("period").agg(F.count("*").alias("n_states"), F.count_distinct("orbit").alias("n_orbits")),
@@ -141,7 +152,8 @@ QUERIES = {
     "calibrate_curve": calibrate,
     "occupied_orbits": lambda s, d: occupied(s, d).groupBy("orbit").agg(F.count("*").alias("n_units")),
     "pairs_by_orbit": phases,
-    "boltzmann_masses": lambda s, d: L.basins(L.relaxed(L.boltzmann(s, weights(s, d), RUNS, 0.01, 50), weights(s, d))),
+    "boltzmann_masses": lambda s, d: (lambda w: L.basins(L.relaxed(L.boltzmann(s, w, RUNS, 0.01, 50), w)))(weights(s, d)),
+    "terminal_states": lambda s, d: runs(s, d).agg(F.count_distinct("terminal").alias("n_terminal"), F.count_distinct("orbit").alias("n_orbits")),
     "async_relax": lambda s, d: L.asynchronous(L.sampled(s, RUNS, N, SEED), weights(s, d)).groupBy("terminal").agg(F.count("*").alias("n"), F.max("sweeps").alias("most_sweeps")),
     "collapse_floor": lambda s, d: s.range(3, 12).select(F.col("id").alias("n"), F.when(F.col("id") % 2 == 1, 2.0).alias("odd_floor"), F.round(1 / (F.pow(F.col("id") / 20, 2) + F.pow(1 - F.col("id") / 20, 2) / 2), 9).alias("involution_bound")),
 }
@@ -206,6 +218,7 @@ _STATES = ", sd as (select u.unit_id, coalesce(sum(1 << node_id) filter (pr.unit
 _PAIRS = lambda x: f"(bit_count({x})::bigint * (bit_count({x})::bigint - 1) // 2)"
 
 SQL = {
+    "terminal_states": _R + " select count(distinct su7.t) as n_terminal, count(distinct suo.orbit) as n_orbits from sm join suo on suo.s = sm.state join su7 on su7.s = sm.state",
     "orbits_exact": _TAILS + " select orbit, period, count(*) as n_states, max(tail) as longest_tail from suo join tm using (s) group by all",
     "calibrate_curve": f"with z as ({n_eff_rows(_LAM, 'lam')}) select lam, n_eff, round(case when first_value(n_eff) over (order by lam) > 1 and n_eff > 0 then 1 - ln(n_eff) / ln(first_value(n_eff) over (order by lam)) end, 9) as d_ckm from z",
     "pairs_by_orbit": _O + _STATES + f", q as (select unit_id, state, a.orbit, period, b.t as second from sd join suo a on a.s = state join su b on b.s = a.orbit), z as (select unit_id, {_PAIRS('state')} as n_declared, {_PAIRS('state & orbit & second')} as accepted, {_PAIRS('state')} - ({_PAIRS('state & orbit')} + {_PAIRS('state & second')} - {_PAIRS('state & orbit & second')}) as expelled, period from q) select *, n_declared - accepted - expelled as torn, round(case when n_declared > 0 then expelled / n_declared else 0 end, 6) as fabrication from z",
