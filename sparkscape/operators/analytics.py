@@ -387,3 +387,56 @@ def collapse_distribution(n: int, samples: int) -> list[tuple[float, float]]:
             value = round(samples**2 / (up**2 + down**2 + zero), 9)
             out[value] = out.get(value, 0.0) + float(np.exp(lp))
     return sorted(out.items())
+
+
+def invariants(w: np.ndarray, theta: float) -> dict:
+    """Numbers of nodes, edges and triangles, Betti numbers and orientability of the complex of a threshold."""
+    return {"n": len(w), **betti(w, theta), "orientable": orientable(w, theta)}
+
+
+def compared(w: np.ndarray, one: list[int], two: list[int], theta: float) -> dict:
+    """Two perspectives, as sets of nodes, by the invariants of their parts of W.
+
+    EQUIVALENT with equal Betti numbers and orientability, INCOMMENSURABLE where orientability differs, else RESOLVABLE.
+    """
+    a, b = (invariants(w[np.ix_(k, k)], theta) for k in (sorted(set(one)), sorted(set(two))))
+    same = all(a[h] == b[h] for h in ("h0", "h1", "h2"))
+    verdict = "INCOMMENSURABLE" if a["orientable"] != b["orientable"] else "EQUIVALENT" if same else "RESOLVABLE"
+    return {"verdict": verdict, **{f"delta_{h}": b[h] - a[h] for h in ("h0", "h1", "h2")}}
+
+
+def same_strength(w: np.ndarray, seed: int, steps: int = 20) -> np.ndarray:
+    """|W| with random weights of the same row sums, none negative: on four nodes in a square, two opposite
+    weights grow by what the other two lose; ``steps`` such moves a pair of nodes are tried."""
+    m, n, g = np.abs(w).astype(float), len(w), np.random.default_rng(seed)
+    if n < 4:
+        return m
+    for _ in range(steps * n * (n - 1) // 2):
+        i, j, k, l = g.permutation(n)[:4]
+        low, high = -min(m[i, j], m[k, l]), min(m[i, l], m[k, j])
+        if high > low:
+            move = g.uniform(low, high)
+            for a, b, sign in ((i, j, 1), (k, l, 1), (i, l, -1), (k, j, -1)):
+                m[a, b] = m[b, a] = m[a, b] + sign * move
+    return m
+
+
+def two_poles(w: np.ndarray, delta: np.ndarray, runs: int, updates: int, seed: int, gain: float = 0.05) -> list[tuple[str, str, float]]:
+    """(field, class, share of runs): how runs end under W and under W + gain * delta, from the same first states.
+
+    Poles are the nodes that give and take most of the directed delta (largest row and column sum, the first of equals; the first
+    and second node where delta is empty). A run ends with one pole up and the other down (gives, takes) or mixed.
+    Single-node updates in random order; a field of 0 turns a node down.
+    """
+    n, g = len(w), np.random.default_rng(seed)
+    giver = int(delta.sum(axis=1).argmax()) if delta.sum() > 0 else 0
+    taker = int(delta.sum(axis=0).argmax()) if delta.sum() > 0 else min(1, n - 1)
+    first, turns = g.choice([-1.0, 1.0], (runs, n)), g.integers(0, n, (updates, runs))
+    out = []
+    for name, field in (("base", w), ("delta", w + gain * np.maximum(delta, 0))):
+        s, rows = first.copy(), np.arange(runs)
+        for i in turns:
+            s[rows, i] = np.where((field[i] * s).sum(axis=1) > 0, 1.0, -1.0)
+        gives, takes = (s[:, giver] > 0) & (s[:, taker] < 0), (s[:, taker] > 0) & (s[:, giver] < 0)
+        out += [(name, "gives", round(float(gives.mean()), 6)), (name, "takes", round(float(takes.mean()), 6)), (name, "mixed", round(float((~gives & ~takes).mean()), 6))]
+    return out

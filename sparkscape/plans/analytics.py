@@ -219,7 +219,21 @@ def tails_of(w, k):
     return [(A.tail_exponent(lost), p["n"], p["tau"], p["rate"], p["r"], p["z"], p["p"], p["decades"], r["asymmetry"], r["p"])]
 
 
+def poles(s, d):
+    """Two poles of the directed author groups: stance pairs by votes below 0."""
+    w = PL.weights(s, d).astype(float)
+    scaled = A.scaled(w)
+    # What a node has over another in strength counts as directed.
+    strength = np.abs(scaled).sum(axis=1)
+    delta = np.maximum(strength[:, None] - strength[None, :], 0) * (scaled != 0)
+    return A.over_grid(s, 4, lambda c: [(c, *r) for r in A.two_poles(scaled, delta, 500, 400, c)], "seed int, field string, class string, share double")
+
+
 QUERIES = {
+    "topological_profile": lambda s, d: grid(s, d, 5, lambda w, c: [((0.05, 0.1, 0.2, 0.4, 0.8)[c], *(lambda x: (x["n"], *(x[k] for k in ("h0", "h1", "h2")), x["orientable"]))(A.invariants(w, (0.05, 0.1, 0.2, 0.4, 0.8)[c])))], "theta double, n int, h0 int, h1 int, h2 int, orientable boolean"),
+    "perspectives": lambda s, d: grid(s, d, 1, lambda w, c: [(k, *A.compared(w, list(range(0, len(w) // 2)), list(range(len(w) // 2 - k, len(w))), THETA).values()) for k in range(4)], "shared int, verdict string, delta_h0 int, delta_h1 int, delta_h2 int"),
+    "same_strength_null": lambda s, d: grid(s, d, 20, lambda w, c: [(c, round(float(np.abs(A.same_strength(w, c).sum(axis=1) - np.abs(w).sum(axis=1)).max()), 6), *A.fiedler(A.same_strength(w, c))[1:])], "seed int, strength_off double, ncut double"),
+    "two_poles": poles,
     "copresence_corr": correlation,
     "perfect_oppositions": lambda s, d: correlation(s, d).where("corr <= -0.9"),
     "attractor_stats": sizes,

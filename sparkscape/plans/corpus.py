@@ -109,7 +109,7 @@ QUERIES = {
     "w_status": lambda s, d: C.status(*w(s, d)),
     "w_strength": lambda s, d: C.row_strength(*w(s, d)),
     "w_isolated": lambda s, d: C.row_strength(*w(s, d)).where("degree = 0").select("node_id", "term"),
-    "w_strength_stats": lambda s, d: C.row_strength(*w(s, d)).agg(*(F.round(f, 6).alias(n) for n, f in (("mean", F.avg("strength")), ("std", F.stddev_pop("strength")), ("cv", F.stddev_pop("strength") / F.avg("strength"))))),
+    "w_strength_stats": lambda s, d: C.row_strength(*w(s, d)).agg(*(F.round(f, 6).alias(n) for n, f in (("mean", F.avg("strength")), ("std", F.stddev_pop("strength")), ("cv", F.stddev_pop("strength") / F.avg("strength")), ("skew", F.skewness("strength"))))),
     "w_difference": lambda s, d: C.difference(named(s, d, True), named(s, d, False)),
     "unit_quantiles": quantiles,
     "phi_pmi": lambda s, d: C.association(C.presence(units(s, d), C.nodes(units(s, d), K)), units(s, d).count()),
@@ -194,7 +194,7 @@ SQL = {
     "w_status": _B + ", m as (select count(*) as n_nodes from n), q as (select count(*) filter (raw <> 0) as nz, count(*) filter (raw < 0) as neg, sum(w) as t from e) select n_nodes, nz as n_pairs, round(1 - nz / (n_nodes * (n_nodes - 1) / 2), 3) as sparsity, round(neg / nz, 6) as neg_frac, round(t / (n_nodes * (n_nodes - 1) / 2), 9) as mu_all, round(t / nz, 9) as mu_nonzero from m, q",
     "w_strength": _B + _STR + " select * from st",
     "w_isolated": _B + _STR + " select node_id, term from st where degree = 0",
-    "w_strength_stats": _B + _STR + " select round(avg(strength), 6) as mean, round(stddev_pop(strength), 6) as std, round(stddev_pop(strength) / avg(strength), 6) as cv from st",
+    "w_strength_stats": _B + _STR + " select round(avg(strength), 6) as mean, round(stddev_pop(strength), 6) as std, round(stddev_pop(strength) / avg(strength), 6) as cv, round((select avg((strength - m) ** 3) / avg((strength - m) ** 2) ** 1.5 from (select strength, avg(strength) over () as m from st)), 6) as skew from st",
     "w_difference": "select count(*) filter (a.w is not null and b.w is not null) as common_pairs, count(*) filter (a.w is null) as entered, count(*) filter (b.w is null) as gone, round(sqrt(sum((coalesce(b.w, 0) - coalesce(a.w, 0)) ** 2)), 6) as norm from "
     + " full join ".join(f"(with {base(cond)} select least(na.term, nb.term) as ta, greatest(na.term, nb.term) as tb, w from e join n na on na.node_id = i join n nb on nb.node_id = j) {alias}" for cond, alias in ((f"loaded_at <= {MIDDLE}", "a"), ("true", "b")))
     + " on a.ta = b.ta and a.tb = b.tb",

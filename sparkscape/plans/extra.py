@@ -67,8 +67,8 @@ def rebuilds(s, d, first=30, every=10, devices=2):
     """
     r = recs(s, d).withColumn("has", T.not_blank(F.coalesce("text", F.lit(""))).cast("int"))
     n = F.sum("has").over(M.in_order())
-    seen = F.size(F.collect_set("device_id").over(M.in_order()))  # devices of one series
-    r = r.withColumn("n", n).withColumn("seen", seen).withColumn("was", F.lag("sampling_mode").over(M.in_order()))
+    fresh = F.col("device_id").isNotNull() & (F.row_number().over(Window.partitionBy("series", "device_id").orderBy("t", "rec_id")) == 1)
+    r = r.withColumn("fresh", fresh.cast("int")).withColumn("n", n).withColumn("seen", F.sum("fresh").over(M.in_order())).withColumn("was", F.lag("sampling_mode").over(M.in_order()))
     ready = (F.col("n") >= first) & (F.col("seen") >= devices)
     cause = F.when(~ready, "not ready").when(F.col("sampling_mode").isNotNull() & F.col("was").isNotNull() & (F.col("sampling_mode") != F.col("was")), "structural").when((F.col("n") % every == 0) & (F.col("has") == 1), "volume").otherwise("none")
     return r.select("rec_id", F.col("n").alias("n_texts"), cause.alias("cause"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkscape.operators import nulls as U
 from sparkscape.operators import votes as V
 from sparkscape.session import cut, table
+from sparkscape.sources import files as D
 
 TOPIC = 9
 
@@ -133,14 +134,48 @@ def dump_rows(s, d):
     return l.groupBy("table_name").agg(F.sum((F.length("line") - F.length(F.replace("line", F.lit("),("), F.lit("")))) / 3 + 1).cast("bigint").alias("n"))
 
 
-def dump_scan(s, d):
-    """Projected scan of post records: only ids are taken from the line, by one pattern."""
+def dump_scan(s, d, topic=None):
+    """Projected scan of post records, ids only: the wanted columns are cut from the line, the others not parsed; ids beyond the declared largest are left out.
+
+    With a topic, only posts of its discussions: the filter is in the scan."""
     l = table(s, d, "dump_line").where("table_name = 'post' and fmt = 'sql'")
-    p = r"^\((\d{1,9}), ?(\d{1,9}), ?(\d{1,9}),"
-    return l.where(F.col("line").rlike(p)).select("line_id", *(F.regexp_extract("line", p, k + 1).cast("bigint").alias(c) for k, c in enumerate(("discussion_id", "post_id", "author_id"))))
+    ids = {c: D.sql_column(F.col("line"), k, 3) for k, c in enumerate(("discussion_id", "post_id", "author_id"))}
+    x = l.select("line_id", *(F.when(v.rlike("^[0-9]+$"), v.try_cast("decimal(38,0)")).alias(c) for c, v in ids.items()))
+    x = x.where(" and ".join(f"{c} between 0 and 2147483647" for c in ids)).select("line_id", *(F.col(c).cast("bigint").alias(c) for c in ids))
+    return x if topic is None else x.join(V.topic_discussions(s, d, topic), "discussion_id", "left_semi").select("line_id", *ids)
+
+
+TABLES = "discussion_topic post post_quote mturk_author_stance mturk_2010_qr_entry vote".split()
+
+
+def explored(s, d):
+    """The forum tables that are there: rows and the first eight columns; a table that isn't has no row."""
+    out = None
+    for t in TABLES:
+        if not D.exists(s, f"{d}/{t}.parquet"):
+            continue
+        df = table(s, d, t)
+        one = df.agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows", F.lit(",".join(df.columns[:8])).alias("columns"))
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else s.createDataFrame([], "table_name string, n_rows bigint, columns string")
+
+
+def top_pairs(s, d):
+    """Directed author pairs with at least two votes, the hundred with the most."""
+    p = pairs(s, d).where("self_pair = 0 and n >= 2").select("quoted", "responding", "quoted_stance", "responding_stance", "n", F.round(F.col("total") / F.col("n"), 3).alias("mean_vote"))
+    return p.orderBy(F.desc("n"), "quoted", "responding").limit(100)
+
+
+def author_top_pairs(s, d):
+    """The same over all discussions, without stances."""
+    p = author_pairs(s, d).where("self_pair = 0 and n >= 2").select("quoted", "responding", "n", F.round(F.col("total") / F.col("n"), 3).alias("mean_vote"))
+    return p.orderBy(F.desc("n"), "quoted", "responding").limit(100)
 
 
 QUERIES = {
+    "schema_explorer": explored,
+    "top_author_pairs": author_top_pairs,
+    "dump_scan_topic": lambda s, d: dump_scan(s, d, TOPIC),
     "dump_rowcount": dump_rows,
     "dump_scan": dump_scan,
     "vote_chain": lambda s, d: chain(s, d).where("reason is null").drop("reason"),
@@ -223,13 +258,18 @@ def _core_sql(k: int, rounds: int = 12) -> str:
     return q + f", core as (select a as v from q{rounds} union select b from q{rounds})"
 
 
+_DUMP = r"""with x as (select line_id, regexp_extract(trim(line, e' \t\r\n'), '^\(\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,', ['a', 'b', 'c']) as g from dump_line where table_name = 'post' and fmt = 'sql'),
+y as (select line_id, g.a::bigint as discussion_id, g.b::bigint as post_id, g.c::bigint as author_id from x where g.a <> '' and try_cast(g.a as hugeint) <= 2147483647 and try_cast(g.b as hugeint) <= 2147483647 and try_cast(g.c as hugeint) <= 2147483647)"""
 SQL = {
     "kcore_core": _Q + _core_sql(4) + " select v from core",
     "author_edges": _authors() + " select a, b, n, total, sign from ae",
     "null_sign_test": _authors(100) + ", p as (select run, a, b, row_number() over (partition by run order by a, b) as k from ae, ru), g as (select run, sign, row_number() over (partition by run order by md5('7:' || run || ':' || a || ':' || b)) as k from ae, ru), sr as (select run, a, b, sign from p join g using (run, k))" + _JUDGE,
     "null_vote_test": _authors(100) + ", p as (select run, a, b, row_number() over (partition by run order by a, b, vote_id) as k from av, ru), g as (select run, vote, row_number() over (partition by run order by md5('11:' || run || ':' || a || ':' || b || ':' || vote_id)) as k from av, ru), sr as (select run, a, b, sign(sum(vote))::int as sign from p join g using (run, k) group by all)" + _JUDGE,
     "dump_rowcount": "select table_name, sum((length(line) - length(replace(line, '),(', ''))) / 3 + 1)::bigint as n from dump_line where fmt = 'sql' and starts_with(line, '(') group by 1",
-    "dump_scan": r"with x as (select line_id, regexp_extract(line, '^\((\d{1,9}), ?(\d{1,9}), ?(\d{1,9}),', ['a', 'b', 'c']) as g from dump_line where table_name = 'post' and fmt = 'sql') select line_id, g.a::bigint as discussion_id, g.b::bigint as post_id, g.c::bigint as author_id from x where g.a <> ''",
+    "dump_scan": _DUMP + " select line_id, discussion_id, post_id, author_id from y",
+    "dump_scan_topic": _DUMP + f" select line_id, discussion_id, post_id, author_id from y semi join (select discussion_id from discussion_topic where topic_id = {TOPIC}) using (discussion_id)",
+    "schema_explorer": " union all ".join(f"select '{t}' as table_name, (select count(*) from {t}) as n_rows, (select string_agg(column_name, ',' order by column_index) from (select column_name, column_index from duckdb_columns() where table_name = '{t}' order by column_index limit 8)) as columns" for t in TABLES),
+    "top_author_pairs": _authors() + ", z as (select quoted, responding, count(*) as n, sum(vote) as total from cv where quoted <> responding group by all) select quoted, responding, n, round(total / n, 3) as mean_vote from z where n >= 2 order by n desc, quoted, responding limit 100",
     "vote_chain": _C + "select vote_id, quoted, responding, quoted_stance, responding_stance, vote, unsure from ch where reason is null",
     "vote_drops": _C + "select coalesce(reason, 'resolved') as reason, count(*) as n from ch group by 1",
     "stance_majority": _C + "select author_id, stance from st",

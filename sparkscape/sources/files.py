@@ -7,12 +7,39 @@ import xml.etree.ElementTree as ET
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkscape.operators.dirty_rows import BLANKS, scan_sql
 
 
+# A field of an INSERT row: quoted (a backslash takes the next character, '' is a quote) or up to the next comma or bracket.
+_FIELD = r"(?:'(?:[^'\\]|\\.|'')*'|[^',()]*?)"
+
+
+def sql_column(line: Column, place: int, among: int | None = None) -> Column:
+    """The field at a place (from 0) of a row ``(a, b, ...)`` of a dump, as it stands, without blanks around it; '' where the row has no such
+    field. Fields after it aren't read. With ``among``, all of the first so many fields must be there, and be followed by another."""
+    head = r"^\s*\(" + "".join(rf"\s*{_FIELD}\s*," for _ in range(place))
+    tail = "".join(rf",\s*{_FIELD}\s*" for _ in range((among or place + 1) - place - 1)) + ("," if among else "[,)]")
+    return F.regexp_extract(line, rf"{head}\s*({_FIELD})\s*{tail}", 1)
+
+
+def fast_count(line: Column) -> Column:
+    """Rows of an INSERT line by its row ends, without parsing it."""
+    return F.when(line.contains("("), F.size(F.split(line, r"\),\s*\(")))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
+    """The first of several paths that is there."""
+    return next((p for p in paths if exists(spark, p)), None)
+
+
 def read_state(spark: SparkSession, path: str, schema: str, defaults: dict | None = None) -> DataFrame:
     """A whole-document JSON state; missing keys take their defaults, null ones stay null only without one."""
     df = spark.read.schema(schema).json(path, multiLine=True)

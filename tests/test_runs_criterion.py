@@ -78,3 +78,44 @@ def test_shuffled_values_are_a_permutation(spark):
 def test_entities_of_html(spark):
     df = spark.createDataFrame([(1, "a &amp; b &#39;c&#x27; &nbsp;&eacute; &unknown; &"), (2, None), (3, "")], "k int, text string")
     assert [r.text for r in T.entities_decoded(df, "text").orderBy("k").collect()] == ["a & b 'c' \xa0é &unknown; &", None, ""]
+
+
+def test_columns_cut_from_dump_lines(spark):
+    from sparkscape.sources import files as D
+
+    lines = [r"(1, 'a,b)', NULL, 'it''s \'q\'', 5),", "(2)", "no row", None, "( 7 , 8\t)"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, line string")
+    got = df.orderBy("k").select(*(D.sql_column(F.col("line"), p).alias(f"c{p}") for p in range(5)), D.sql_column(F.col("line"), 0, 2).alias("two"), D.fast_count(F.col("line")).alias("n")).collect()
+    assert tuple(got[0])[:5] == ("1", "'a,b)'", "NULL", lines[0].split("NULL, ")[1].rsplit(", 5", 1)[0], "5") and got[0].two == "1"
+    assert tuple(got[1])[:2] == ("2", "") and got[1].two == "" and got[2].c0 == "" and got[3].c0 is None and tuple(got[4])[:3] == ("7", "8", "")
+    assert D.fast_count(F.lit("x")) is not None and spark.range(1).select(D.fast_count(F.lit("INSERT INTO t VALUES (1,2), (3,4),(5,6);")).alias("n")).first().n == 3
+
+
+def test_strengths_stay_and_poles_share_out():
+    import numpy as np
+
+    from sparkscape.operators import analytics as A
+
+    g = np.random.default_rng(0)
+    w = np.triu(g.integers(-3, 4, (9, 9)), 1)
+    w = w + w.T
+    x = A.same_strength(w, 1)
+    assert np.allclose(x.sum(axis=1), np.abs(w).sum(axis=1)) and (x >= 0).all() and not np.allclose(x, np.abs(w)) and (x == x.T).all()
+    rows = A.two_poles(w.astype(float), np.triu(np.abs(w), 1), 200, 300, 3)
+    for field in ("base", "delta"):
+        assert abs(sum(s for f, _, s in rows if f == field) - 1) < 1e-5
+    assert A.compared(w, [0, 1, 2], [0, 1, 2], 0.1)["verdict"] == "EQUIVALENT"
+
+
+def test_tail_fit_prefers_the_law_the_sizes_follow():
+    import numpy as np
+
+    from sparkscape.operators import analytics as A
+
+    g, x = np.random.default_rng(1), np.arange(2, 201)
+    p, e = x**-2.0, np.exp(-0.2 * x)
+    power, decay = (A.power_or_exponential(list(g.choice(x, 400, p=q / q.sum())), 200) for q in (p, e))
+    assert abs(power["tau"] - 2) < 0.2 and power["r"] > 0 and abs(decay["rate"] - 0.2) < 0.05 and decay["r"] < 0
+    assert A.power_or_exponential([1, 1, 2, 3], 10)["tau"] is None
+    b = A.beliefs(np.ones((5, 5)) - np.eye(5), 500, 0.1, 0.1, 0.1, 2, fixed=(0,))
+    assert b.shape == (5, 3) and (np.abs(b) <= 1).all() and (b[0] == A.beliefs(np.ones((5, 5)) - np.eye(5), 1, 0.1, 0.1, 0.1, 2, fixed=(0,))[0]).all()
