@@ -209,8 +209,8 @@ class Block:
     slices of its result, so bisecting copies and matches nothing again.
     """
 
-    def __init__(self, fmt: str, columns: list[Column]):
-        self.fmt, self.columns = fmt, columns
+    def __init__(self, fmt: str, columns: list[Column], keep: bool = True):
+        self.fmt, self.columns, self.keep = fmt, columns, keep
         self.pattern = record_pattern(fmt, columns)
 
     def extract(self, lines: pa.Array) -> tuple[pa.Array, list[pa.Array]]:
@@ -270,6 +270,9 @@ class Block:
             self.load(lines.slice(0, half), matches.slice(0, half), [c.slice(0, half) for c in columns], at, found)
             self.load(lines.slice(half), matches.slice(half), [c.slice(half) for c in columns], at + half, found)
             return
+        if not self.keep:
+            found[at : at + len(lines)] = [(None, None)] * len(lines)
+            return
         for k, row in enumerate(zip(*(c.to_pylist() for c in columns))):
             found[at + k] = (None, list(row))
 
@@ -289,10 +292,10 @@ def declared(dump_column: DataFrame) -> dict[str, list[Column]]:
     return {t: [c for _, c in sorted(cs, key=lambda x: x[0])] for t, cs in out.items()}
 
 
-def load_records(dump_line: DataFrame, dump_column: DataFrame, block: int = BLOCK) -> DataFrame:
+def load_records(dump_line: DataFrame, dump_column: DataFrame, block: int = BLOCK, keep: bool = True) -> DataFrame:
     """One row per line: kind is 'valid', 'malformed' (with reason) or 'other'.
 
-    ``vals`` holds the fields of a valid record as text, in declared order. Null and
+    ``vals`` holds the fields of a valid record as text, in declared order (null without ``keep``). Null and
     blank lines, comments, INSERT heads and CSV heads are 'other'. A record of a table
     without declared columns, or of another format, is 'malformed' as column_count.
     Repeats are kept. Extra columns of the input are ignored.
@@ -320,9 +323,9 @@ def load_records(dump_line: DataFrame, dump_column: DataFrame, block: int = BLOC
                     continue
                 groups.setdefault((t, f), []).append(i)
             for (t, f), ids in groups.items():
-                b = blocks.setdefault((t, f), Block(f, columns[t]))
+                b = blocks.setdefault((t, f), Block(f, columns[t], keep))
                 for i, (reason, v) in zip(ids, b.load_all(lines.take(pa.array(ids)), block)):
-                    kinds[i], reasons[i], vals[i] = ("malformed", reason, None) if reason else ("valid", None, v)
+                    kinds[i], reasons[i], vals[i] = ("malformed", reason, None) if reason else ("valid", None, v if keep else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("line_id"),
@@ -342,7 +345,7 @@ def load_records(dump_line: DataFrame, dump_column: DataFrame, block: int = BLOC
 
 def malformed(dump_line: DataFrame, dump_column: DataFrame) -> DataFrame:
     """line_id and reason of each malformed record."""
-    return load_records(dump_line, dump_column).where("kind = 'malformed'").select("line_id", "reason")
+    return load_records(dump_line, dump_column, keep=False).where("kind = 'malformed'").select("line_id", "reason")
 
 
 def typed(dump_line: DataFrame, dump_column: DataFrame, name: str) -> DataFrame:

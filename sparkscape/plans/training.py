@@ -18,7 +18,7 @@ QUERIES = {
     "p1_found": lambda s, d: dirty_rows.malformed(*_dump(s, d)),
     "p1_valid_post": lambda s, d: dirty_rows.typed(*_dump(s, d), "post"),
     "p1_valid_qr_entry": lambda s, d: dirty_rows.typed(*_dump(s, d), "mturk_2010_qr_entry"),
-    "p1_reasons": lambda s, d: dirty_rows.load_records(*_dump(s, d)).groupBy("table_name", "fmt", "kind", "reason").count().withColumnRenamed("count", "n"),
+    "p1_reasons": lambda s, d: dirty_rows.load_records(*_dump(s, d), keep=False).groupBy("table_name", "fmt", "kind", "reason").count().withColumnRenamed("count", "n"),
     "p2_found": lambda s, d: schema_drift.changes(table(s, d, "trajectory_line")),
     "p2_log": lambda s, d: schema_drift.ordered_log(table(s, d, "trajectory_line")),
     "p2_schema": lambda s, d: schema_drift.typed_schema(table(s, d, "trajectory_line")),
