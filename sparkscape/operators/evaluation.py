@@ -280,3 +280,10 @@ def signed(panels: DataFrame) -> DataFrame:
     p = panels.where("mode = 'evaluation'").select("series", "rec_id", "w_sha")
     known = register.select("series", "w_sha").distinct().withColumn("known", F.lit(True))
     return p.join(known, ["series", "w_sha"], "left").join(newest, "series", "left").select("series", "rec_id", F.coalesce("known", F.lit(False)).alias("known"), (F.col("w_sha") == F.col("newest")).alias("current"))
+
+
+def snapshot(panels: DataFrame) -> DataFrame:
+    """The state of each series after its last message: its last panel, with the number of messages, panels and rebuilds so far."""
+    last = F.max_by(F.struct(*NAMES[1:]), F.struct("t", "rec_id")).alias("r")
+    g = panels.groupBy("series").agg(last, F.count("*").alias("n_messages"), F.count_if(F.col("mode") == "evaluation").alias("n_panels"), F.count_if("rebuilt").alias("n_rebuilds"))
+    return g.select("series", "n_messages", "n_panels", "n_rebuilds", "r.*")

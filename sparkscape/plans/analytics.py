@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkscape.operators import analytics as A
 from sparkscape.operators import corpus as C
+from sparkscape.operators import gatekeeper as G
 from sparkscape.operators import landscape as L
 from sparkscape.operators import votes as V
 from sparkscape.plans import landscape as PL
@@ -229,7 +230,36 @@ def poles(s, d):
     return A.over_grid(s, 4, lambda c: [(c, *r) for r in A.two_poles(scaled, delta, 500, 400, c)], "seed int, field string, class string, share double")
 
 
+def layered(s, d):
+    """(w, needs, rows run, state): W, dependencies and the documents' states. A node needs another that is in at least half of its documents and in more documents than it."""
+    u = units(s, d)
+    _, e, present = C.field(u, N)
+    present = cut(present)
+    each = present.groupBy("node_id").agg(F.count("*").alias("n"))
+    p = C.pairs(present).select("i", "j", (F.col("n_pos") + F.col("n_neg")).alias("m"))
+    both = p.union(p.select("j", "i", "m")).join(F.broadcast(each.select(F.col("node_id").alias("i"), F.col("n").alias("ni"))), "i").join(F.broadcast(each.select(F.col("node_id").alias("j"), F.col("n").alias("nj"))), "j")
+    needs = [0] * N
+    for r in both.where("2 * m >= ni and nj > ni").select("i", "j").collect():  # at most N * N rows
+        needs[r.i] |= 1 << r.j
+    state = present.groupBy("unit_id").agg(F.sum(F.expr("shiftleft(1L, node_id)")).alias("state"))
+    rows = u.select("unit_id").join(state, "unit_id", "left").select(F.col("unit_id").alias("run"), F.coalesce("state", F.lit(0)).cast("bigint").alias("state"))
+    return A.scaled(L.matrix(e, N)), needs, rows
+
+
+def state_scores(s, d):
+    w, needs, rows = layered(s, d)
+    return G.scored(rows, w, needs).withColumnRenamed("run", "unit_id")
+
+
+def node_gate(s, d):
+    """Criteria for every node that is down, for each distinct state of a document."""
+    w, needs, rows = layered(s, d)
+    return G.candidates(rows.select("state").distinct().select(F.col("state").alias("run"), "state"), w, needs).withColumnRenamed("run", "state")
+
+
 QUERIES = {
+    "state_scores": state_scores,
+    "node_gatekeeper": node_gate,
     "topological_profile": lambda s, d: grid(s, d, 5, lambda w, c: [((0.05, 0.1, 0.2, 0.4, 0.8)[c], *(lambda x: (x["n"], *(x[k] for k in ("h0", "h1", "h2")), x["orientable"]))(A.invariants(w, (0.05, 0.1, 0.2, 0.4, 0.8)[c])))], "theta double, n int, h0 int, h1 int, h2 int, orientable boolean"),
     "perspectives": lambda s, d: grid(s, d, 1, lambda w, c: [(k, *A.compared(w, list(range(0, len(w) // 2)), list(range(len(w) // 2 - k, len(w))), THETA).values()) for k in range(4)], "shared int, verdict string, delta_h0 int, delta_h1 int, delta_h2 int"),
     "same_strength_null": lambda s, d: grid(s, d, 20, lambda w, c: [(c, round(float(np.abs(A.same_strength(w, c).sum(axis=1) - np.abs(w).sum(axis=1)).max()), 6), *A.fiedler(A.same_strength(w, c))[1:])], "seed int, strength_off double, ncut double"),
@@ -275,7 +305,17 @@ _CO = _AT + f", g as (select i, j, count(*) as m, sum((orbit >> i) & 1) as ni, s
 _SD = _O + ", sd as (select u.unit_id, coalesce(sum(1 << node_id) filter (pr.unit_id is not null), 0)::bigint as state from u left join pr using (unit_id) group by 1)"
 _DI = f", di as (select unit_id, state, bit_count(state & {(1 << N) - 2}) as nd, bit_count(state & {(1 << N) - 2} & (state << 1)) as met from sd)"
 
+_LAYER = _SD + f""", fq as (select node_id, count(*) as n from pr group by 1), pb as (select i, j, n_pos + n_neg as m from pc union all select j, i, n_pos + n_neg from pc),
+nd as (select pb.i, sum(1 << pb.j)::bigint as mask from pb join fq a on a.node_id = pb.i join fq b on b.node_id = pb.j where 2 * m >= a.n and b.n > a.n group by 1),
+mx as (select max(abs(raw)) as top from e), ww as (select a.node_id as i, b.node_id as j, coalesce(raw, 0) / top as w from n a join n b on a.node_id < b.node_id cross join mx left join e on e.i = a.node_id and e.j = b.node_id),
+sw as (select list(w order by w desc) as ws from ww), ss as (select distinct state, bit_count(state)::int as k from sd),
+cs as (select state, sum(w * (2 * ((state >> i) & 1) - 1) * (2 * ((state >> j) & 1) - 1)) / {N * (N - 1) // 2} as c, sum(w * ((state >> i) & 1) * ((state >> j) & 1)) as inside from ss, ww group by 1),
+dr as (select state, avg(case when mask is null then 1 else bit_count(state & mask) / bit_count(mask) end) as direction from ss join n on (state >> node_id) & 1 = 1 left join nd on nd.i = node_id group by 1),
+qq as (select state, k, least(1, greatest(0, (c + 0.05) / 0.1)) as cs_norm, coalesce(direction, 0) as direction, inside / greatest(1, k * (k - 1) // 2) as ins, list_avg(ws[1:k * (k - 1) // 2]) as most from ss join cs using (state) left join dr using (state), sw),
+zz as (select state, cs_norm, direction, case when k >= 2 and abs(most) >= 1e-10 then least(1, greatest(-1, ins / most)) else 0 end as density from qq),
+yy as (select *, 0.2 * cs_norm + 0.5 * direction + 0.3 * density as score from zz)"""
 SQL = {
+    "state_scores": _LAYER + " select unit_id, round(cs_norm, 6) as cs_norm, round(direction, 6) as direction, round(density, 6) as density, round(score, 6) as score, case when round(score, 6) >= 0.63 then 'COHESIVE' when round(score, 6) >= 0.5 then 'SPURIOUS_HIGH' when round(score, 6) >= 0.3 then 'SPURIOUS_MEDIUM' else 'SPURIOUS_LOW' end as label from sd join yy using (state)",
     "kcore_sizes": _Q + _core_sql(2) + " select count(*) as n from core",
     "amplified_negative": PL.n_eff_rows([(str(a), f"case when raw < 0 then raw * {a} else raw end") for a in (1, 2, 4)], "amp", orbits=True),
     "hebbian_update": _SD + f", ij as (select i, j from (select unnest(range({N}))::int as i), (select unnest(range({N}))::int as j) where i < j), m as (select i, j, avg((2 * ((state >> i) & 1) - 1) * (2 * ((state >> j) & 1) - 1)) as m from sd, ij group by all) select i, j, round(coalesce(w, 0) + 0.1::double / {N} * m, 9) as w from m left join e using (i, j)",

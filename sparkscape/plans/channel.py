@@ -31,6 +31,7 @@ QUERIES = {
     "local_criterion_audit": audit,
     "extraction_declaration": lambda s, d: X.declared(s, top_k=12),
     "channel_panels": panels,
+    "channel_snapshot": lambda s, d: E.snapshot(panels(s, d)),
     "channel_versions": lambda s, d: E.version_register(panels(s, d)),
     "channel_decisions": lambda s, d: E.decisions(panels(s, d)),
     "channel_signed": lambda s, d: E.signed(cut(panels(s, d))),

@@ -119,3 +119,28 @@ def test_tail_fit_prefers_the_law_the_sizes_follow():
     assert A.power_or_exponential([1, 1, 2, 3], 10)["tau"] is None
     b = A.beliefs(np.ones((5, 5)) - np.eye(5), 500, 0.1, 0.1, 0.1, 2, fixed=(0,))
     assert b.shape == (5, 3) and (np.abs(b) <= 1).all() and (b[0] == A.beliefs(np.ones((5, 5)) - np.eye(5), 1, 0.1, 0.1, 0.1, 2, fixed=(0,))[0]).all()
+
+
+def test_scores_and_criteria_equal_their_definition(spark):
+    import numpy as np
+
+    from sparkscape.operators import gatekeeper as G
+
+    n, g = 6, np.random.default_rng(4)
+    w = np.triu(g.uniform(-1, 1, (n, n)), 1)
+    w, needs = w + w.T, [0b000010, 0, 0b011000, 0b000001, 0, 0b000110]
+    for x in range(1 << n):
+        on = [i for i in range(n) if x >> i & 1]
+        s = [1 if x >> i & 1 else -1 for i in range(n)]
+        cs = np.mean([w[i, j] * s[i] * s[j] for i in range(n) for j in range(i + 1, n)])
+        share = lambda i: sum(x >> j & 1 for j in range(n) if needs[i] >> j & 1) / bin(needs[i]).count("1") if needs[i] else 1.0
+        inside = [w[i, j] for i in on for j in on if i < j]
+        best = sorted((w[i, j] for i in range(n) for j in range(i + 1, n)), reverse=True)[: len(inside)]
+        density = float(np.clip(np.mean(inside) / np.mean(best), -1, 1)) if len(on) >= 2 and abs(np.mean(best)) >= 1e-10 else 0.0
+        want = 0.2 * np.clip((cs + 0.05) / 0.1, 0, 1) + 0.5 * (np.mean([share(i) for i in on]) if on else 0.0) + 0.3 * density
+        assert abs(G.scores(np.array([x]), w, needs)["score"][0] - want) < 1e-12
+    states = spark.createDataFrame([(x, x) for x in (0, 1, 5, 63)], "run bigint, state bigint")
+    rows = {(r.run, r.node_id): r for r in G.candidates(states, w, needs).collect()}
+    assert set(rows) == {(x, i) for x in (0, 1, 5, 63) for i in range(n) if not x >> i & 1}
+    assert rows[0, 1].c1 is False and "C1" in rows[0, 1].failed and rows[0, 1].c3 and not rows[0, 0].c3 and all(r.admitted == (r.failed == "") for r in rows.values())
+    assert [G.label(x) for x in (0.7, 0.5, 0.3, 0.1)] == ["COHESIVE", "SPURIOUS_HIGH", "SPURIOUS_MEDIUM", "SPURIOUS_LOW"]
