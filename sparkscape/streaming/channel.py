@@ -60,6 +60,11 @@ def session_counts(stream: DataFrame, gap: str = "30 minutes", late: str = "10 d
     return s.agg(F.count("*").alias("n")).select("device_id", F.col("w.start").alias("since"), F.col("w.end").alias("until"), "n")
 
 
+def in_order(frames: Iterator[pd.DataFrame]) -> list:
+    """The rows of a series in a micro-batch by t (null first), rec_id."""
+    return sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: (pd.notna(r.t), r.t if pd.notna(r.t) else 0, r.rec_id))
+
+
 def panel(stream: DataFrame) -> DataFrame:
     """Running panel of each series: messages, devices seen, accumulated rejection and zone.
 
@@ -71,8 +76,7 @@ def panel(stream: DataFrame) -> DataFrame:
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, devices, rejected_ = state.get if state.exists else (0, [], 0.0)
         seen, out = set(devices), []
-        rows = pd.concat(list(frames)).sort_values(["t", "rec_id"], kind="stable")
-        for r in rows.itertuples(index=False):
+        for r in in_order(frames):
             n += 1
             if isinstance(r.device_id, str):
                 seen.add(r.device_id)
@@ -97,8 +101,7 @@ def evaluated(stream: DataFrame, top_k: int = 12, runs: int = 100, seed: int = 0
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         channel = E.load(state.get[0]) if state.exists else E.Channel(top_k, runs, seed)
-        rows = sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: (pd.notna(r.t), r.t if pd.notna(r.t) else 0, r.rec_id))
-        out = [E.row(key[0], int(r.rec_id), int(r.t) if pd.notna(r.t) else None, channel.message(list(r.words), bool(r.opposes), r.device_id if isinstance(r.device_id, str) else None, bool(r.system))) for r in rows]
+        out = [E.row(key[0], int(r.rec_id), int(r.t) if pd.notna(r.t) else None, channel.message(list(r.words), bool(r.opposes), r.device_id if isinstance(r.device_id, str) else None, bool(r.system))) for r in in_order(frames)]
         state.update((E.dump(channel),))
         table = pa.Table.from_arrays([pa.array(c, x) for c, x in zip(zip(*out), E.TYPES)], names=E.NAMES)
         yield table.to_pandas(types_mapper=NULLABLE.get)
