@@ -45,7 +45,12 @@ def spins(states: list[bytes], n: int) -> np.ndarray:
 
 def step(s: np.ndarray, w: np.ndarray) -> np.ndarray:
     h = s @ w
-    return np.where(h > 0, 1.0, np.where(h < 0, -1.0, s))
+    return np.where(h == 0, s, np.sign(h))
+
+
+def narrowed(w: np.ndarray) -> np.ndarray:
+    """W in single precision where all its fields are integers that this holds exactly."""
+    return w.astype(np.float32) if w.size and np.abs(w).sum(axis=1).max() < 1 << 24 and (w == np.rint(w)).all() else w
 
 
 def relax(s: np.ndarray, w: np.ndarray, most: int = 200):
@@ -53,7 +58,8 @@ def relax(s: np.ndarray, w: np.ndarray, most: int = 200):
 
     W is symmetric, so that orbits have period 1 or 2; period 0 where none closes in ``most`` steps.
     """
-    n = len(s)
+    n, w = len(s), narrowed(w)
+    s = s.astype(w.dtype)
     first, second, last = s.copy(), s.copy(), s.copy()
     period, tail = np.zeros(n, np.int32), np.zeros(n, np.int32)
     open_, before, now = np.arange(n), s, step(s, w)
