@@ -32,7 +32,7 @@ DENSE = 32
 # Frequent tokens are added so many at a time, until at most one set in FEW is left to look at singly.
 STEP, FEW = 6, 512
 # Pairs that a task holds before it hands them on.
-PAIRS = 100_000
+PAIRS = 20_000
 
 
 def sets(texts: DataFrame, least: int = 5) -> DataFrame:
@@ -126,6 +126,25 @@ def where(flags: np.ndarray) -> np.ndarray:
     return at[flags[at]]
 
 
+def _hex(h: pa.Array) -> pa.Array:
+    text = b"".join(h.to_pylist()).hex().encode()
+    return pa.StringArray.from_buffers(len(h), pa.py_buffer(np.arange(0, len(text) + 1, 64, dtype=np.int32)), pa.py_buffer(text))
+
+
+class Pairs:
+    """Results as rows series, h, other."""
+
+    schema = "series string, h string, other string"
+
+    def __init__(self, index: Index):
+        self.other = _hex(index.rows["h"].combine_chunks())
+
+    def rows(self, probes: pa.Table, held: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        h = _hex(probes["h"].combine_chunks())
+        for a, b in gathered(held):
+            yield pa.RecordBatch.from_arrays([pa.repeat(probes["series"][0], len(a)), h.take(pa.array(a)), self.other.take(pa.array(b))], ["series", "h", "other"])
+
+
 class Versions:
     """Results as rows series, h, own, more: every set once with its chunk, and wherever others contain it, with their versions."""
 
@@ -211,26 +230,9 @@ def held(texts: DataFrame, theta: float, least: int, chunk: int, result: type) -
     return dealt.repartition("series", "chunk").sortWithinPartitions("series", "chunk", "guest").mapInArrow(run, result.schema)
 
 
-def blocks(texts: DataFrame, least: int = 5) -> DataFrame:
-    """series, version, h, tokens: the distinct token sets of blocks (parted by blank lines) of at least ``least`` tokens.
-
-    Texts are rows (series, version, text); null series, versions and texts have none."""
-    b = texts.where("series is not null and version is not null and text is not null").select("series", "version", F.explode(F.split("text", r"\n\s*\n")).alias("block"))
-    t = b.select("series", "version", F.array_sort(F.array_distinct(T.tokens(F.col("block")))).alias("tokens")).where(F.size("tokens") >= least)
-    return t.withColumn("h", F.sha2(F.array_join("tokens", "\n"), 256)).distinct()
-
-
-def contained(sets: DataFrame, theta: float = 0.8) -> DataFrame:
-    """series, h, other: token sets and the other sets of their series that contain them (series, h, tokens, one row each)."""
-    df = sets.select("series", F.explode("tokens").alias("tok")).groupBy("series", "tok").agg(F.count("*").alias("df"))
-    every = cut(sets.select("series", "h", F.size("tokens").alias("m"), F.explode("tokens").alias("tok")).join(df, ["series", "tok"]))
-    rarest = every.groupBy("series", "h", "m").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("t"))  # tokens of one set
-    keep = F.col("m") - F.ceil(F.col("m") * theta - 1e-9).cast("int") + 1
-    probe = rarest.select("series", "h", F.explode(F.slice("t", F.lit(1), keep)).alias("x")).select("series", "h", F.col("x.tok").alias("tok"))
-    index = every.select("series", "tok", F.col("h").alias("other"))
-    pairs = probe.join(index, ["series", "tok"]).where("h <> other").select("series", "h", "other").distinct()
-    both = pairs.join(sets.select("series", "h", "tokens"), ["series", "h"]).join(sets.select("series", F.col("h").alias("other"), F.col("tokens").alias("o")), ["series", "other"])
-    return both.where(F.size(F.array_intersect("tokens", "o")) >= theta * F.size("tokens") - 1e-9).select("series", "h", "other")
+def contained(texts: DataFrame, theta: float = 0.8, least: int = 5, chunk: int = CHUNK) -> DataFrame:
+    """series, h, other: token sets and the other sets of their series that contain them."""
+    return held(texts, theta, least, chunk, Pairs)
 
 
 def turnover(texts: DataFrame, theta: float = 0.8, least: int = 5, chunk: int = CHUNK) -> DataFrame:

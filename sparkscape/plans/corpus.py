@@ -128,7 +128,7 @@ QUERIES = {
     "tag_strip": lambda s, d: units(s, d).select("unit_id", F.regexp_replace("text", r"<[^<>]*>", "").alias("text")),
     "set_hash": lambda s, d: units(s, d).select("unit_id", T.set_hash(F.array_distinct(T.tokens(F.col("text")))).alias("h")),
     "entity_decode": lambda s, d: T.entities_decoded(units(s, d).select("unit_id", F.regexp_replace("text", r"<[^<>]*>", "").alias("text")), "text"),
-    "block_containment": lambda s, d: B.contained(B.blocks(states(s, d)).groupBy("series", "h").agg(F.first("tokens").alias("tokens"))),
+    "block_containment": lambda s, d: B.contained(states(s, d)),
     "block_turnover": lambda s, d: B.turnover(states(s, d)),
     "shuffled_words": shuffled_words,
 }

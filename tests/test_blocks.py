@@ -86,3 +86,18 @@ def test_turnover_takes_disk_in_proportion_to_the_texts(spark):
     size, texts = crowded(spark)
     texts.count()
     assert disk(spark, lambda: B.turnover(texts).collect()) < 3 * size
+
+
+@pytest.mark.parametrize("chunk", [B.CHUNK, 9_000])
+@pytest.mark.parametrize("theta", [0.8, 0.5])
+def test_containment_is_as_by_brute_force(spark, chunk, theta):
+    texts = collection(260, True)
+    want = {(s, digest(a), digest(b)) for s, a, b in brute(texts, theta)[1]}
+    got = [tuple(r) for r in B.contained(spark.createDataFrame(texts, "series string, version string, text string"), theta, chunk=chunk).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_containment_takes_disk_in_proportion_to_the_texts(spark):
+    size, texts = crowded(spark)
+    texts.count()
+    assert disk(spark, lambda: B.contained(texts).collect()) < 3 * size
